@@ -171,3 +171,16 @@ def marked_documents(spark, folder) -> DataFrame:
 def section_documents(spark, folder) -> DataFrame:
     return table(spark, folder, "documents").select(
         "doc_id", F.expr(DOC_TYPE).alias("doc_type"), F.expr(SECTION_TEXT).alias("text"))
+
+
+TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
+               " conversations").split()
+
+
+def run_sql(spark, folder, name: str) -> DataFrame:
+    """A derived input: the shared table expression ``name`` run in Spark."""
+    text = CTE[name]
+    used = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLE_NAMES if re.search(rf"\b{t}\b", text)}
+    for t in used:
+        text = re.sub(rf"\b{t}\b", "{" + t + "}", text)
+    return spark.sql(text, **used)

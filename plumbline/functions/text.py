@@ -287,7 +287,7 @@ def repeated_words(c: Column) -> Column:
         word = F.split_part(r, F.lit(" "), F.lit(1))
         return F.struct(word.alias("word"), ((F.length(r) + 1) / (F.length(word) + 1)).cast("bigint").alias("n"))
 
-    out = F.transform(F.transform(runs, F.trim), count)
+    out = F.transform(F.transform(runs, lambda r: F.trim(r)), count)
     return F.when(word_count(c) >= 10, out).otherwise(F.array().cast("array<struct<word:string,n:bigint>>"))
 
 

@@ -8,6 +8,7 @@ per node before they meet per document.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -57,12 +58,18 @@ def build_graph(docs: DataFrame) -> DataFrame:
         to_thesis = F.when(claimish(x) & (F.col("_thesis") < x["pos"]), _edge("Supports", iri(main)))
         return F.array_compact(F.array(to_claim, to_thesis))
 
+    def chain(x):
+        earlier = F.filter("_items", lambda y: claimish(y) & (y["sec"] == x["sec"]) & (y["pos"] < x["pos"]))
+        last = F.get(F.reverse(earlier), F.lit(0))["pos"]
+        beyond = lambda p: F.coalesce((F.col("_thesis") < p).cast("int"), F.lit(0))
+        return F.when(claimish(x), beyond(x["pos"])).otherwise(F.coalesce(1 + beyond(last), F.lit(0)) * last.isNotNull().cast("int"))
+
     none_score, none_text = F.lit(None).cast("double"), F.lit(None).cast("string")
     section_nodes = F.transform("sections", lambda s: F.struct(
         s["section_no"].alias("section_no"), F.lit(-1).alias("item_no"),
         F.concat(F.lit("arg:section_"), s["section_no"] - 1).alias("node_id"), F.lit("Structural").alias("node_type"),
         s["title"].alias("text"), none_score.alias("score"), none_text.alias("source_text"),
-        F.lit(None).cast(SPAN).alias("span"), none_text.alias("justification"), F.lit(False).alias("promoted"),
+        F.lit(None).cast(SPAN).alias("span"), none_text.alias("justification"), F.lit(False).alias("promoted"), F.lit(0).alias("chain"),
         F.transform(s["items"], lambda it, i: _edge(
             "Contains", F.concat(F.lit("arg:s"), s["section_no"] - 1, F.lit("_"), i))).alias("edges")))
     item_nodes = F.transform("_items", lambda x: F.struct(
@@ -70,35 +77,64 @@ def build_graph(docs: DataFrame) -> DataFrame:
         x["it"]["text"].alias("text"), none_score.alias("score"), x["it"]["text"].alias("source_text"),
         F.struct(x["it"]["start"].cast("int").alias("start"), x["it"]["end"].cast("int").alias("end")).cast(SPAN).alias("span"),
         none_text.alias("justification"),
-        F.coalesce((x["pos"] == F.col("_first")) & F.col("_thesis").isNull(), F.lit(False)).alias("promoted"),
+        F.coalesce((x["pos"] == F.col("_first")) & F.col("_thesis").isNull(), F.lit(False)).alias("promoted"), chain(x).alias("chain"),
         out_edges(x).alias("edges")))
     return ided.select("doc_id", F.inline(F.concat(section_nodes, item_nodes)))
 
 
-def graph_from_scores(scored: DataFrame) -> DataFrame:
-    """Graph straight from scored nodes: (doc_id, node_scores array<struct<node_iri,
-    score, justification, source_text, span>>). The first node is the thesis, all
-    others support it and, from the third on, also their predecessor."""
-    def node(n, i):
-        low = F.lower(n["justification"])
-        kind = (
-            F.when(i == 0, "Thesis")
-            .when(T.contains_any(low, L.NODE_EVIDENCE_WORDS),
-                  F.when(T.contains_any(low, L.NODE_QUANTIFIED_WORDS), "QuantifiedEvidence")
-                  .when(T.contains_any(low, L.NODE_CITATION_WORDS), "Citation").otherwise("Evidence"))
-            .when(F.contains(low, F.lit("counter")), "Counter")
-            .when(T.contains_any(low, L.NODE_CLOSING_WORDS), "Structural").otherwise("SubClaim"))
-        first = F.get(F.col("node_scores"), F.lit(0))["node_iri"]
-        edges = F.array_compact(F.array(
-            F.when((i > 0) & (n["node_iri"] != first), _edge("Supports", first)),
-            F.when(i > 1, _edge("Supports", F.get(F.col("node_scores"), i - 1)["node_iri"]))))
-        return F.struct(
-            F.lit(1).alias("section_no"), i.alias("item_no"), n["node_iri"].alias("node_id"), kind.alias("node_type"),
-            F.coalesce(n["source_text"], n["justification"]).alias("text"),
-            F.greatest(F.least(n["score"], F.lit(1.0)), F.lit(0.0)).alias("score"), n["source_text"].alias("source_text"),
-            n["span"].cast(SPAN).alias("span"), n["justification"].alias("justification"), F.lit(False).alias("promoted"), edges.alias("edges"))
-
-    return scored.select("doc_id", F.inline(F.transform("node_scores", node)))
+def graph_from_scores(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) straight from scored nodes (doc_id, pos, node_iri, score,
+    justification, source_text, span), pos counted from 0. The first node is the
+    thesis; all others support it and, from the third on, also their predecessor.
+
+    First node and predecessor come by equi-joins, so no document is gathered."""
+    low, pos = F.lower("justification"), F.col("pos")
+    kind = (
+        F.when(pos == 0, "Thesis")
+        .when(T.contains_any(low, L.NODE_EVIDENCE_WORDS),
+              F.when(T.contains_any(low, L.NODE_QUANTIFIED_WORDS), "QuantifiedEvidence")
+              .when(T.contains_any(low, L.NODE_CITATION_WORDS), "Citation").otherwise("Evidence"))
+        .when(F.contains(low, F.lit("counter")), "Counter")
+        .when(T.contains_any(low, L.NODE_CLOSING_WORDS), "Structural").otherwise("SubClaim"))
+    nodes = scored.select(
+        "doc_id", F.col("node_iri").alias("node_id"), kind.alias("node_type"),
+        F.coalesce("source_text", "justification").alias("text"),
+        F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)).alias("score"), "source_text",
+        F.col("span").cast(SPAN).alias("span"), "justification")
+    ids = scored.select("doc_id", "pos", F.col("node_iri").alias("src"))
+    first = ids.where("pos = 0").select("doc_id", F.col("src").alias("dst"))
+    to_thesis = ids.where("pos > 0").join(first, "doc_id").where("src <> dst")
+    to_previous = ids.where("pos > 1").join(
+        ids.select("doc_id", (pos + 1).alias("pos"), F.col("src").alias("dst")), ["doc_id", "pos"])
+    edge = lambda df: df.select("doc_id", "src", F.lit("Supports").alias("edge_type"), "dst")
+    return nodes, edge(to_thesis).unionByName(edge(to_previous))
+
+
+def graph_from_triples(triples: DataFrame, scored: DataFrame | None = None,
+                       prefix: str = "http://example.org/arg/") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from (doc_id, s, p, o) triples: typed subjects with optional
+    text, and the six edge predicates. Scores attach by full or by short name."""
+    short = lambda c: F.regexp_replace(c, "^" + re.escape(prefix), "arg:")
+    local = F.regexp_replace("o", r"^.*[/:#]", "")
+    typed = triples.where("p = 'type'").select("doc_id", "s", local.alias("node_type")).where(
+        F.col("node_type").isin(NODE_TYPES))
+    texts = triples.where("p = 'hasText'").select("doc_id", "s", F.col("o").alias("text"))
+    nodes = typed.join(texts, ["doc_id", "s"], "left")
+    nothing = F.lit(None)
+    if scored is None:
+        nodes = nodes.withColumns({"score": nothing.cast("double"), "source_text": nothing.cast("string"),
+                                   "span": nothing.cast(SPAN), "justification": nothing.cast("string")})
+    else:
+        pick = scored.select("doc_id", short(F.col("node_iri")).alias("node_id"), F.struct(
+            F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)).alias("score"), "source_text",
+            F.col("span").cast(SPAN).alias("span"), "justification").alias("x"))
+        nodes = nodes.withColumn("node_id", short(F.col("s"))).join(pick, ["doc_id", "node_id"], "left").select(*nodes.columns, "x.*")
+    nodes = nodes.withColumn("node_id", short(F.col("s"))).select(*NODE_COLS)
+    kind = {k.lower(): k for k in SCORING_EDGES + ["Contains", "References"]}
+    names = F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])
+    edges = triples.where(F.col("p").isin(list(kind))).select(
+        "doc_id", short(F.col("s")).alias("src"), names[F.col("p")].alias("edge_type"), short(F.col("o")).alias("dst")).distinct()
+    return nodes, edges
 
 
 def node_rows(graph: DataFrame) -> DataFrame:
@@ -170,33 +206,35 @@ def _marks_from_tables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.struct(F.col("dst").alias("node_id"), F.lit(0).alias("edge_n"), F.lit(True).alias("into")))).alias("x"),
         F.col("edge_type"))
     e = e.select(
-        "doc_id", "x.node_id", F.lit(None).cast("string").alias("node_type"), F.lit(None).cast("double").alias("score"), "x.edge_n",
+        "doc_id", "x.node_id", F.lit(None).cast("string").alias("node_type"), F.lit(None).cast("double").alias("score"),
+        F.lit(0).alias("chain"), "x.edge_n",
         F.col("edge_type").isin(SCORING_EDGES).cast("int").alias("touched"),
         (F.col("x.into") & (F.col("edge_type") == "Supports")).cast("int").alias("supported"))
     n = nodes.select(
-        "doc_id", "node_id", "node_type", "score", F.lit(0).alias("edge_n"), F.lit(0).alias("touched"), F.lit(0).alias("supported"))
+        "doc_id", "node_id", "node_type", "score", F.lit(0).alias("chain"), F.lit(0).alias("edge_n"), F.lit(0).alias("touched"), F.lit(0).alias("supported"))
     return n.unionByName(e)
 
 
 def _marks_from_graph(graph: DataFrame) -> DataFrame:
     """As _marks_from_tables in one pass over the adjacency form."""
     none_t, none_s = F.lit(None).cast("string"), F.lit(None).cast("double")
-    mark = lambda nid, t, s, e, touch, sup: F.struct(
-        nid.alias("node_id"), t.alias("node_type"), s.alias("score"), e.alias("edge_n"), touch.alias("touched"), sup.alias("supported"))
+    mark = lambda nid, t, s, ch, e, touch, sup: F.struct(
+        nid.alias("node_id"), t.alias("node_type"), s.alias("score"), ch.alias("chain"), e.alias("edge_n"), touch.alias("touched"), sup.alias("supported"))
     zero, one = F.lit(0), F.lit(1)
     scoring = lambda e: e["edge_type"].isin(SCORING_EDGES).cast("int")
     rows = F.concat(
-        F.array(mark(F.col("node_id"), F.col("node_type"), F.col("score"), zero, zero, zero)),
-        F.transform("edges", lambda e: mark(F.col("node_id"), none_t, none_s, one, scoring(e), zero)),
+        F.array(mark(F.col("node_id"), F.col("node_type"), F.col("score"), F.col("chain"), zero, zero, zero)),
+        F.transform("edges", lambda e: mark(F.col("node_id"), none_t, none_s, zero, one, scoring(e), zero)),
         F.transform("edges", lambda e: mark(
-            e["dst"], none_t, none_s, zero, scoring(e), (e["edge_type"] == "Supports").cast("int"))))
+            e["dst"], none_t, none_s, zero, zero, scoring(e), (e["edge_type"] == "Supports").cast("int"))))
     return graph.select("doc_id", F.inline(rows))
 
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame | None = None, depth: DataFrame | None = None) -> DataFrame:
     """Counts, connectivity, coverage and quality per document.
 
-    ``nodes`` alone may be the adjacency form. Nodes meet their edges in one
+    ``nodes`` alone may be the adjacency form of build_graph, which knows its
+    chain lengths; flat tables take ``depth`` from support_depth. Nodes meet their edges in one
     aggregation per (document, node), partially combined before the shuffle."""
     marks = _marks_from_graph(nodes) if edges is None else _marks_from_tables(nodes, edges)
     t = F.col("node_type")
@@ -207,7 +245,7 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame | None = None, depth: DataF
         F.count(F.when(t == "Structural", 1)).alias("structural"),
         F.count(F.when(t == "Counter", 1)).alias("counter"),
         F.count(F.when(t == "Rebuttal", 1)).alias("rebuttal"),
-        F.sum("score").alias("score_sum"), F.count("score").alias("score_n"),
+        F.sum("score").alias("score_sum"), F.count("score").alias("score_n"), F.max("chain").alias("chain"),
         F.sum("edge_n").alias("edge_n"), F.max("touched").alias("touched"), F.max("supported").alias("supported"))
     loose = F.col("n") - F.col("structural")
     doc = per_node.groupBy("doc_id").agg(
@@ -216,14 +254,15 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame | None = None, depth: DataF
         F.sum(loose).alias("loose"), F.sum(loose * F.col("touched")).alias("connected"),
         F.sum(F.col("claims") * F.col("supported")).alias("covered"),
         (F.sum("counter") > 0).alias("has_counter"), (F.sum("rebuttal") > 0).alias("has_rebuttal"),
-        F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"))
+        F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"), F.max("chain").alias("max_depth"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    keep_depth = ["max_depth"] if edges is None else []
     out = doc.select(
-        "doc_id", "node_count", "edge_count", "claim_count", "evidence_count",
+        "doc_id", *keep_depth, "node_count", "edge_count", "claim_count", "evidence_count",
         ratio("connected", "loose").alias("connectivity"), ratio("covered", "claim_count").alias("evidence_coverage"),
         "has_counter", "has_rebuttal",
         F.when(F.col("score_n") > 0, F.col("score_sum") / F.col("score_n")).alias("quality"))
-    if depth is None:
+    if edges is None or depth is None:
         return out
     return out.join(depth.select("doc_id", "max_depth"), "doc_id", "left").fillna(0, subset=["max_depth"])
 
