@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.text import WS, WS_CLASS
+from plumbline.session import tune
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +61,12 @@ def with_ctes(sql: str) -> str:
 
 
 def register(name: str, sql: str | None = None):
+    def run(fn, spark, folder):
+        tune(spark)
+        return normalize(fn(spark, folder))
+
     def add(fn):
-        QUERIES[name] = lambda spark, folder: normalize(fn(spark, folder))
+        QUERIES[name] = lambda spark, folder: run(fn, spark, folder)
         if sql is not None:
             ORACLES[name] = with_ctes(sql)
         return fn

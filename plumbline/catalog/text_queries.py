@@ -10,7 +10,7 @@ from plumbline.functions.text import WS_CLASS
 from plumbline.operators import adaptive, extraction, sections
 
 docs = lambda s, d: table(s, d, "documents").select("doc_id", "text")
-TXT = F.col("text")
+
 
 # --- P1/P2/P4 sections -------------------------------------------------------
 CTE["sec_lines"] = """
@@ -47,7 +47,7 @@ CTE["secs_wc"] = f"SELECT *, len({words('text')}) AS word_count FROM secs"
          {big('page')} AS page FROM secs_wc""")
 def _p1(s, d):
     rows = sections.section_rows(sections.sectioned(section_documents(s, d)))
-    return rows.select("doc_id", "section_no", "level", "title", F.md5(TXT.cast("binary")).alias("body"), "word_count", "page")
+    return rows.select("doc_id", "section_no", "level", "title", F.md5(F.col("text").cast("binary")).alias("body"), "word_count", "page")
 
 
 @register("p7_section_parents", f"""
@@ -59,7 +59,7 @@ def _p7(s, d):
 
 @register("p3_word_count", f"SELECT doc_id, {big('len(' + words('text') + ')')} AS words FROM documents")
 def _p3(s, d):
-    return docs(s, d).select("doc_id", T.word_count(TXT).alias("words"))
+    return docs(s, d).select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
 def _sent_sql(expr, src="documents"):
@@ -69,17 +69,17 @@ def _sent_sql(expr, src="documents"):
 
 def _sent(s, d, split):
     return sections.sentence_rows(docs(s, d), split).select(
-        "doc_id", "sent_no", F.md5(TXT.cast("binary")).alias("sentence"))
+        "doc_id", "sent_no", F.md5(F.col("text").cast("binary")).alias("sentence"))
 
 
 @register("p5a_sentences_dot15", _sent_sql(sents_dot("text", 15)))
 def _p5a(s, d):
-    return _sent(s, d, T.sentences_dot(TXT, 15))
+    return _sent(s, d, T.sentences_dot(F.col("text"), 15))
 
 
 @register("p5b_sentences_dot10", _sent_sql(sents_dot("text", 10)))
 def _p5b(s, d):
-    return _sent(s, d, T.sentences_dot(TXT, 10))
+    return _sent(s, d, T.sentences_dot(F.col("text"), 10))
 
 
 # RE2 has no lookbehind: mark the boundary, then split on the mark
@@ -100,12 +100,12 @@ def sents_ws(x):
 
 @register("p5c_sentences_space", _sent_sql(sents_space("text")))
 def _p5c(s, d):
-    return _sent(s, d, T.sentences_space(TXT))
+    return _sent(s, d, T.sentences_space(F.col("text")))
 
 
 @register("p5d_sentences_ws", _sent_sql(sents_ws("text")))
 def _p5d(s, d):
-    return _sent(s, d, T.sentences_ws(TXT))
+    return _sent(s, d, T.sentences_ws(F.col("text")))
 
 
 PARAS = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda s: {trim('s')}), lambda s: s <> '')"
@@ -113,8 +113,8 @@ PARAS = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lam
 
 @register("p6_paragraphs", _sent_sql(PARAS.replace("text", "stext"), "sec_docs"))
 def _p6(s, d):
-    return sections.sentence_rows(section_documents(s, d), T.paragraphs(TXT)).select(
-        "doc_id", "sent_no", F.md5(TXT.cast("binary")).alias("sentence"))
+    return sections.sentence_rows(section_documents(s, d), T.paragraphs(F.col("text"))).select(
+        "doc_id", "sent_no", F.md5(F.col("text").cast("binary")).alias("sentence"))
 
 
 @register("p8_iri_escape_truncate", f"""
@@ -125,8 +125,8 @@ def _p6(s, d):
   FROM documents""")
 def _p8(s, d):
     return docs(s, d).select(
-        "doc_id", F.md5(T.iri_safe(TXT).cast("binary")).alias("iri"), F.md5(T.escape_literal(TXT).cast("binary")).alias("esc"),
-        T.truncate_words(TXT, 200).alias("head"))
+        "doc_id", F.md5(T.iri_safe(F.col("text")).cast("binary")).alias("iri"), F.md5(T.escape_literal(F.col("text")).cast("binary")).alias("esc"),
+        T.truncate_words(F.col("text"), 200).alias("head"))
 
 
 def kw_list(x, stop):
@@ -153,8 +153,8 @@ def kw_content(x, stop):
                {kw_content('text', L.STOP_FLOW)} AS c FROM documents)""")
 def _p9(s, d):
     k = docs(s, d).select(
-        "doc_id", T.keywords_set(TXT, L.STOP_ALIGN).alias("a"), T.keywords_list(TXT, L.STOP_PREDICT).alias("b"),
-        T.content_keywords(TXT, L.STOP_FLOW).alias("c"))
+        "doc_id", T.keywords_set(F.col("text"), L.STOP_ALIGN).alias("a"), T.keywords_list(F.col("text"), L.STOP_PREDICT).alias("b"),
+        T.content_keywords(F.col("text"), L.STOP_FLOW).alias("c"))
     j = lambda c: F.array_join(F.sort_array(c), " ")
     return k.select("doc_id", F.size("a").alias("set_n"), j("a").alias("set_words"), F.size("b").alias("list_n"),
                     j("b").alias("list_words"), F.size("c").alias("content_n"), j("c").alias("content_words"))
@@ -178,7 +178,7 @@ def fk_sql(x):
 
 @register("p10_reading_grade", f"SELECT doc_id, {big(syllables_sql('text'))} AS syllables, {r6(fk_sql('text'))} AS grade FROM documents")
 def _p10(s, d):
-    return docs(s, d).select("doc_id", T.syllable_total(TXT).alias("syllables"), T.flesch_kincaid(TXT).alias("grade"))
+    return docs(s, d).select("doc_id", T.syllable_total(F.col("text")).alias("syllables"), T.flesch_kincaid(F.col("text")).alias("grade"))
 
 
 # RE2 has no lookaround: the first four-digit run of a group is picked from its digit runs
@@ -195,7 +195,7 @@ def cites_sql(x):
 @register("p11_citations", f"""
   SELECT doc_id, r.author AS author, {big('r.year')} AS year FROM (SELECT doc_id, unnest({cites_sql('stext')}) AS r FROM sec_docs)""")
 def _p11(s, d):
-    return section_documents(s, d).select("doc_id", F.inline(T.citations(TXT)))
+    return section_documents(s, d).select("doc_id", F.inline(T.citations(F.col("text"))))
 
 
 def numbers_sql(x):
@@ -216,7 +216,7 @@ UNIT_SQL = ("CASE WHEN contains(v, '%') THEN 'percent' WHEN contains(v, '£') OR
   SELECT doc_id, v AS value, array_to_string(ws[greatest(i - 5, 1):i + 5], ' ') AS context, {UNIT_SQL} AS unit
   FROM (SELECT doc_id, r.v AS v, r.i AS i, ws FROM (SELECT doc_id, {words('stext')} AS ws, unnest({numbers_sql('stext')}) AS r FROM sec_docs))""")
 def _p12(s, d):
-    return section_documents(s, d).select("doc_id", F.inline(T.significant_numbers(TXT))).withColumn(
+    return section_documents(s, d).select("doc_id", F.inline(T.significant_numbers(F.col("text")))).withColumn(
         "unit", T.number_unit(F.col("value")))
 
 
@@ -241,8 +241,8 @@ _wc, _ev, _sp = quality_sql("text")
   FROM (SELECT doc_id, {_wc} AS wc, {_ev} AS ev, {_sp} AS sp FROM marked)""")
 def _p14(s, d):
     m = marked_documents(s, d).select(
-        "doc_id", T.word_count(TXT).alias("words"), T.occurrences_total(F.lower(TXT), L.EVIDENCE_WORDS).alias("evidence_words"),
-        T.specificity_markers(TXT).alias("specific"))
+        "doc_id", T.word_count(F.col("text")).alias("words"), T.occurrences_total(F.lower(F.col("text")), L.EVIDENCE_WORDS).alias("evidence_words"),
+        T.specificity_markers(F.col("text")).alias("specific"))
     return m.withColumn("quality", T.quality_signal(F.col("words"), F.col("evidence_words"), F.col("specific")))
 
 
@@ -296,19 +296,19 @@ def _raw_sql(kind):
 
 @register("x1_citation_items", _raw_sql("citation"))
 def _x1(s, d):
-    return _raw_rows(s, d, extraction.citation_items(TXT))
+    return _raw_rows(s, d, extraction.citation_items(F.col("text")))
 
 
 for _n, _k in ((2, "statistic"), (3, "claim"), (4, "prediction"), (5, "commitment")):
     register(f"x{_n}_{_k}_items", _raw_sql(_k))(
-        lambda s, d, k=_k: _raw_rows(s, d, extraction.sentence_items(TXT, k)))
+        lambda s, d, k=_k: _raw_rows(s, d, extraction.sentence_items(F.col("text"), k)))
 
 
 @register("x6_x7_items", f"""
   SELECT doc_id, it.item_type AS item_type, it.text AS text, {big('it.start')} AS start, {big('it.start + length(it.text)')} AS "end",
          {r6('it.confidence')} AS confidence FROM kept_items""")
 def _x6(s, d):
-    return _raw_rows(s, d, extraction.extract(TXT))
+    return _raw_rows(s, d, extraction.extract(F.col("text")))
 
 
 @register("x8_word_jaccard", f"""
@@ -320,8 +320,8 @@ def _x6(s, d):
 def _x8(s, d):
     b = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     j = docs(s, d).withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
-    return j.select("doc_id", "item_id", T.word_jaccard(TXT, F.col("passage")).alias("jaccard"),
-                    T.word_jaccard(TXT, F.col("passage"), 2).alias("jaccard_long"))
+    return j.select("doc_id", "item_id", T.word_jaccard(F.col("text"), F.col("passage")).alias("jaccard"),
+                    T.word_jaccard(F.col("text"), F.col("passage"), 2).alias("jaccard_long"))
 
 
 # second source: the first and the last sentence of each text, confidence 0.42
@@ -340,9 +340,9 @@ CTE["merged"] = f"""
 
 @register("x9_merged_items", f"SELECT doc_id, it.text AS text, it.method AS method, {r6('it.confidence')} AS confidence FROM merged")
 def _x9(s, d):
-    sents = T.sentences_dot(TXT, 15)
+    sents = T.sentences_dot(F.col("text"), 15)
     m = marked_documents(s, d).select(
-        "doc_id", extraction.extract(TXT).alias("items"),
+        "doc_id", extraction.extract(F.col("text")).alias("items"),
         F.array_compact(F.array(F.get(sents, F.lit(0)), F.get(F.reverse(sents), F.lit(0)))).alias("other"))
     none = F.lit(None).cast("int")
     other = F.transform("other", lambda t: F.struct(
@@ -382,8 +382,8 @@ for _k in _order:
          CAST(NULL AS BOOLEAN) AS quantified FROM fallback WHERE c
   UNION ALL SELECT doc_id, 'evidence', t, NULL, NULL, src, CASE WHEN qn THEN 'statistical' ELSE 'citation' END, qn FROM fallback WHERE e""")
 def _x12(s, d):
-    found = extraction.all_items(TXT)
-    return docs(s, d).where(F.size(found) == 0).select("doc_id", F.inline(extraction.fallback_items(TXT)))
+    found = extraction.all_items(F.col("text"))
+    return docs(s, d).where(F.size(found) == 0).select("doc_id", F.inline(extraction.fallback_items(F.col("text"))))
 
 
 INTENT = "coalesce(o_orderpriority, '') || ' ' || CASE o_orderkey % 11 " + " ".join(
@@ -453,7 +453,7 @@ for _g in L.CATEGORIES:
 
 
 def _adaptive(genre):
-    return lambda s, d: section_documents(s, d).select("doc_id", F.inline(adaptive.items(TXT, genre)))
+    return lambda s, d: section_documents(s, d).select("doc_id", F.inline(adaptive.items(F.col("text"), genre)))
 
 
 for _n, _g in ((14, "essay"), (15, "tender"), (16, "policy"), (17, "contract")):
@@ -465,7 +465,7 @@ for _n, _g in ((14, "essay"), (15, "tender"), (16, "policy"), (17, "contract")):
     (SELECT doc_id, unnest({words('text')}) AS w FROM documents WHERE len({words('text')}) >= 10))
   WHERE strlen(w) > 4 GROUP BY doc_id, w HAVING count(*) >= 3""")
 def _x18(s, d):
-    return docs(s, d).select("doc_id", F.inline(T.repeated_words(TXT)))
+    return docs(s, d).select("doc_id", F.inline(T.repeated_words(F.col("text"))))
 
 
 @register("x19_category_summary", f"""
@@ -475,7 +475,7 @@ def _x18(s, d):
   LEFT JOIN (SELECT doc_id, avg(quality) AS mean_quality FROM ad_policy GROUP BY doc_id) m ON m.doc_id = d.doc_id GROUP BY d.doc_id, c.category""")
 def _x19(s, d):
     return adaptive.category_summary(
-        section_documents(s, d).select("doc_id", adaptive.items(TXT, "policy").alias("items")), "policy").drop("best_example")
+        section_documents(s, d).select("doc_id", adaptive.items(F.col("text"), "policy").alias("items")), "policy").drop("best_example")
 
 
 @register("x20_pipeline_types", f"""
@@ -493,7 +493,7 @@ def _x19(s, d):
     FROM (SELECT * FROM ad_essay UNION ALL SELECT * FROM ad_tender UNION ALL SELECT * FROM ad_policy UNION ALL SELECT * FROM ad_contract)) GROUP BY ALL""")
 def _x20(s, d):
     every = section_documents(s, d).select(
-        "doc_id", F.inline(F.concat(*[adaptive.items(TXT, g) for g in L.CATEGORIES])))
+        "doc_id", F.inline(F.concat(*[adaptive.items(F.col("text"), g) for g in L.CATEGORIES])))
     return adaptive.pipeline_types(every).groupBy(
         "doc_id", "category", "role", "specificity", "verifiable", "evidence_type", "quantified").agg(F.count("*").alias("n"))
 

@@ -322,7 +322,7 @@ def empty_like(arr: Column) -> Column:
 def greedy_keep(items: Column, duplicate) -> Column:
     """Order-dependent near-duplicate removal inside one array: an element stays
     unless ``duplicate(kept, element)`` holds for an element kept before it."""
-    return F.aggregate(
-        items, empty_like(items),
+    return let(items, lambda xs: F.aggregate(
+        xs, F.slice(xs, 1, 0),
         lambda kept, x: F.when(F.exists(kept, lambda k: duplicate(k, x)), kept).otherwise(
-            F.concat(kept, F.array(x))))
+            F.concat(kept, F.array(x)))))
