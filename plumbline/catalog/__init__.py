@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_queries", "graph_queries"]
+MODULES = ["text_queries", "graph_queries", "panel_queries"]
 
 
 def load_all():
