@@ -48,18 +48,21 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def with_ctes(sql: str) -> str:
-    needed: set[str] = set()
+    ordered: list[str] = []
 
-    def visit(text):
-        for name, body in CTE.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
-                visit(body)
+    def visit(text):  # dependencies first
+        for name in set(re.findall(r"[a-z_0-9]+", text)) & CTE.keys() - set(ordered) - busy:
+            busy.add(name)
+            visit(CTE[name])
+            busy.discard(name)
+            if name not in ordered:
+                ordered.append(name)
 
+    busy: set[str] = set()
     visit(sql)
-    if not needed:
+    if not ordered:
         return sql
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n]})" for n in CTE if n in needed) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered) + "\n" + sql
 
 
 def register(name: str, sql: str | None = None):

@@ -371,11 +371,6 @@ CTE["fallback"] = f"""
         WHERE doc_id NOT IN (SELECT doc_id FROM plain_kept)))"""
 CTE["plain_raw"] = items_cte("documents", "doc_id", "text")
 CTE["plain_kept"] = "SELECT DISTINCT doc_id FROM plain_raw"
-CTE = CTE  # order of definition is the order of use
-_order = ["plain_raw", "plain_kept", "fallback"]
-for _k in _order:
-    CTE[_k] = CTE.pop(_k)
-
 
 @register("x12_fallback", f"""
   SELECT doc_id, 'claim' AS role, t AS text, {r6('spec')} AS specificity, e AS verifiable, NULL AS source, NULL AS evidence_type,

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.session import cut_lineage
 
 
-def global_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
-    """1-based row number in the given order.
+def global_row_number(df: DataFrame, order: list[str], name: str = "row_no",
+                      total: str | None = None) -> DataFrame:
+    """1-based row number in the given order, and the row count as ``total``.
 
     Rows are range-partitioned by the order columns, the partitions are counted,
     and each row adds the rows of earlier partitions to its place in its own. The
@@ -18,10 +19,11 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_no") ->
     ranged = cut_lineage(ranged)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))  # one row per partition
+    every = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    offsets = counts.select("_part", before.alias("_before"), every.alias(total or "_total"))  # one row per partition
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_part").withColumn(
-        name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+        name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before", "_total")
 
 
 def cumulative_counts(values: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
