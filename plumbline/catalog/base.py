@@ -150,18 +150,22 @@ _PHRASES = [
 ]
 _PLANT = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {q(p)}" for i, p in enumerate(_PHRASES)) + " ELSE '' END"
 MARKED_TEXT = f"text || {_PLANT}"
+_SAME = "\n\nThe panel met four times in the first year and agreed on the same list of measures at every meeting it held"
 _INTRO = ["This report sets out the evidence for early review of every change",
-          "Our approach describes the method, the team and the experience behind this study of review evidence",
+          "Our approach describes the method, the team and the experience behind this study of review evidence" + _SAME,
           "The objective is clear: review should reduce defects, and the evidence indicates a significant gain",
           "Either we act now or costs rise"]
-_MIDDLE = ["Studies show that it might work, could work and may possibly help. The sample was good and several things improved",
+_MIDDLE = ["Studies show that it might work, could work and may possibly help. The sample was good and several things improved."
+           " It seems that the change might be likely to hold for the whole group of people who took part in it",
            "Furthermore, the survey found £45M of savings in year one and £47M in year two (Brown, 2009)",
            "As noted in [1] and [2], and again in [3], results were clearly and certainly significant"]
-_RISK = ["The contractor shall accept liability if the review is late", "Stakeholder groups were affected by phase 1",
+_RISK = ["The contractor shall accept liability if the review is late, and perhaps the buyer could share the cost of each delay that the two"
+         " sides agree on at the start of the work or at the end of it", "Stakeholder groups were affected by phase 1",
          "Dr Lee (lead reviewer) delivered a 30% reduction", "Savings reached £40M (Green, 2025) and ¹ notes follow",
          "We must choose between cost and care; however, some may argue otherwise"]
-_CLOSE = ["Therefore the evidence for early review of every change holds", "In conclusion the study and the method stand",
-          "Unrelated matters dominate: weather, music, gardens, cooking", "Conversely, alternatively, nevertheless: review wins"]
+_CLOSE = ["Therefore the evidence for early review of every change holds", "In conclusion the study and the method stand" + _SAME,
+          "Unrelated matters dominate: weather, music, gardens, cooking. This is clearly, obviously and undoubtedly the case for every site that"
+          " took part in the trial during the past year and for all of the teams that ran it without a break", "Conversely, alternatively, nevertheless: review wins"]
 _pick = lambda mod, xs: f"CASE doc_id % {mod} " + " ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(xs)) + " END"
 _nl = " || chr(10) || "
 SECTION_TEXT = _nl.join([

@@ -127,7 +127,7 @@ def _b12(s, d):
 CTE["prof"] = f"""
   SELECT d.doc_id, (length(d.text) % 9) / 2 + 1 AS score, [least(len({words('d.text')}) / 500.0, 2), coalesce(counter_arguments, 0), coalesce(sentence_variety, 0) / 5.0,
     coalesce(cohesion_devices, 0), coalesce(vocabulary_sophistication, 0), coalesce(topic_sentences, 0), coalesce(personal_voice, 0), coalesce(rhetorical_devices, 0) / 5.0,
-    coalesce(least(argument_thesis, 1), 0), coalesce(mq, 0)]::DOUBLE[] AS profile
+    CASE WHEN argument_thesis > 0 THEN 1 ELSE 0 END, coalesce(mq, 0)]::DOUBLE[] AS profile
   FROM marked d LEFT JOIN (SELECT doc_id, avg(quality) AS mq, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in [x for x, _ in K.PROFILE] + ['argument_thesis'])}
     FROM ad_marked GROUP BY doc_id) a ON a.doc_id = d.doc_id"""
 from plumbline.catalog.text_queries import _adaptive_cte  # noqa: E402
