@@ -16,6 +16,7 @@ WS = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WS_CLASS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+RARE_WS = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_ALNUM = r"[^\p{L}\p{N}]+"
 
 
@@ -33,12 +34,18 @@ def ws_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WS))
 
 
+def plain_ws(c: Column) -> Column:
+    """Rare Unicode spaces become blanks, so that later patterns get by with the
+    ASCII class, which the regex engine tests by table."""
+    return F.regexp_replace(c, RARE_WS, " ")
+
+
 def words(c: Column) -> Column:
     """White-space tokens; empty array for blank text."""
     def cut(t):
-        return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{WS_CLASS}]+"))
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
-    return let(ws_trim(c), cut)
+    return let(ws_trim(plain_ws(c)), cut)
 
 
 def word_count(c: Column) -> Column:
@@ -87,7 +94,8 @@ def sentences_ws(c: Column) -> Column:
 
 
 def first_sentence_ws(c: Column) -> Column:
-    return F.coalesce(F.get(sentences_ws(c), F.lit(0)), F.lit(""))
+    first = F.regexp_extract(c, r"(?s)^.*?[.!?](?=[ \n]|\z)", 0)
+    return ws_trim(F.when(first != "", first).otherwise(c))
 
 
 def paragraphs(c: Column) -> Column:
@@ -112,8 +120,8 @@ def keywords_list(c: Column, stop) -> Column:
 def bare_words(c: Column) -> Column:
     """Lower-case white-space tokens without outer punctuation; one regex pass
     over the text instead of one per token."""
-    edge = rf"(?<![^{WS_CLASS}])[^\p{{L}}\p{{N}}{WS_CLASS}]+|[^\p{{L}}\p{{N}}{WS_CLASS}]+(?![^{WS_CLASS}])"
-    return words(F.regexp_replace(F.lower(c), edge, ""))
+    edge = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
+    return words(F.regexp_replace(plain_ws(F.lower(c)), edge, ""))
 
 
 def content_keywords(c: Column, stop) -> Column:
@@ -160,18 +168,19 @@ def overlap_fuzzy(a: Column, b: Column) -> Column:
 # groups, minus one per word of two or more groups whose last letter is a silent
 # e, plus one per word without any vowel.
 def syllable_total(c: Column) -> Column:
-    low = F.lower(c)
-    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
-    silent = F.regexp_count(low, F.lit(rf"[aeiouy][^aeiouy{WS_CLASS}]+[aeiouy]*e[^\p{{L}}{WS_CLASS}]*(?=[{WS_CLASS}]|\z)"))
-    bare = F.regexp_count(low, F.lit(rf"(?<![^{WS_CLASS}])[^aeiouy{WS_CLASS}]+(?=[{WS_CLASS}]|\z)"))
-    return groups - silent + bare
+    def total(low):
+        groups = F.regexp_count(low, F.lit("[aeiouy]+"))
+        silent = F.regexp_count(low, F.lit(r"[aeiouy][^aeiouy\s]+[aeiouy]*e(?:[^\p{L}\s]+)?(?!\S)"))
+        bare = F.regexp_count(low, F.lit(r"(?<!\S)[^aeiouy\s]++(?!\S)"))
+        return groups - silent + bare
+
+    return let(plain_ws(F.lower(c)), total)
 
 
 def flesch_kincaid(c: Column) -> Column:
-    w = word_count(c)
-    stops = F.greatest(F.length(c) - F.length(F.translate(c, ".!?", "")), F.lit(1))
-    grade = 0.39 * (w / stops) + 11.8 * (syllable_total(c) / w) - 15.59
-    return F.when(w == 0, F.lit(0.0)).otherwise(grade)
+    stops = F.greatest(F.regexp_count(c, F.lit("[.!?]")), F.lit(1))
+    return let(word_count(c), lambda w: F.when(w == 0, F.lit(0.0)).otherwise(
+        0.39 * (w / stops) + 11.8 * (syllable_total(c) / w) - 15.59))
 
 
 YEAR = r"(?<![0-9])(19[0-9][0-9]|20[0-2][0-9]|2030)(?![0-9])"
@@ -247,8 +256,7 @@ def number_value(v: Column) -> Column:
 def specificity_markers(c: Column) -> Column:
     """White-space tokens that hold a % or read as a number."""
     number = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity|nan)"
-    return F.regexp_count(c, F.lit(
-        rf"(?<![^{WS_CLASS}])(?:[^{WS_CLASS}%]*%[^{WS_CLASS}]*|{number})(?![^{WS_CLASS}])"))
+    return F.regexp_count(plain_ws(c), F.lit(rf"(?<!\S)(?:[^\s%]*%\S*|{number})(?!\S)"))
 
 
 def quality_signal(wc: Column, evidence: Column, specific: Column) -> Column:
@@ -278,7 +286,7 @@ def repeated_words(c: Column) -> Column:
     """array<struct<word, n>> of words (letters only, over 4 bytes) seen at least
     three times in a text of ten words or more. Sorted words make each repetition
     one run, so a back-reference finds the runs without a shuffle."""
-    letters = F.regexp_replace(F.lower(c), rf"[^\p{{L}}{WS_CLASS}]+", "")
+    letters = F.regexp_replace(plain_ws(F.lower(c)), r"[^\p{L}\s]+", "")
     clean = F.sort_array(F.filter(words(letters), lambda w: F.octet_length(w) > 4))
     runs = F.regexp_extract_all(
         F.array_join(clean, " "), F.lit(r"(?:^| )(\S+)(?: \1(?= |$)){2,}"), F.lit(0))

@@ -122,8 +122,8 @@ def reference_style() -> Column:
     harvard = total(lambda s: F.size(s["cites"]))
     numeric = total(lambda s: F.size(F.filter(
         F.regexp_extract_all(s["text"], F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda g: F.rlike(T.ws_trim(g), F.lit(r"^\+?[0-9]{1,9}$")))))
-    marks = total(lambda s: F.length(s["text"]) - F.length(F.translate(s["text"], L.FOOTNOTE_MARKS, "")) + F.regexp_count(
-        s["text"], F.lit(rf"(?<![^{T.WS_CLASS}])\^\+?[0-9]{{1,9}}(?![^{T.WS_CLASS}])")))
+    marks = total(lambda s: F.regexp_count(s["text"], F.lit(f"[{L.FOOTNOTE_MARKS}]")) + F.when(
+        F.contains(s["text"], F.lit("^")), F.regexp_count(T.plain_ws(s["text"]), F.lit(r"(?<!\S)\^\+?[0-9]{1,9}(?!\S)"))).otherwise(0))
 
     def judge(v):
         h, n, f = v["h"], v["n"], v["f"]
@@ -203,7 +203,8 @@ def transitions() -> Column:
 
 def specificity() -> Column:
     def section(s):
-        hits = sum((F.regexp_count(s["low"], F.lit(f"(?<![0-9A-Za-z]){m}(?![0-9A-Za-z])")) for m in L.VAGUE_TERMS), F.lit(0))
+        # no two terms can overlap, so one pass counts them all
+        hits = F.regexp_count(s["low"], F.lit(rf"(?<![0-9A-Za-z])(?:{'|'.join(L.VAGUE_TERMS)})(?![0-9A-Za-z])"))
         return T.let(hits / F.nullif(s["words"], F.lit(0)) * 100.0, lambda v: _collect(F.when(s["words"] >= 20, F.when(
             v > 5.0, _sig("specificity", "warning", -0.1, "high vagueness density", v, s["section_no"])).when(
             (v < 1.0) & (s["words"] >= 50), _sig("specificity", "info", 0.05, "specific language", v, s["section_no"])))))
