@@ -34,12 +34,12 @@ def read_labeled(spark: SparkSession, path) -> DataFrame:
 def read_text_corpus(spark: SparkSession, path) -> DataFrame:
     """One document per md or txt file below a folder, in any letter case: (path,
     doc_id, title, doc_type, text). PDF and DOCX need a decoder and are left out."""
-    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(decoded.alias("path"), F.col("value").alias("text"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     return raw.where(ext.isin("md", "txt")).select(
-        "path", F.xxhash64("path").alias("doc_id"), F.url_decode(F.regexp_replace(name, r"\.[^.]+$", "")).alias("title"), ext.alias("doc_type"), "text")
+        "path", F.xxhash64("path").alias("doc_id"), F.regexp_replace(name, r"\.[^.]+$", "").alias("title"), ext.alias("doc_type"), "text")
 
 
 LOT = r"(?i)(?:^|[\s_\-/\\])lot[\s_\-]?(\d+)(?:[\s_\-/\\.]|$)"
