@@ -10,9 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "document_gate", "p1_sections", "p3_word_count", "p5a_sentences_dot15", "p9_keywords", "p10_reading_grade", "p12_significant_numbers",
     "x6_x7_items", "x14_adaptive_essay", "x18_repetition", "g1_graph_position_metrics", "g6_graph_metrics", "g7_support_depth", "g9_pagerank",
-    "g10_verify_spans", "g12_completeness", "m9_mined_facts", "validate_all", "v3_number_consistency", "r5_credibility", "j1_align_sections",
-    "j6_semantic_topk", "f3_firewall_verdict", "w2_verify_snippets", "d3_disagreements", "d7_trust_update", "d8_moderate", "b5_per_group",
-    "b17_weight_search", "h4_compare_to_history", "h10_nearest_rank_percentiles", "h11_score_timeline", "s14_triples", "q7_kg_nodes",
+    "g10_verify_spans", "g12_completeness", "m9_mined_facts", "v3_number_consistency", "r5_credibility", "j1_align_sections",
+    "j6_semantic_topk", "f3_firewall_verdict", "d3_disagreements", "d7_trust_update", "d8_moderate", "b5_per_group",
+    "h4_compare_to_history", "h10_nearest_rank_percentiles", "h11_score_timeline", "s14_triples", 
     "st3_latest_score_stream",
 ]
 
