@@ -78,16 +78,16 @@ def _b7(s, d):
     return A.agreement(A.score_join(_ext(s, d), c), [])
 
 
-CTE["blend_in"] = "SELECT h.structural AS eds, x.score AS external, h.actual, h.max_score FROM hsamples h JOIN ext_scores x ON x.id = h.doc_id"
-CTE["blend_rows"] = """SELECT 'external' AS kind, external AS predicted, actual, max_score FROM blend_in UNION ALL SELECT 'deterministic', eds * max_score, actual, max_score FROM blend_in
-  UNION ALL SELECT 'blended', eds * max_score * 0.4 + external * 0.6, actual, max_score FROM blend_in"""
+CTE["blend_in"] = "SELECT h.structural AS own, x.score AS external, h.actual, h.max_score FROM hsamples h JOIN ext_scores x ON x.id = h.doc_id"
+CTE["blend_rows"] = """SELECT 'external' AS kind, external AS predicted, actual, max_score FROM blend_in UNION ALL SELECT 'deterministic', own * max_score, actual, max_score FROM blend_in
+  UNION ALL SELECT 'blended', own * max_score * 0.4 + external * 0.6, actual, max_score FROM blend_in"""
 CTE["met_blend"] = metric_sql("blend_rows", "kind")
 
 
 @register("b9_blend", f"SELECT gk AS kind, {_M} FROM met_blend")
 def _b9(s, d):
     x = _ext(s, d).select(F.col("id").alias("doc_id"), F.col("score").alias("external"))
-    return A.blend(_hsamples(s, d).join(x, "doc_id").select(F.col("structural").alias("eds"), "external", "actual", "max_score"))
+    return A.blend(_hsamples(s, d).join(x, "doc_id").select(F.col("structural").alias("own"), "external", "actual", "max_score"))
 
 
 CTE["band_in"] = "SELECT CAST(l_quantity * 2 AS INT) % 12 / 2 AS actual, l_discount * 40 + l_tax * 10 AS predicted FROM lineitem"

@@ -173,7 +173,7 @@ def _d11(s, d):
 CTE["feed"] = """SELECT user_id AS session_id, 'a' || (event_id % 4) AS agent_id, CASE WHEN event_id % 2 = 0 THEN 'depth' ELSE 'rigour' END AS criterion_id, event_id AS source_id,
   CASE event_type WHEN 'view' THEN 'evidence' WHEN 'click' THEN 'citation' WHEN 'purchase' THEN 'quantified_data' WHEN 'signup' THEN 'claim' ELSE 'other' END AS evidence_type,
   props AS text, value / 100 - 0.1 * 1e0 AS strength FROM events"""
-CTE["fnodes"] = f"""SELECT session_id, agent_id, criterion_id, 'urn:eds:' || agent_id || ':' || criterion_id || ':' || source_id AS node_id,
+CTE["fnodes"] = f"""SELECT session_id, agent_id, criterion_id, 'urn:feed:' || agent_id || ':' || criterion_id || ':' || source_id AS node_id,
   CASE evidence_type WHEN 'quantified_data' THEN 'QuantifiedEvidence' WHEN 'citation' THEN 'Citation' WHEN 'claim' THEN 'SubClaim' ELSE 'Evidence' END AS node_type,
   text, {clip('strength', 0, 1)} AS score FROM feed"""
 FEED = lambda s, d: panel.feed_nodes(run_sql(s, d, "feed"))
@@ -197,7 +197,7 @@ CTE["counter_ev"] = """SELECT user_id AS session_id, 'a' || (event_id % 4) AS ta
   SELECT n.session_id, n.agent_id, n.criterion_id, node_id, node_type, text, {r6(f"score * CASE WHEN c.m IS NULL THEN 1 ELSE 1 - {clip('0.3 * c.m', 0, 0.5)} END")} AS score FROM fnodes n
   LEFT JOIN (SELECT session_id, target_agent, criterion_id, avg(strength) AS m FROM counter_ev GROUP BY ALL) c
     ON c.session_id = n.session_id AND c.target_agent = n.agent_id AND c.criterion_id = n.criterion_id
-  UNION ALL SELECT session_id, target_agent, criterion_id, 'urn:eds:challenge:' || challenger || ':' || criterion_id || ':' || source_id, 'Counter', text, {r6(clip('strength', 0, 1))} FROM counter_ev""")
+  UNION ALL SELECT session_id, target_agent, criterion_id, 'urn:feed:challenge:' || challenger || ':' || criterion_id || ':' || source_id, 'Counter', text, {r6(clip('strength', 0, 1))} FROM counter_ev""")
 def _d13(s, d):
     return panel.inhibit(FEED(s, d), run_sql(s, d, "counter_ev"))
 

@@ -72,11 +72,11 @@ def score_join(scored: DataFrame, samples: DataFrame) -> DataFrame:
     return scored.select("id", F.col("score").alias("predicted")).join(samples, "id")
 
 
-def blend(df: DataFrame, eds_weight: float = 0.4) -> DataFrame:
-    """Metrics of the external score, the deterministic one (eds, 0..1), their
-    blend and, when present, a calibrated score. df(external, eds, actual, max_score[, calibrated])."""
-    eds = F.col("eds") * F.col("max_score")
-    kinds = [("external", F.col("external")), ("deterministic", eds), ("blended", eds * eds_weight + F.col("external") * (1 - eds_weight))]
+def blend(df: DataFrame, own_weight: float = 0.4) -> DataFrame:
+    """Metrics of the external score, the deterministic one (own, 0..1), their
+    blend and, when present, a calibrated score. df(external, own, actual, max_score[, calibrated])."""
+    own = F.col("own") * F.col("max_score")
+    kinds = [("external", F.col("external")), ("deterministic", own), ("blended", own * own_weight + F.col("external") * (1 - own_weight))]
     if "calibrated" in df.columns:
         kinds.append(("calibrated", F.col("calibrated")))
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("predicted")) for k, c in kinds])

@@ -19,15 +19,15 @@ def gate(metrics: DataFrame, score: str, max_score: str, a: float = GATE_A, b: f
     recommended_score to a row of graph_metrics (with depth and quality) that
     carries an external score."""
     s, m = F.col(score), F.col(max_score)
-    llm = F.when(m > 0, s / m).otherwise(0.0)
+    external = F.when(m > 0, s / m).otherwise(0.0)
     nothing = (F.col("node_count") == 0) | ((F.col("evidence_count") == 0) & (F.col("claim_count") == 0))
-    bare = (F.col("evidence_count") == 0) & (llm > 0.3)
+    bare = (F.col("evidence_count") == 0) & (external > 0.3)
     d = metrics.withColumn("structural", structural_score(weights))
     d = d.withColumn("evidence_score", F.when(
         F.col("quality").isNull(), F.col("structural")).otherwise(0.5 * F.col("structural") + 0.5 * F.col("quality")))
     d = d.withColumn("tolerance", _clip(a * F.log(F.col("node_count") + 1.0) + b, 0.05, 0.30) * F.coalesce(
         _clip(F.col("quality") / 0.5, 0.5, 1.0), F.lit(1.0)))
-    d = d.withColumn("gap", F.abs(llm - F.col("evidence_score")))
+    d = d.withColumn("gap", F.abs(external - F.col("evidence_score")))
     verdict = (
         F.when(nothing | bare, "REJECTED").when(F.col("gap") <= F.col("tolerance"), "CONFIRMED").otherwise("FLAGGED"))
     reason = (

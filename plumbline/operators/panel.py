@@ -176,7 +176,7 @@ def feed_nodes(feed: DataFrame) -> DataFrame:
         kind = F.when(F.col("evidence_type") == k, v).otherwise(kind)
     return feed.select(
         "session_id", "agent_id", "criterion_id",
-        F.concat_ws(":", F.lit("urn:eds"), "agent_id", "criterion_id", "source_id").alias("node_id"), kind.alias("node_type"), "text",
+        F.concat_ws(":", F.lit("urn:feed"), "agent_id", "criterion_id", "source_id").alias("node_id"), kind.alias("node_type"), "text",
         _clip(F.col("strength"), 0.0, 1.0).alias("score"))
 
 
@@ -194,7 +194,7 @@ def inhibit(nodes: DataFrame, counter: DataFrame) -> DataFrame:
     factor = c.groupBy(*keys).agg((1.0 - _clip(F.avg("strength") * 0.3, 0.0, 0.5)).alias("factor"))
     scaled = nodes.join(factor, keys, "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0))).drop("factor")
     added = c.select(
-        *keys, F.concat_ws(":", F.lit("urn:eds:challenge"), "challenger", "criterion_id", "source_id").alias("node_id"),
+        *keys, F.concat_ws(":", F.lit("urn:feed:challenge"), "challenger", "criterion_id", "source_id").alias("node_id"),
         F.lit("Counter").alias("node_type"), "text", _clip(F.col("strength"), 0.0, 1.0).alias("score"))
     return scaled.unionByName(added)
 

@@ -115,7 +115,7 @@ def alignments(df: DataFrame) -> DataFrame:
 def signals(df: DataFrame) -> DataFrame:
     """check signals numbered per document (signal_no)"""
     return entity(df, iri("val", "doc_id", "signal_no"), "ValidationSignal", {
-        "title": ("title", None), "severity": ("severity", None), "spikeEffect": ("effect", NUMBER)}, {"document": iri("doc", "doc_id")})
+        "title": ("title", None), "severity": ("severity", None), "effect": ("effect", NUMBER)}, {"document": iri("doc", "doc_id")})
 
 
 def predictions(df: DataFrame) -> DataFrame:
