@@ -29,7 +29,7 @@ def evidence_stream(feed: DataFrame) -> DataFrame:
 def evidence_windows(feed: DataFrame, ts: str = "ts", late: str = "1 day", size: str = "1 day") -> DataFrame:
     """Event-time variant: node counts per tumbling window; state of windows older
     than the watermark is dropped (append mode)."""
-    n = feed.withWatermark(ts, late)
+    n = feed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)  # watermarks need a zoned type
     return n.groupBy(F.window(ts, size).alias("w"), "agent_id", "criterion_id").agg(F.count("*").alias("nodes")).select(
         F.col("w.start").alias("window_start"), "agent_id", "criterion_id", "nodes")
 
