@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import piece_table, quality_rules, secret_scan
-from plumbline.llm.common import texts
+from plumbline.llm import piece_table, quality_rules, secret_scan, token_index
+from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,12 @@ def op9(spark, sf_dir):
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), piece_table.ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op1_token_index")
+def op1(spark, sf_dir):
+    docs, folder = documents(spark, sf_dir), work_folder(spark, "token-index")
+    token_index.build(docs, public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2)
+    found = token_index.lookup(docs.select("doc_id").distinct(), folder)
+    return token_index.read(found, folder).select(
+        "doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
