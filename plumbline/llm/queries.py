@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import piece_table, quality_rules, secret_scan, token_index
+from plumbline.llm import piece_table, quality_rules, secret_scan, suffix_tree_lm, token_index
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op1(spark, sf_dir):
     found = token_index.lookup(docs.select("doc_id").distinct(), folder)
     return token_index.read(found, folder).select(
         "doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_suffix_tree_lm")
+def op3(spark, sf_dir):
+    return suffix_tree_lm.learn_and_score(documents(spark, sf_dir))
