@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import piece_table, quality_rules, secret_scan, suffix_tree_lm, token_index
+from plumbline.llm import piece_table, quality_rules, secret_scan, shingle_join, suffix_tree_lm, token_index
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,8 +70,7 @@ def op6(spark, sf_dir):
 @query("op9_sentencepiece")
 def op9(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = texts(documents(spark, sf_dir)).select("doc_id", piece_table.encoder(model)("text").alias("ids"))
-    both = ids.select("doc_id", "ids", piece_table.decoder(model)("ids").alias("decoded"))
+    both = texts(documents(spark, sf_dir)).select("doc_id", piece_table.round_trip(model)("text").alias("p")).select("doc_id", "p.*")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), piece_table.ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -89,3 +88,24 @@ def op1(spark, sf_dir):
 @query("op3_suffix_tree_lm")
 def op3(spark, sf_dir):
     return suffix_tree_lm.learn_and_score(documents(spark, sf_dir))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)) AS g FROM t),
+c AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s GROUP BY g),
+e AS (SELECT rep, n, unnest(g) AS x FROM c),
+o AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * k >= 75 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+m AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.g) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE m.component_id END AS component_id
+FROM s JOIN c USING (g) JOIN m USING (rep)
+"""
+
+
+@query("op7_shingle_join", OP7_SQL)
+def op7(spark, sf_dir):
+    return shingle_join.shingle_join(documents(spark, sf_dir))
