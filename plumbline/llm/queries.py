@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import piece_table, quality_rules, secret_scan, shingle_join, suffix_tree_lm, token_index
+from plumbline.llm import line_dedup, piece_table, quality_rules, secret_scan, shingle_join, suffix_tree_lm, token_index
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,11 @@ FROM s JOIN c USING (g) JOIN m USING (rep)
 @query("op7_shingle_join", OP7_SQL)
 def op7(spark, sf_dir):
     return shingle_join.shingle_join(documents(spark, sf_dir))
+
+
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select(
+        "doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"),
+        F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
