@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import decontaminate, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, suffix_tree_lm, token_index
+from plumbline.llm import decontaminate, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,20 @@ def op2(spark, sf_dir):
 @query("op10_decontaminate")
 def op10(spark, sf_dir):
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP4_SQL = rf"""
+WITH t AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS p FROM later, (SELECT unnest(range(0, 20)) AS k) GROUP BY 1),
+x AS (SELECT t.doc_id, w, coalesce(p, []) AS p FROM t LEFT JOIN gone USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM
+         (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t) ANTI JOIN (SELECT doc_id, unnest(p) AS i FROM gone) USING (doc_id, i) GROUP BY 1)
+SELECT x.doc_id, len(w) AS n_words, len(p) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM x LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def op4(spark, sf_dir):
+    return substring_dedup.dedup_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
