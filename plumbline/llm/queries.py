@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import decontaminate, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index
+from plumbline.llm import decontaminate, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,7 +93,7 @@ def op3(spark, sf_dir):
 OP7_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)) AS g FROM t),
+        ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END)) AS g FROM t),
 c AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s GROUP BY g),
 e AS (SELECT rep, n, unnest(g) AS x FROM c),
 o AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
@@ -139,3 +139,14 @@ SELECT x.doc_id, len(w) AS n_words, len(p) AS n_removed, sha256(coalesce(s, ''))
 @query("op4_substring_dedup", OP4_SQL)
 def op4(spark, sf_dir):
     return substring_dedup.dedup_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_warc_derivatives")
+def op8(spark, sf_dir):
+    folder = work_folder(spark, "warc")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    warc.write(warc.derive(warc.responses(pages, "2024-01-01T00:00:00Z")), folder)
+    r = warc.read(spark, folder)
+    return r.select(
+        "record_id", "type", "date", "target_uri", "refers_to", "content_type", F.octet_length("payload").cast("long").alias("length"), F.size("headers").cast("long").alias("n_headers"),
+        "payload_digest", "source_digest", F.sha2("payload", 256).alias("payload_sha256"))
