@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from plumbline.llm import decontaminate, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
 from plumbline.llm.common import texts, work_folder
 
@@ -150,3 +151,8 @@ def op8(spark, sf_dir):
     return r.select(
         "record_id", "type", "date", "target_uri", "refers_to", "content_type", F.octet_length("payload").cast("long").alias("length"), F.size("headers").cast("long").alias("n_headers"),
         "payload_digest", "source_digest", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
