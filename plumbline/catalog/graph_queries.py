@@ -267,7 +267,7 @@ def _g9(s, d):
 # quotes: the extracted items of each marked text and one benchmark passage
 CTE["quotes"] = """
   SELECT doc_id, node_id, node_type, source_text, start FROM gm_nodes WHERE node_type <> 'Structural'
-  UNION ALL SELECT d.doc_id, 'b' || b.item_id, 'Evidence', b.text, NULL FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+  UNION ALL SELECT d.doc_id, 'b' || b.item_id, 'Evidence', b.text, NULL FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
   UNION ALL SELECT doc_id, 'x', 'SubClaim', NULL, NULL FROM documents"""
 
 
@@ -277,7 +277,7 @@ def _quotes(s, d):
     ids = table(s, d, "documents").select("doc_id")
     b = table(s, d, "benchmark").select((F.col("item_id")).alias("item_id"), F.col("text").alias("source_text"))
     none = F.lit(None).cast(graph.SPAN).alias("span")
-    passages = ids.withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id").select(
+    passages = ids.withColumn("item_id", F.col("doc_id") % b.agg(F.count("*")).scalar()).join(b, "item_id").select(
         "doc_id", F.concat(F.lit("b"), "item_id").alias("node_id"), F.lit("Evidence").alias("node_type"), "source_text", none)
     blank = ids.select("doc_id", F.lit("x").alias("node_id"), F.lit("SubClaim").alias("node_type"), F.lit(None).cast("string").alias("source_text"), none)
     return n.select(*cols).unionByName(passages).unionByName(blank)
@@ -453,17 +453,17 @@ def _m11(s, d):
     return rules.derive(*_h(s, d), rules={"HeavilyBacked": _heavy})
 
 
-# criteria = parts, scored when ordered in January 1998; agents = customers, needs = orders
+# criteria = parts, scored where they are a supplier's number on a line; agents = customers, needs = orders
 @register("m12_quality_violations", """
   SELECT 'criterion_scored' AS rule, 'error' AS severity, CAST(p_partkey AS VARCHAR) AS subject FROM part
-    WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-02-01')
-  UNION ALL SELECT 'agent_has_needs', 'warning', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+    WHERE p_partkey NOT IN (SELECT l_suppkey FROM lineitem)
+  UNION ALL SELECT 'agent_has_needs', 'warning', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def _m12(s, d):
-    scored = table(s, d, "lineitem").where("l_shipdate < timestamp'1998-02-01'").select(F.col("l_partkey").alias("criterion_id"))
+    scored = table(s, d, "lineitem").select(F.col("l_suppkey").alias("criterion_id"))
     return rules.quality_violations(
         table(s, d, "part").select(F.col("p_partkey").alias("criterion_id")), scored,
         table(s, d, "customer").select(F.col("c_custkey").alias("agent_id")),
-        table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("agent_id")))
+        table(s, d, "orders").select(F.col("o_custkey").alias("agent_id")))
 
 
 # --- T: gates -------------------------------------------------------------------

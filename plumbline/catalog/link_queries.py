@@ -126,7 +126,7 @@ def _w1(s, d):
 
 # a snippet is another benchmark passage, or the whole text of the document itself
 CTE["snips"] = """SELECT c.doc_id, c.node_id, CASE WHEN c.doc_id % 3 = 0 THEN m.text WHEN c.doc_id % 3 = 1 THEN b.text END AS snippet FROM wclaims c JOIN documents m ON m.doc_id = c.doc_id
-  JOIN benchmark b ON b.item_id = (c.doc_id + 1) % 40 WHERE query IS NOT NULL AND c.doc_id % 5 <> 0"""
+  JOIN benchmark b ON b.item_id = (c.doc_id + 1) % (SELECT count(*) FROM benchmark) WHERE query IS NOT NULL AND c.doc_id % 5 <> 0"""
 CTE["wchk"] = f"""SELECT c.doc_id, c.node_id, CASE WHEN strlen(coalesce(snippet, '')) >= 50 THEN CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda w: contains(lower(snippet), w))) * 1.0 / len(l) END END AS match_ratio,
   s.doc_id IS NOT NULL AS looked FROM (SELECT *, list_filter({words('lower(claim)')}, lambda w: strlen(w) > 4) AS l FROM wclaims WHERE query IS NOT NULL) c LEFT JOIN snips s ON s.doc_id = c.doc_id AND s.node_id = c.node_id"""
 _st = "CASE WHEN NOT looked THEN 'pending' WHEN match_ratio > 0.5 THEN 'verified' ELSE 'unverifiable' END"
@@ -136,7 +136,7 @@ def _checked(s, d):
     c = CLAIMS(s, d)
     b = table(s, d, "benchmark").select(F.col("item_id"), F.col("text").alias("passage"))
     t = table(s, d, "documents").select("doc_id", "text")
-    sn = c.select("doc_id", "node_id").where("doc_id % 5 <> 0").join(t, "doc_id").withColumn("item_id", (F.col("doc_id") + 1) % 40).join(b, "item_id")
+    sn = c.select("doc_id", "node_id").where("doc_id % 5 <> 0").join(t, "doc_id").withColumn("item_id", (F.col("doc_id") + 1) % b.agg(F.count("*")).scalar()).join(b, "item_id")
     sn = sn.select("doc_id", "node_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.col("passage")).alias("snippet"))
     return W.verify_against_snippets(c, sn)
 
@@ -328,14 +328,14 @@ def _q8b(s, d):
 
 
 # --- S3 lots: page addresses as file paths ------------------------------------------------
-PATH = ("CASE page_id % 6 WHEN 0 THEN '/Lot ' || (page_id % 13) || '/response.md' WHEN 1 THEN '/bid/lot_' || (page_id % 4) || '/Lot-0' || (page_id % 9) || '.txt' WHEN 2 THEN '/ITT/pricing schedule.md' "
-        "WHEN 3 THEN '/LOT' || (page_id % 7) || '-method.md' WHEN 4 THEN '/pilot3/notes.md' ELSE '/allotment 4/plan.txt' END")
+PATH = ("CASE page_id % 7 WHEN 0 THEN '/Lot ' || (page_id % 13) || '/response.md' WHEN 1 THEN '/bid/lot_' || (page_id % 4) || '/Lot-0' || (page_id % 9) || '.txt' WHEN 2 THEN '/ITT/pricing schedule.md' "
+        "WHEN 3 THEN '/LOT' || (page_id % 7) || '-method.md' WHEN 4 THEN '/pilot3/notes.md' WHEN 5 THEN '/Lot 99999999999/x.md' ELSE '/allotment 4/plan.txt' END")
 CTE["files"] = f"SELECT page_id, url || {PATH} AS path FROM pages"
 
 
-@register("s3_classify_lots", r"""SELECT page_id, CASE WHEN n IS NULL THEN 'shared' ELSE 'lot' END AS scope, CAST(n AS BIGINT) AS lot_no, 'lot_' || CAST(n AS INT) AS lot_key, 'Lot ' || CAST(n AS INT) AS lot_name,
-  (%s) AS shared_marker FROM (SELECT page_id, path, list_filter(list_transform(list_reverse(string_split(path, '/')), lambda c: CASE WHEN regexp_matches(c, '(?i)(?:^|[\s_\-/\\])lot[\s_\-]?(\d+)(?:[\s_\-/\\.]|$)')
-    THEN regexp_extract(c, '(?i)(?:^|[\s_\-/\\])lot[\s_\-]?(\d+)(?:[\s_\-/\\.]|$)', 1) WHEN regexp_matches(c, '(?i)^lot[\s_\-]?(\d+)') THEN regexp_extract(c, '(?i)^lot[\s_\-]?(\d+)', 1) END), lambda x: x IS NOT NULL)[1] AS n FROM files)""" % any_of("lower(path)", L.SHARED_PATTERNS))
+@register("s3_classify_lots", r"""SELECT page_id, CASE WHEN n IS NULL THEN 'shared' ELSE 'lot' END AS scope, CAST(no AS BIGINT) AS lot_no, 'lot_' || no AS lot_key, 'Lot ' || no AS lot_name,
+  (%s) AS shared_marker FROM (SELECT *, CASE WHEN n IS NOT NULL THEN coalesce(TRY_CAST(n AS INT), 0) END AS no FROM (SELECT page_id, path, list_filter(list_transform(list_reverse(string_split(path, '/')), lambda c: CASE WHEN regexp_matches(c, '(?i)(?:^|[\s_\-/\\])lot[\s_\-]?(\d+)(?:[\s_\-/\\.]|$)')
+    THEN regexp_extract(c, '(?i)(?:^|[\s_\-/\\])lot[\s_\-]?(\d+)(?:[\s_\-/\\.]|$)', 1) WHEN regexp_matches(c, '(?i)^lot[\s_\-]?(\d+)') THEN regexp_extract(c, '(?i)^lot[\s_\-]?(\d+)', 1) END), lambda x: x IS NOT NULL)[1] AS n FROM files))""" % any_of("lower(path)", L.SHARED_PATTERNS))
 def _s3(s, d):
     f = table(s, d, "pages").select("page_id", F.concat("url", F.expr(PATH)).alias("path"))
     return readers.classify_lots(f).drop("path")

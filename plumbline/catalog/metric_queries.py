@@ -63,13 +63,13 @@ def _b6(s, d):
     return A.ablation(_hsamples(s, d).select("structural", "actual", "max_score"))
 
 
-CTE["ext_scores"] = "SELECT o_custkey AS id, avg(o_totalprice) / 50000 AS score FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey"
+CTE["ext_scores"] = "SELECT o_custkey AS id, avg(o_totalprice) / 50000 AS score FROM orders GROUP BY o_custkey"
 CTE["joined"] = """SELECT x.score AS predicted, greatest(c_acctbal, 0) / 1000 AS actual, 12 * 1e0 AS max_score, c_custkey FROM ext_scores x JOIN customer c ON c.c_custkey = x.id"""
 CTE["met_join"] = metric_sql("joined", "")
 
 
 def _ext(s, d):
-    return table(s, d, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("id")).agg((F.avg("o_totalprice") / 50000).alias("score"))
+    return table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.avg("o_totalprice") / 50000).alias("score"))
 
 
 @register("b7_score_join", f"SELECT {_M} FROM met_join")
@@ -171,7 +171,7 @@ def _b15(s, d):
     return K.calibrated_score(_near(s, d).withColumn("external", F.lit(4.2)), "external", F.lit(5.0)).select("doc_id", "anchor_id", "anchor_score", "calibrated")
 
 
-@register("b16_split_train_test")
+@register("b16_split_train_test", "SELECT o_orderkey, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) < '8' AS is_train FROM orders")
 def _b16(s, d):
     return A.split_train_test(table(s, d, "orders").select("o_orderkey"), "o_orderkey")
 
@@ -234,20 +234,21 @@ def _h3(s, d):
     return H.score_histogram(run_sql(s, d, "hrec"))
 
 
-# current records: those after 2000; history: all before
-CTE["hcur"] = "SELECT * FROM hrec WHERE evaluated_at >= TIMESTAMP '2000-01-01'"
+# current records: those after 2000, some of a framework without history; history: all before
+CTE["hcur"] = "SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'new ' || framework_name ELSE framework_name END AS framework_name) FROM hrec WHERE evaluated_at >= TIMESTAMP '2000-01-01'"
 CTE["hpast"] = "SELECT * FROM hrec WHERE evaluated_at < TIMESTAMP '2000-01-01'"
 
 
 def _split(s, d):
     h = _hist(s, d)
     cut = F.lit("2000-01-01").cast("timestamp")
-    return h.where(F.col("evaluated_at") >= cut), h.where(F.col("evaluated_at") < cut)
+    new = F.when(F.col("id") % 7 == 0, F.concat(F.lit("new "), "framework_name")).otherwise(F.col("framework_name"))
+    return h.where(F.col("evaluated_at") >= cut).withColumn("framework_name", new), h.where(F.col("evaluated_at") < cut)
 
 
-@register("h4_compare_to_history", f"""SELECT c.id, c.framework_name, {r6('c.percentage')} AS percentage, count(*) AS total_compared, {r6('avg(h.percentage)')} AS historical_mean,
-  {r6('stddev_samp(h.percentage)')} AS historical_std_dev, {big('floor(count(*) FILTER (h.percentage < c.percentage) * 1.0 / count(*) * 100)')} AS percentile
-  FROM hcur c JOIN hpast h ON h.framework_name = c.framework_name GROUP BY c.id, c.framework_name, c.percentage""")
+@register("h4_compare_to_history", f"""SELECT c.id, c.framework_name, {r6('c.percentage')} AS percentage, count(h.id) AS total_compared, {r6('avg(h.percentage)')} AS historical_mean,
+  {r6('stddev_samp(h.percentage)')} AS historical_std_dev, {big('floor(count(*) FILTER (h.percentage < c.percentage) * 1.0 / nullif(count(h.id), 0) * 100)')} AS percentile
+  FROM hcur c LEFT JOIN hpast h ON h.framework_name = c.framework_name GROUP BY c.id, c.framework_name, c.percentage""")
 def _h4(s, d):
     return H.compare_to_history(*_split(s, d))
 

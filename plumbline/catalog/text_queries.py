@@ -316,10 +316,10 @@ def _x6(s, d):
     SELECT d.doc_id, b.item_id, list_distinct({words('d.text')}) AS a, list_distinct({words('b.text')}) AS b,
            list_distinct(list_filter({words('d.text')}, lambda w: strlen(w) > 2)) AS a3,
            list_distinct(list_filter({words('b.text')}, lambda w: strlen(w) > 2)) AS b3
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)""")
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))""")
 def _x8(s, d):
     b = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    j = docs(s, d).withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    j = docs(s, d).withColumn("item_id", F.col("doc_id") % b.agg(F.count("*")).scalar()).join(b, "item_id")
     return j.select("doc_id", "item_id", T.word_jaccard(F.col("text"), F.col("passage")).alias("jaccard"),
                     T.word_jaccard(F.col("text"), F.col("passage"), 2).alias("jaccard_long"))
 

@@ -80,8 +80,8 @@ def score_histogram(records: DataFrame) -> DataFrame:
 
 def compare_to_history(current: DataFrame, history: DataFrame) -> DataFrame:
     """Each current record against the history of its framework: count, mean,
-    deviation and the truncated percentage of history strictly below it. Records of
-    a framework without history drop out.
+    deviation and the truncated percentage of history strictly below it. A record
+    of a framework without history keeps its row: compared with 0, the rest null.
 
     Both sides enter one cumulative count per framework (history counts, current
     rows are looked up), so no record meets every other."""
@@ -98,8 +98,8 @@ def compare_to_history(current: DataFrame, history: DataFrame) -> DataFrame:
     n = F.count("*")
     stats = history.groupBy("framework_name").agg(
         n.alias("total_compared"), F.avg("percentage").alias("historical_mean"), _sd("percentage", n).alias("historical_std_dev"))
-    return current.select("id", "framework_name", "percentage").join(stats, "framework_name").join(below, ["framework_name", "percentage"]).select(
-        "id", "framework_name", "percentage", "total_compared", "historical_mean", "historical_std_dev",
+    return current.select("id", "framework_name", "percentage").join(stats, "framework_name", "left").join(below, ["framework_name", "percentage"], "left").select(
+        "id", "framework_name", "percentage", F.coalesce("total_compared", F.lit(0)).alias("total_compared"), "historical_mean", "historical_std_dev",
         F.floor(F.col("below") / F.col("total_compared") * 100.0).alias("percentile"))
 
 

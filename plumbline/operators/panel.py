@@ -110,7 +110,8 @@ def trust_update(challenges: DataFrame, start: DataFrame | None = None, default:
     pairs = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "f"))).alias("fs"))
     base = F.lit(default)
     if start is not None:
-        pairs = pairs.join(start.select("truster", "trustee", "trust_level"), ["truster", "trustee"], "left")
+        on = [k for k in keys if k in start.columns]
+        pairs = pairs.join(start.select(*on, "trust_level"), on, "left")
         base = F.coalesce("trust_level", F.lit(default))
     return pairs.select(*keys, F.aggregate("fs", base, lambda t, x: F.greatest(
         F.least(t + x["f"]["add"], x["f"]["high"]), x["f"]["low"])).alias("trust_level"))
@@ -118,10 +119,11 @@ def trust_update(challenges: DataFrame, start: DataFrame | None = None, default:
 
 def moderate(scores: DataFrame, trust: DataFrame, keys: list[str] = CELL) -> DataFrame:
     """Per criterion: mean, population deviation, trust-weighted consensus (weight =
-    mean inbound trust, 1 when unknown, 0 when all weights are 0) and dissents, the
+    mean inbound trust within the session where trust has one, 1 when unknown, 0 when all weights are 0) and dissents, the
     scores more than two deviations from the mean."""
-    inbound = trust.groupBy(F.col("trustee").alias("agent_id")).agg(F.avg("trust_level").alias("w"))
-    s = scores.join(inbound, "agent_id", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+    trust = trust.withColumnRenamed("trustee", "agent_id")
+    on = [k for k in ("session_id", "agent_id") if k in trust.columns and k in scores.columns]
+    s = scores.join(trust.groupBy(*on).agg(F.avg("trust_level").alias("w")), on, "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     stats = s.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("score").alias("panel_mean"),
         F.when(F.count("*") < 2, 0.0).otherwise(F.stddev_pop("score")).alias("panel_std_dev"),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from plumbline.operators import extraction, graph, sections
 from plumbline.operators.gate import gate
-from plumbline.session import fits_broadcast
 
 
 def document_graph(documents: DataFrame, segmented: bool = False, order: str = "confidence") -> DataFrame:
@@ -20,11 +19,7 @@ def document_gate(documents: DataFrame, scores: DataFrame, segmented: bool = Fal
     """scores(doc_id, score, max_score) joined to the structural verdict.
 
     Text is read once and dropped before the first shuffle; what is shuffled are
-    per-node marks, then one row per document. Documents without a score are left
-    out early only when the scored ids fit a broadcast: otherwise that join would
-    shuffle the texts, and it is cheaper to drop their small metric rows later."""
-    ids = scores.select("doc_id")
-    if fits_broadcast(ids):
-        documents = documents.join(F.broadcast(ids), "doc_id", "left_semi")
+    per-node marks, then one row per document. Documents without a score drop out
+    with their small metric rows: a join on the ids first would shuffle the texts."""
     metrics = graph.graph_metrics(document_graph(documents, segmented, order))
     return gate(metrics.join(scores, "doc_id"), "score", "max_score")

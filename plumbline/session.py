@@ -42,20 +42,15 @@ def build_session(app: str = "plumbline", cpus: str | None = None) -> SparkSessi
     return spark
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's size estimate of a plan is within the broadcast threshold."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(str(size)) <= limit
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and work tables: the one the cluster names in
-    spark.checkpoint.dir; a fresh scratch folder only where none is set (tests)."""
+    spark.checkpoint.dir; a fresh scratch folder only in local mode without one (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("plumbline.scratch.dir", None)
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.conf.set("plumbline.scratch.dir", named)
     return named

@@ -52,7 +52,8 @@ def classify_lots(files: DataFrame, root: str = "") -> DataFrame:
     rel = F.regexp_replace("path", "^" + root.rstrip("/").replace(".", r"\.") + "/?", "") if root else F.col("path")
     parts = F.reverse(F.split(rel, "/"))
     number = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, LOT, 1), F.lit("")), F.nullif(F.regexp_extract(c, LOT_START, 1), F.lit("")))
-    lot = F.get(F.array_compact(F.transform(parts, number)), F.lit(0)).cast("int")
+    found = F.get(F.array_compact(F.transform(parts, number)), F.lit(0))
+    lot = F.when(found.isNotNull(), F.coalesce(found.try_cast("int"), F.lit(0)))  # a number too large for a lot is lot 0
     d = files.withColumn("lot_no", lot)
     return d.withColumns({
         "scope": F.when(F.col("lot_no").isNull(), "shared").otherwise("lot"),
@@ -101,9 +102,13 @@ def read_extractions(spark: SparkSession, path) -> DataFrame:
 
 
 def read_history(spark: SparkSession, folder: str, framework: str | None = None) -> DataFrame:
-    """History records; broken lines are dropped, times parsed. Order by
-    evaluated_at where order matters."""
-    h = spark.read.schema(HISTORY).option("mode", "DROPMALFORMED").json(folder)
+    """History records, one in each line or one printed over a whole file; broken ones
+    are dropped, times parsed. Order by evaluated_at where order matters."""
+    own = spark.read.schema(HISTORY).option("mode", "DROPMALFORMED")
+    file = F.col("_metadata.file_path").alias("_file")
+    lines = own.json(folder).select("*", file)
+    whole = own.option("multiLine", True).json(folder).select("*", file)
+    h = lines.unionByName(whole.join(lines.select("_file").distinct(), "_file", "left_anti")).drop("_file")
     h = h.fillna("", subset=["document_type", "timestamp"]).withColumn("weaknesses", F.coalesce("weaknesses", F.array().cast("array<string>")))
     h = h.withColumn("evaluated_at", F.try_to_timestamp("evaluated_at"))
     return h if framework is None else h.where(F.col("framework_name") == framework)

@@ -246,3 +246,32 @@ def test_verification_status(spark):
     assert verification.verify_against_snippets(c, none).first()["status"] == "pending"
     s = spark.createDataFrame([(1, "e", "In this text smith, jones and others found large savings for 2020) too")], "doc_id long, node_id string, snippet string")
     assert verification.verify_against_snippets(c, s).first()["status"] == "verified"
+
+
+def test_history_printed_over_a_file(spark, tmp_path):
+    record = {"id": "r1", "framework_name": "F", "percentage": 50.0, "evaluated_at": "2024-01-01T00:00:00Z"}
+    (tmp_path / "one.json").write_text(json.dumps(record, indent=2))
+    (tmp_path / "two.json").write_text(json.dumps(record) + "\n" + json.dumps({**record, "id": "r2"}) + "\n")
+    (tmp_path / "three.json").write_text(json.dumps({**record, "id": "r3"}))
+    (tmp_path / "broken.json").write_text("{not\njson")
+    assert sorted(r.id for r in readers.read_history(spark, str(tmp_path)).collect()) == ["r1", "r1", "r2", "r3"]
+
+
+def test_no_history_keeps_the_record(spark):
+    cols = "id string, framework_name string, percentage double"
+    now = spark.createDataFrame([("a", "F", 50.0), ("b", "G", 50.0)], cols)
+    old = spark.createDataFrame([("x", "F", 40.0), ("y", "F", 60.0)], cols)
+    got = {r.id: (r.total_compared, r.historical_mean, r.percentile) for r in history.compare_to_history(now, old).collect()}
+    assert got == {"a": (2, 50.0, 50), "b": (0, None, None)}
+
+
+def test_lot_number_too_large(spark):
+    f = spark.createDataFrame([("/Lot 99999999999/x.md",), ("/none.md",)], "path string")
+    assert [(r.lot_no, r.scope) for r in readers.classify_lots(f).orderBy("path").collect()] == [(0, "lot"), (None, "shared")]
+
+
+def test_trust_stays_in_its_session(spark):
+    trust = spark.createDataFrame([("s1", "x", "a", 1.0), ("s2", "x", "a", 0.0)], "session_id string, truster string, trustee string, trust_level double")
+    scores = spark.createDataFrame([(s, 1, "c", k, v) for s in ("s1", "s2") for k, v in (("a", 10.0), ("b", 4.0))], "session_id string, round int, criterion_id string, agent_id string, score double")
+    got = {r.session_id: r.consensus_score for r in panel.moderate(scores, trust, ["session_id", "round", "criterion_id"]).collect()}
+    assert got == {"s1": 7.0, "s2": 4.0}
