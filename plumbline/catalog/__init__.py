@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_queries", "graph_queries", "panel_queries", "metric_queries", "check_queries", "link_queries"]
+MODULES = ["text_queries", "graph_queries", "panel_queries", "metric_queries", "check_queries", "link_queries", "source_queries"]
 
 
 def load_all():
