@@ -9,18 +9,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions import lexicons as L, text as T
 from plumbline.operators.calibration import cosine
 
-MAX_CRITERIA = 1000
-
 
 def criteria_list(criteria) -> list[tuple]:
-    """[(criterion_id, title, description)] from such a list or from a dimension
-    table, whose size is checked before it is read."""
+    """[(criterion_id, title, description)] from such a list or from the dimension
+    table of a framework."""
     if not isinstance(criteria, DataFrame):
         return [tuple(c[:3]) for c in criteria]
-    rows = criteria.select("criterion_id", "title", "description").orderBy("criterion_id").limit(MAX_CRITERIA + 1).collect()
-    if len(rows) > MAX_CRITERIA:
-        raise ValueError(f"a framework of more than {MAX_CRITERIA} criteria")
-    return [tuple(r) for r in rows]
+    return [tuple(r) for r in criteria.select("criterion_id", "title", "description").orderBy("criterion_id").collect()]
 
 
 def _words(title: str, description: str | None) -> list[str]:

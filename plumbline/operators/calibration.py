@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import text as T
@@ -10,7 +12,8 @@ PROFILE = [  # category, divisor in the feature vector
     ("counter_arguments", 1.0), ("sentence_variety", 5.0), ("cohesion_devices", 1.0), ("vocabulary_sophistication", 1.0),
     ("topic_sentences", 1.0), ("personal_voice", 1.0), ("rhetorical_devices", 5.0),
 ]
-MAX_ANCHORS = 1000
+#: Anchors that become one literal; more are compared in blocks.
+BLOCK = 500
 
 
 def evidence_profile(items: Column, text: Column) -> Column:
@@ -40,18 +43,26 @@ def build_anchors(profiled: DataFrame, per_band: int) -> DataFrame:
 def nearest_anchor(profiled: DataFrame, anchors: DataFrame) -> DataFrame:
     """Most similar anchor of each profile (ties: lower score, then lower id).
 
-    Anchors are at most bands x per_band rows; they become one literal array after
-    that bound is checked, so profiles are never shuffled."""
-    rows = anchors.select("doc_id", F.col("score").cast("double"), "profile").orderBy("score", "doc_id").limit(MAX_ANCHORS + 1).collect()
-    if len(rows) > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors: lower per_band")
-    lit = F.array(*[F.struct(
-        F.lit(i).alias("rank"), F.lit(r[0]).alias("anchor_id"), F.lit(r[1]).alias("anchor_score"),
-        F.array(*[F.lit(float(v)) for v in r[2]]).alias("v")) for i, r in enumerate(rows)])
-    sims = F.transform(lit, lambda a: F.struct(
-        F.greatest(F.least(cosine(F.col("profile"), a["v"]), F.lit(1.0)), F.lit(0.0)).alias("similarity"), (-a["rank"]).alias("r"),
-        a["anchor_id"].alias("anchor_id"), a["anchor_score"].alias("anchor_score")))
-    return profiled.withColumn("_best", F.array_max(sims)).select(
+    Anchors are bands x per_band rows by construction. They come in blocks of BLOCK,
+    each a literal array that profiles are compared with in place, so profiles are
+    never shuffled, and the best of all blocks holds."""
+    def best(rows):
+        lit = F.array(*[F.struct(
+            F.lit(i).alias("rank"), F.lit(r[0]).alias("anchor_id"), F.lit(r[1]).alias("anchor_score"),
+            F.array(*[F.lit(float(v)) for v in r[2]]).alias("v")) for i, r in rows])
+        return F.array_max(F.transform(lit, lambda a: F.struct(
+            F.greatest(F.least(cosine(F.col("profile"), a["v"]), F.lit(1.0)), F.lit(0.0)).alias("similarity"), (-a["rank"]).alias("r"),
+            a["anchor_id"].alias("anchor_id"), a["anchor_score"].alias("anchor_score"))))
+
+    ordered = enumerate(anchors.select("doc_id", F.col("score").cast("double"), "profile").orderBy("score", "doc_id").toLocalIterator())
+    d, first = profiled, True
+    while block := list(islice(ordered, BLOCK)):
+        d = d.withColumn("_best", best(block) if first else F.greatest("_best", best(block)))
+        first = False
+    if first:
+        none = F.struct(F.lit(None).cast("double").alias("similarity"), F.lit(None).cast(anchors.schema["doc_id"].dataType).alias("anchor_id"), F.lit(None).cast("double").alias("anchor_score"))
+        d = d.withColumn("_best", none)
+    return d.select(
         *profiled.columns, "_best.anchor_id", "_best.anchor_score", "_best.similarity")
 
 

@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import lexicons as L, text as T
 
-MAX_PATTERNS = 5000
-
 
 def lexicon(patterns: DataFrame | None = None) -> list[tuple[str, str, str]]:
-    """[(class, severity, pattern)]: the default lexicon, or a table (class,
-    severity, pattern) whose size is checked before it becomes a literal."""
+    """[(class, severity, pattern)]: the default lexicon, or a table of patterns
+    (class, severity, pattern), which becomes a literal."""
     if patterns is None:
         return [(c, s, p) for c, s, ps in L.THREATS for p in ps]
-    rows = patterns.select("class", F.coalesce("severity", F.lit("medium")), "pattern").distinct().orderBy("class", "pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns: match in several passes")
+    rows = patterns.select("class", F.coalesce("severity", F.lit("medium")), "pattern").distinct().orderBy("class", "pattern").collect()
     return [tuple(r) for r in rows]
 
 

@@ -275,3 +275,14 @@ def test_trust_stays_in_its_session(spark):
     scores = spark.createDataFrame([(s, 1, "c", k, v) for s in ("s1", "s2") for k, v in (("a", 10.0), ("b", 4.0))], "session_id string, round int, criterion_id string, agent_id string, score double")
     got = {r.session_id: r.consensus_score for r in panel.moderate(scores, trust, ["session_id", "round", "criterion_id"]).collect()}
     assert got == {"s1": 7.0, "s2": 4.0}
+
+
+def test_anchors_in_blocks(spark, monkeypatch):
+    from plumbline.operators import calibration
+
+    anchors = spark.createDataFrame([(f"a{i}", float(i), [1.0, float(i)]) for i in range(7)], "doc_id string, score double, profile array<double>")
+    docs = spark.createDataFrame([("d", [1.0, 5.0]), ("e", [1.0, 0.1])], "doc_id string, profile array<double>")
+    whole = sorted(map(tuple, calibration.nearest_anchor(docs, anchors).select("doc_id", "anchor_id").collect()))
+    monkeypatch.setattr(calibration, "BLOCK", 2)
+    assert sorted(map(tuple, calibration.nearest_anchor(docs, anchors).select("doc_id", "anchor_id").collect())) == whole == [("d", "a5"), ("e", "a0")]
+    assert calibration.nearest_anchor(docs, anchors.limit(0)).where("anchor_id IS NULL").count() == 2
