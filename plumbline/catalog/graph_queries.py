@@ -231,7 +231,7 @@ def _g6(s, d):
     return graph.graph_metrics(*_h(s, d))
 
 
-@register("g7_support_depth", f"SELECT doc_id, {big('k')} AS max_depth, false AS depth_capped FROM h_depth")
+@register("g7_support_depth", f"SELECT doc_id, {big('k')} AS max_depth FROM h_depth")
 def _g7(s, d):
     n, e = _h(s, d)
     return graph.support_depth(e, n)

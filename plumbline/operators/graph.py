@@ -277,19 +277,21 @@ def support_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     return e
 
 
-def support_depth(edges: DataFrame, nodes: DataFrame | None = None, cycle_limit: int = 64) -> DataFrame:
-    """Longest simple chain of Supports edges per document: (doc_id, max_depth, depth_capped).
+def support_depth(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Longest chain of Supports edges per document: (doc_id, max_depth).
+
+    Nodes on a common cycle count as one that is worth its size less one edge; the
+    chain is the longest over these, so it is exact without cycles and never cut.
 
     Peeling: round k keeps the nodes some chain of k edges ends in, so a document
     is done when its set runs empty; one join of the shrinking set per round. A
-    set that stops shrinking holds cycles; only those documents are walked path by
-    path, without repeats, up to ``cycle_limit`` edges (flagged when reached).
+    set that stops shrinking holds cycles; only those documents are condensed.
     Documents without Supports edges have no row."""
     e = cut_lineage(support_edges(edges, nodes))
     reached = e.select("doc_id", F.col("dst").alias("node_id")).distinct()
     size, k, levels, core = reached.count(), 1, [], None
     while size:
-        levels.append(reached.select("doc_id").distinct().select("doc_id", F.lit(k).alias("k"), F.lit(False).alias("capped")))
+        levels.append(reached.select("doc_id").distinct().select("doc_id", F.lit(k).cast("long").alias("k")))
         nxt = cut_lineage(
             e.join(reached.withColumnRenamed("node_id", "src"), ["doc_id", "src"], "left_semi")
             .select("doc_id", F.col("dst").alias("node_id")).distinct())
@@ -299,29 +301,65 @@ def support_depth(edges: DataFrame, nodes: DataFrame | None = None, cycle_limit:
             break
         reached, size, k = nxt, new_size, k + 1
     if not levels:
-        return e.select("doc_id", F.lit(0).alias("max_depth"), F.lit(False).alias("depth_capped"))
+        return e.select("doc_id", F.lit(0).cast("long").alias("max_depth"))
     out = reduce(DataFrame.unionByName, levels)
     if core is not None:
-        out = out.join(core, "doc_id", "left_anti").unionByName(_cyclic_depth(e, core, cycle_limit))
-    return out.groupBy("doc_id").agg(F.max("k").alias("max_depth"), F.max("capped").alias("depth_capped"))
-
-
-def _cyclic_depth(e: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-    sub = cut_lineage(e.join(docs, "doc_id", "left_semi"))
-    paths = sub.where("src <> dst").select("doc_id", F.array("src", "dst").alias("path"))
-    out, k = None, 1
-    while k <= limit:
-        paths = cut_lineage(paths)
-        if paths.isEmpty():
-            break
-        level = paths.select("doc_id").distinct().select("doc_id", F.lit(k).alias("k"), F.lit(k == limit).alias("capped"))
-        out = level if out is None else out.unionByName(level)
-        paths = (
-            paths.withColumn("src", F.element_at("path", -1)).join(sub, ["doc_id", "src"])
-            .where(~F.array_contains("path", F.col("dst")))
-            .select("doc_id", F.concat("path", F.array("dst")).alias("path")))
-        k += 1
-    return out if out is not None else docs.select("doc_id", F.lit(0).alias("k"), F.lit(False).alias("capped"))
+        out = out.join(core, "doc_id", "left_anti").unionByName(_condensed_depth(cut_lineage(e.join(core, "doc_id", "left_semi").where("src <> dst"))))
+    return out.groupBy("doc_id").agg(F.max("k").alias("max_depth"))
+
+
+def _settle(values: DataFrame, edges: DataFrame, passed, better) -> DataFrame:
+    """values(doc_id, node, v): pass v along edges(doc_id, src, dst) until none gets
+    better; only nodes that changed pass theirs on."""
+    values = cut_lineage(values)
+    fresh = values
+    while True:
+        offers = fresh.withColumnRenamed("node", "src").join(edges, ["doc_id", "src"]).groupBy("doc_id", F.col("dst").alias("node")).agg(better(passed(F.col("v"))).alias("w"))
+        fresh = cut_lineage(offers.join(values, ["doc_id", "node"]).where(better(F.array("w", "v"), True) != F.col("v")).select("doc_id", "node", F.col("w").alias("v")))
+        if fresh.isEmpty():
+            return values
+        values = cut_lineage(values.join(fresh.withColumnRenamed("v", "w"), ["doc_id", "node"], "left").select("doc_id", "node", F.coalesce("w", "v").alias("v")))
+
+
+def _lesser(c, array=False):
+    return F.array_min(c) if array else F.min(c)
+
+
+def _greater(c, array=False):
+    return F.array_max(c) if array else F.max(c)
+
+
+def _components(e: DataFrame) -> DataFrame:
+    """(doc_id, node, scc): strongly connected components. Each round colours nodes by
+    the least node that reaches them and takes what reaches that node back within its
+    colour; at least one component per colour is found and taken out."""
+    left = e.select("doc_id", F.col("src").alias("node")).union(e.select("doc_id", "dst")).distinct()
+    done = None
+    while True:
+        left = cut_lineage(left)
+        if left.isEmpty():
+            return done
+        has = lambda c: left.withColumnRenamed("node", c)  # noqa: B023,E731
+        own = cut_lineage(e.join(has("src"), ["doc_id", "src"], "left_semi").join(has("dst"), ["doc_id", "dst"], "left_semi"))
+        colour = _settle(left.withColumn("v", F.col("node")), own, lambda v: v, _lesser)
+        paint = lambda c, n: colour.select("doc_id", F.col("node").alias(c), F.col("v").alias(n))  # noqa: B023,E731
+        back = own.join(paint("src", "x"), ["doc_id", "src"]).join(paint("dst", "y"), ["doc_id", "dst"]).where("x = y").select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        flag = _settle(colour.select("doc_id", "node", (F.col("node") == F.col("v")).cast("int").alias("v")), cut_lineage(back), lambda v: v, _greater)
+        found = flag.where("v = 1").join(colour.withColumnRenamed("v", "scc"), ["doc_id", "node"]).select("doc_id", "node", "scc")
+        done = found if done is None else done.unionByName(found)
+        left = left.join(found, ["doc_id", "node"], "left_anti")
+
+
+def _condensed_depth(e: DataFrame) -> DataFrame:
+    scc = cut_lineage(_components(e))
+    name = lambda c, n: scc.select("doc_id", F.col("node").alias(c), F.col("scc").alias(n))
+    between = e.join(name("src", "a"), ["doc_id", "src"]).join(name("dst", "b"), ["doc_id", "dst"]).where("a <> b")
+    size = scc.groupBy("doc_id", F.col("scc").alias("node")).agg((F.count("*") - 1).alias("v"))
+    weighted = between.select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst")).distinct().join(
+        size.withColumnRenamed("node", "dst").withColumnRenamed("v", "worth"), ["doc_id", "dst"])
+    # A chain to a component is one edge longer and gains what the component is worth.
+    longest = _settle(size, cut_lineage(weighted), lambda v: v + 1 + F.col("worth"), _greater)
+    return longest.groupBy("doc_id").agg(F.max("v").alias("k"))
 
 
 STRUCTURAL_WEIGHTS = {  # fixed values

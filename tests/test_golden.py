@@ -80,7 +80,7 @@ def test_depth_chain_and_cycle(spark):
     n, e = graph_of(spark, [(x, "SubClaim", None) for x in "abcd"],
                     [("a", "Supports", "b"), ("b", "Supports", "c"), ("c", "Supports", "a"), ("d", "Supports", "a")])
     row = graph.support_depth(e, n).first()
-    assert row["max_depth"] == 3 and not row["depth_capped"]
+    assert row["max_depth"] == 3
 
 
 def test_depth_matches_brute_force(spark):
@@ -97,10 +97,24 @@ def test_depth_matches_brute_force(spark):
         for _, a, _, b in (e for e in edges if e[0] == doc):
             nxt.setdefault(a, []).append(b)
 
-        def walk(x, seen):
-            return max([1 + walk(y, seen | {y}) for y in nxt.get(x, []) if y not in seen], default=0)
+        def reach(x):
+            seen, todo = {x}, [x]
+            while todo:
+                for y in nxt.get(todo.pop(), []):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            return seen
 
-        want[doc] = max(walk(x, {x}) for x in nxt)
+        to = {x: reach(x) for x in {*nxt, *(y for ys in nxt.values() for y in ys)}}
+        same = {x: frozenset(y for y in to[x] if x in to[y]) for x in to}
+
+        def chain(c):
+            return len(c) - 1 + max([1 + chain(same[y]) for x in c for y in nxt.get(x, []) if y not in c], default=0)
+
+        want[doc] = max(chain(c) for c in same.values())
+    edges += [(99, f"k{a}", "Supports", f"k{b}") for a in range(10) for b in range(10)]
+    want[99] = 9
     e = spark.createDataFrame(edges, "doc_id long, src string, edge_type string, dst string")
     assert {r["doc_id"]: r["max_depth"] for r in graph.support_depth(e).collect()} == want
 
