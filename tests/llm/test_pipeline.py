@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def good(text):
     n, chars, symbols, lines, twice, repeated = brute_quality(text)
-    return not (n < 20 or 100 * repeated > 30 * n or 10 * symbols > 3 * n or 10 * twice > 3 * lines or chars < 2 * n or chars > 20 * n)
+    return not (n < 20 or 100 * repeated > 30 * n or 10 * symbols > 3 * n or (twice >= 5 and 2 * twice > lines) or chars < 2 * n or chars > 20 * n)
 
 
 def cut_lines(rows):
