@@ -42,7 +42,8 @@ def normalize(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.floor(c.cast("double") * 1e6 + 0.501) / F.lit(1e6)
+            x = c.cast("double")  # beyond 1e12 a double has no sixth place, and floor() no room
+            c = F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + 0.501) / F.lit(1e6)).otherwise(x)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
