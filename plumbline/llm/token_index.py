@@ -25,6 +25,7 @@ the Parquet commit makes visible, so tasks can be repeated.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,15 +40,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.llm.common import texts, utf8
 
 MAGIC, GAMMA, LEVELS, KEYS_PER_PART, ROWS = 0x31534449, 1.5, 48, 1 << 16, 1 << 16
-TABLE_SIZE = 300_000
+TABLE_SIZE = 500_000
 
 
 # -- encoding -----------------------------------------------------------------------------------------------------------
 
 class WordTable:
     """Ids of distinct words, for tokenizers that drop white space and never merge
-    across it. Words differing only in case or a closing comma or stop share one entry
-    where the tokenizer says that this changes nothing."""
+    across it. Where the tokenizer says that it changes nothing, words are lower-cased
+    and cut from commas and stops first, so that more of them are known already."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,43 +60,69 @@ class WordTable:
         self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         whole = lambda x: self.t.encode(x, add_special_tokens=False).ids
         self.by_word = whole("ab c\n\td.  éx!") == sum(map(whole, ["ab", "c", "d.", "éx!"]), [])
-        self.no_case = self.by_word and whole("QuÉ AB") == whole("qué ab")
-        self.marks = {m: self.pack(whole(m)) for m in ",." if self.by_word and whole(f"ab{m} é{m}") == whole("ab") + whole(m) + whole("é") + whole(m)}
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.no_case = self.by_word and whole("QuÉ AB") == whole("quÉ ab") and all(whole(f"ab{m} b{m}c") == whole("ab") + whole(m) + whole("b") + whole(m + "c") for m in ",.")
+        # Words of letters alone are one piece for the model: no normalizer or splitter has to run.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.byte_chars = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+        self.plain = self.no_case and all(self.merged(w.encode()) == whole(w) for w in ["".join(letters), "the", "ing", *letters])
+        self.table: dict[bytes, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.type).tobytes()
 
-    def core(self, word: str) -> tuple[str, bytes]:
-        """(what decides the ids, ids that follow). Only Latin-1 letters: their lower
-        case and composed form are the same everywhere; no markers of special tokens."""
-        tail = b""
-        if "<|" in word or max(word) > "\xff":
-            return word, tail
-        if word[-1] in self.marks and len(word) > 1 and word[-2].isalpha():
-            word, tail = word[:-1], self.marks[word[-1]]
-        return (word.lower() if self.no_case else word), tail
+    def merged(self, word: bytes) -> list[int]:
+        text = word.decode() if word.isascii() else "".join(map(self.byte_chars.__getitem__, word))
+        return [t.id for t in self.t.model.tokenize(text)]
+
+    def words(self, text: str) -> list[bytes]:
+        """White-space separated parts that make up the same ids. Only Latin-1 texts
+        are lower-cased (in A-Z): there, nothing composes differently in lower case.
+        A text that may hold the string of a special token is left as it is."""
+        raw = utf8(text)
+        if not self.no_case or b"<|" in raw or not is_latin(text):
+            return raw.split()
+        return MARKS.sub(b" ", raw.lower()).split()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. New words of all texts are encoded together."""
+        if not self.by_word:
+            return [self.pack(self.t.encode(x, add_special_tokens=False).ids) for x in texts]
+        docs, table = [self.words(x) for x in texts], self.table
+        new = set().union(*docs).difference(table)
+        if len(table) + len(new) > TABLE_SIZE:
+            table.clear()
+            new = set().union(*docs)
+        other = []
+        for w in new:
+            if self.plain and (w.isalpha() and w.islower() or not w.isascii() and latin_letters(w)):
+                table[w] = self.pack(self.merged(w))
+            else:
+                other.append(w)
+        whole = self.t.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in other], add_special_tokens=False)
+        table.update((w, self.pack(e.ids)) for w, e in zip(other, whole, strict=True))
+        return [b"".join(map(table.__getitem__, words)) for words in docs]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word:
-            return self.pack(self.t.encode(text, add_special_tokens=False).ids)
-        words = utf8(text).split()
-        table = self.words
-        new = {w: self.core(w.decode("utf-8", "surrogatepass")) for w in set(words) if w not in table}
-        if new:
-            if len(table) + len(new) > TABLE_SIZE:
-                table.clear()
-                new = {w: self.core(w.decode("utf-8", "surrogatepass")) for w in set(words)}
-            cores = self.cores
-            fresh = list({c for c, _ in new.values() if c not in cores})
-            if len(cores) + len(fresh) > TABLE_SIZE:
-                cores.clear()
-                fresh = list({c for c, _ in new.values()})
-            for c, e in zip(fresh, self.t.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                cores[c] = self.pack(e.ids)
-            table.update((w, cores[c] + tail) for w, (c, tail) in new.items())
-        return b"".join([table[w] for w in words])
+        return self.encode_all([text])[0]
+
+
+#: The place between a letter and a comma or stop behind it.
+MARKS = re.compile(rb"(?<=[a-z])(?=[.,])")
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def latin_letters(word: bytes) -> bool:
+    text = word.decode("utf-8", "surrogatepass")
+    return text.isalpha() and max(text) <= "\xff" and text == text.lower()
 
 
 @lru_cache(maxsize=2)
@@ -113,6 +140,19 @@ def own_name(stem: str, ending: str) -> str:
     return f"{stem}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{ending}"
 
 
+def groups(text: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in runs of about a million characters."""
+    held, n = [], 0
+    for x in text:
+        held.append(x.as_py() or "")
+        n += len(held[-1])
+        if n > size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def splitmix(x: np.ndarray, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -215,10 +255,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
             if out is None:
                 out = where[0].open_output_stream(f"{where[1]}/{name}")
             first = len(at) - 1
-            for text in b.column("text"):
-                ids = table.encode(text.as_py() or "") + end
-                out.write(ids)
-                at.append(at[-1] + len(ids) // table.width)
+            for group in groups(b.column("text")):
+                for ids in table.encode_all(group):
+                    out.write(ids + end)
+                    at.append(at[-1] + (len(ids) + len(end)) // table.width)
             n = b.num_rows
             yield pa.RecordBatch.from_pydict({
                 "file": pa.array([name]).take(pa.array(np.zeros(n, np.int64))), "doc_id": b.column("doc_id"),
