@@ -150,13 +150,20 @@ def contexts(docs: DataFrame, counts: DataFrame) -> DataFrame:
         first: dict[bytes, tuple] = {}  # context -> shard and place
         again: list[tuple] = []
 
+        def copy(no_id, k, h, start, windows):
+            """Copies need no shard; those that follow each other in a document are one row."""
+            if again and again[-1][1:4] == (no_id, k, h) and again[-1][4] + again[-1][5] == start:
+                _, _, _, _, start, before = again.pop()
+                windows += before
+            again.append(((h ^ start) % shards, no_id, k, h, start, windows))
+
         def place(shard, context, at):
             if (old := first.get(context)) is None:
                 first[context] = (shard, *at)
             elif old[1:5] < at[:4]:
-                again.append((shard, *at))
+                copy(*at)
             elif old[1:5] > at[:4]:
-                again.append(old)
+                copy(*old[1:])
                 first[context] = (shard, *at)
 
         def out():
