@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm.common import keep, texts
 
 WINDOW, STRIDE, TERMS, MIN_HITS, MIN_WORDS, BLOCK, EXTRA = 64, 24, 12, 2, 5, 200, 24
+#: Of an item's TERMS rarest words, the first half are terms; the rest are if they are in 20 documents or in one of RARE, at most.
+RARE = 500
 COSINE, STRONG, WEAK, ANSWER = 0.3, 0.75, 0.5, 5
 CHUNK, TERM_BLOCK = 1 << 18, 64
 PUNCTUATION = string.punctuation.encode()
@@ -117,7 +119,8 @@ def choose_terms(items: Items, n: int, df: np.ndarray) -> Terms:
     chosen = set()
     for w in items.words:
         own = np.unique(w)
-        chosen.update(own[np.lexsort((own, df[own]))][:TERMS].tolist())
+        own = own[np.lexsort((own, df[own]))][:TERMS]
+        chosen.update(own[(np.arange(len(own)) < TERMS // 2) | (df[own] <= max(20, n // RARE))].tolist())
     term = np.full(len(df) + 1, -1, np.int64)
     at = np.array(sorted(chosen), np.int64)
     term[at] = np.arange(len(at))
@@ -149,7 +152,13 @@ def passages(ids: np.ndarray, offsets: np.ndarray, terms: Terms) -> Passages:
     end = np.minimum(start + WINDOW, offsets[doc + 1])
     lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
     ok = hi - lo >= MIN_HITS
-    return Passages(at, found[at], doc[ok], start[ok], end[ok], lo[ok], hi[ok])
+    doc, start, end, lo, hi = doc[ok], start[ok], end[ok], lo[ok], hi[ok]
+    inside = np.zeros(len(at) + 1, np.int64)  # hits of no window are left out
+    np.add.at(inside, lo, 1)
+    np.add.at(inside, hi, -1)
+    kept = np.cumsum(inside)[:-1] > 0
+    new = np.concatenate([[0], np.cumsum(kept)])
+    return Passages(at[kept], found[at[kept]], doc, start, end, new[lo], new[hi])
 
 
 def sums(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
