@@ -67,8 +67,8 @@ def name_id(*parts: str) -> str:
 def plain_text(page: str) -> str:
     """Text of a page: silent elements and comments go, block elements end lines, white
     space is folded, character references are resolved, empty lines go."""
-    out = TOKENS.sub(lambda m: "\n" if (m["tag"] or "").lower() in BREAKING else " " if m["silent"] or not m["tag"] else "", re.sub(r"\s+", " ", page))
-    lines = (re.sub(r"[ \t\xa0\r\f\v]+", " ", x).strip() for x in html.unescape(out).split("\n"))
+    out = TOKENS.sub(lambda m: "\n" if (m["tag"] or "").lower() in BREAKING else " " if m["silent"] or not m["tag"] else "", " ".join(page.split()))
+    lines = (" ".join(x.split()) for x in html.unescape(out).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -100,7 +100,7 @@ def fields(pairs: list[tuple[str, str | None]]) -> bytes:
 
 
 def clean(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value)
+    return re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value
 
 
 def derive(records: DataFrame) -> DataFrame:
