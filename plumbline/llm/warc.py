@@ -20,12 +20,15 @@ the same ids, and repeated rows give repeated records; an empty table gives no f
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -42,17 +45,27 @@ ARROW = pa.schema([
     ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("content_type", pa.string()), ("payload", pa.binary()),
     ("payload_digest", pa.string()), ("source_digest", pa.string())])
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
-#: Elements whose content is no text, and elements that end a line.
-SILENT = "script style template noscript head svg math iframe object"
+#: Elements whose content is no text (up to the first closing tag, or nested), of them those that run
+#: to the end of the page without one and those that "/>" closes, and elements that end a line. A head is as silent as
+#: the elements in it: its end may be left out.
+RAW, NESTED, OPEN_ENDED, SELF_CLOSING = "script style title", "template noscript svg math iframe object", ("script", "style"), ("svg", "math", "iframe", "object")
 BREAKS = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td th thead tr ul"
 
+SILENT = "|".join(f"{RAW} {NESTED}".split())
 TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<silent>" + "|".join(SILENT.split()) + r")\b[^<>]*>.*?(?:</(?P=silent)\s*>|\Z)|</?(?P<tag>[a-zA-Z][a-zA-Z0-9]*)\b[^<>]*>|<[!?][^<>]*>", re.DOTALL | re.IGNORECASE)
+    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})(?=[\s/>])(?P<rest>[^<>]*)>|</?(?P<tag>[a-zA-Z][a-zA-Z0-9]*)\b[^<>]*>|<[!?][^<>]*>", re.DOTALL | re.IGNORECASE)
+PAIRS = re.compile(rf"<(?P<close>/?)(?P<name>{SILENT})(?=[\s/>])(?P<rest>[^<>]*)>", re.IGNORECASE)
 BREAKING = frozenset(BREAKS.split())
 # Nothing reaches over the next "<": time stays linear in pages full of open tags.
 TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.IGNORECASE)
 LANGUAGE = re.compile(r"""<html\b[^<>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", re.IGNORECASE)
 CHARSET = re.compile(r"""<meta\b[^<>]*?\bcharset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.IGNORECASE)
+META_CHARSET = re.compile(CHARSET.pattern.encode(), re.IGNORECASE)
+HTTP_CHARSET = re.compile(r"""\bcharset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
+#: Byte order marks, Python's codecs that are no character sets of pages, and what browsers take instead of some.
+MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+NO_CHARSETS = frozenset("utf-7 utf7 utf_7 idna punycode unicode_escape unicode-escape raw_unicode_escape raw-unicode-escape undefined".split())
+AS_BROWSERS = {"iso8859-1": "cp1252", "ascii": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "euc_kr": "cp949", "iso8859-9": "cp1254", "tis-620": "cp874", "utf-16": "utf-16-le"}
 LINK = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)'|([^\s<>"']+))""", re.IGNORECASE)
 
 
@@ -64,14 +77,95 @@ def name_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, chr(31).join(parts))}>"
 
 
+def self_closed(name: str, rest: str) -> bool:
+    return name in SELF_CLOSING and rest.endswith("/")
+
+
+class Silence:
+    """Where the silent elements of a page end, found in one pass."""
+
+    def __init__(self, page: str):
+        self.size, self.page = len(page), page
+        self.closed: dict[int, int] = {}
+        self.starts: dict[str, list[int]] = {n: [] for n in RAW.split()}
+        self.ends: dict[int, int] = {}
+        is_open: dict[str, list[int]] = {n: [] for n in NESTED.split()}
+        for m in PAIRS.finditer(page):
+            name = m["name"].lower()
+            if name in self.starts:
+                if m["close"]:
+                    self.starts[name].append(m.start())
+                    self.ends[m.start()] = m.end()
+            elif not m["close"]:
+                if not self_closed(name, m["rest"]):
+                    is_open[name].append(m.start())
+            elif is_open[name]:
+                self.closed[is_open[name].pop()] = m.end()
+
+    def end(self, m: re.Match) -> int:
+        """Where the text goes on after an opening tag."""
+        name = m["silent"].lower()
+        if name not in self.starts:
+            return self.closed.get(m.start(), m.end())
+        i = bisect_left(self.starts[name], m.end())
+        if i < len(self.starts[name]):
+            return self.ends[self.starts[name][i]]
+        if name in OPEN_ENDED:
+            return self.size
+        at = self.page.find("<", m.end())  # an open title, as TITLE reads it
+        return self.size if at < 0 else at
+
+
 def plain_text(page: str) -> str:
     """Text of a page: silent elements and comments go, block elements end lines, white
-    space is folded, character references are resolved, empty lines go."""
-    out = TOKENS.sub(lambda m: "\n" if (m["tag"] or "").lower() in BREAKING else " " if m["silent"] or not m["tag"] else "", " ".join(page.split()))
-    lines = (" ".join(x.split()) for x in html.unescape(out).split("\n"))
+    space is folded, character references are resolved, empty lines go. Of a silent
+    element that is not closed the tag goes, unless it is a script or a style."""
+    page = " ".join(page.split())
+    out, at, silence = [], 0, None
+    while m := TOKENS.search(page, at):
+        out.append(page[at:m.start()])
+        at = m.end()
+        if m["silent"]:
+            silence = silence or Silence(page)
+            at = silence.end(m)
+            out.append(" ")
+        elif not m["tag"]:
+            out.append(" ")
+        elif m["tag"].lower() in BREAKING:
+            out.append("\n")
+    out.append(page[at:])
+    lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+@lru_cache(1000)
+def codec(label: str) -> str | None:
+    """Python's name of a stated character set, as browsers read it; None if there is none."""
+    label = label.strip().lower()
+    if label in NO_CHARSETS:
+        return None
+    try:
+        name = codecs.lookup(label).name
+        b"".decode(name, "replace")
+    except (LookupError, ValueError):
+        return None
+    return AS_BROWSERS.get(name, name)
+
+
+def decoded(payload: bytes, headers: list[dict] | None) -> str:
+    """A page by its byte order mark, the charset of its HTTP header, that of its first
+    meta element, or else as UTF-8. What has no meaning there becomes U+FFFD."""
+    for mark, name in MARKS:
+        if payload.startswith(mark):
+            return payload[len(mark):].decode(name, "replace")
+    for h in headers or []:
+        if (h["name"] or "").lower() == "content-type" and (m := HTTP_CHARSET.search(h["value"] or "")) and (name := codec(m[1])):
+            return payload.decode(name, "replace")
+    if (m := META_CHARSET.search(payload)) and (name := codec(m[1].decode())):
+        return payload.decode("utf-8" if name.startswith("utf-16") or name.startswith("utf-32") else name, "replace")
+    return payload.decode("utf-8", "replace")
+
+
 def links(page: str) -> list[str]:
     return [html.unescape(next(x for x in m.groups() if x is not None)).strip() for m in LINK.finditer(page)]
 
@@ -110,7 +204,7 @@ def derive(records: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                page = (r["payload"] or b"").decode("utf-8", "replace")
+                page = decoded(r["payload"] or b"", r["headers"])
                 title, language, charset = (m[1] if (m := p.search(page)) else None for p in (TITLE, LANGUAGE, CHARSET))
                 title = None if title is None else re.sub(r"\s+", " ", html.unescape(title)).strip()
                 about = fields([("title", title), ("language", language), ("charset", charset), *[("source-" + h["name"].lower(), h["value"]) for h in r["headers"] or []],

@@ -42,6 +42,32 @@ def test_plain_text(page, text):
     assert warc.plain_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>x</title><body><p>All the text</p>", "All the text"), ("<head><title>x</title><meta charset=utf-8><p>text</p>", "text"), ("<head><title>a</title></head>b", "b"),
+    ("<head><title>x</title><script>1</script>text", "text"), ("<title>open<p>text", "text"),
+    *((f"<p>one</p><{x} width=1/><p>two</p>", "one\ntwo") for x in ("svg", "math", "iframe", "object")), *((f"<p>one</p><{x} a=b><p>two</p>", "one\ntwo") for x in ("svg", "math", "iframe", "object", "template", "noscript")),
+    ("a<svg><p>b</p><svg>c</svg>d", "a\nb\nd"), ("a<svg>b<svg>c</svg>d</svg>e", "a e"), ("a<iframe/>b<iframe>c</iframe>d", "a b d"),
+    ("a<script>b", "a"), ("a<style>b", "a"), ("a<!-- b", "a"), ("a<!-- <script> -->b<script>c</script>d", "a b d"), ("<style-x>a</style-x>b", "ab")])
+def test_silent_elements_without_an_end(page, text):
+    assert warc.plain_text(page) == text
+
+
+@pytest.mark.parametrize("header,page,codec,text", [
+    ("text/html; charset=ISO-8859-1", "<p>né €", "cp1252", "né €"), ("text/html; charset=Shift_JIS", "<p>日本語", "cp932", "日本語"), ("text/html", "<meta charset=windows-1251><p>мир", "cp1251", "мир"),
+    ("text/html; charset=nonsense", "<p>é", "utf-8", "é"), (None, "<p>é", "utf-8", "é"), ("text/html; charset=latin1", "\ufeff<p>é", "utf-16-le", "é"), ("text/html; charset=utf-8", "<meta charset=latin1><p>é", "utf-8", "é"),
+    ("text/html; charset=punycode", "<p>é", "utf-8", "é"), (None, "<meta charset=utf-16><p>é", "utf-8", "é")])
+def test_stated_charset(spark, header, page, codec, text):
+    headers = [{"name": "content-type", "value": header}] if header else None
+    record = {n: None for n in warc.NAMES} | {"record_id": "r", "type": "response", "headers": headers, "payload": bytearray(page.encode(codec))}
+    rows = warc.derive(spark.createDataFrame([record], warc.SCHEMA)).collect()
+    assert [bytes(r.payload).decode() for r in rows if r.type == "conversion"] == [text]
+
+
+def test_open_silent_elements_take_linear_time():
+    for page in ("<svg>" * 100_000, "<svg/>" * 100_000, "<title>" * 100_000, "<script></script>" * 50_000 + "<script>" * 50_000, "<object>" * 50_000 + "</object>" * 50_000):
+        warc.plain_text(page)
+
+
 def test_open_tags_take_linear_time():
     for page in ("<a href=\"x " * 100_000, "<" * 300_000, "<title>" * 50_000, "<!-- " * 100_000, "<script>" * 50_000, "<p " * 100_000):
         warc.plain_text(page), warc.links(page), [p.search(page) for p in (warc.TITLE, warc.LANGUAGE, warc.CHARSET)]
