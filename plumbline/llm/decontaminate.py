@@ -33,8 +33,6 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm.common import keep, texts
 
 WINDOW, STRIDE, TERMS, MIN_HITS, MIN_WORDS, BLOCK, EXTRA = 64, 24, 12, 2, 5, 200, 24
-#: Of an item's TERMS rarest words, the first half are terms; the rest are if they are in 20 documents or in one of RARE, at most.
-RARE = 500
 COSINE, STRONG, WEAK, ANSWER = 0.3, 0.75, 0.5, 5
 CHUNK, TERM_BLOCK = 1 << 18, 64
 PUNCTUATION = string.punctuation.encode()
@@ -108,29 +106,32 @@ def document_frequency(seqs: DataFrame, size: int) -> tuple[int, np.ndarray]:
 
 @dataclass
 class Terms:
-    """term: number of the term of each word, -1 if none (the last entry is the gap); weight: of each term."""
+    """term: number of the term of each word, -1 if none (the last entry is the gap); weight: of each term;
+    alone: which terms are enough of an item for a cosine of COSINE without any other."""
 
     term: np.ndarray
     weight: np.ndarray
     rows: list[np.ndarray]  # the terms of each item, once for each occurrence
+    alone: np.ndarray | None = None
 
 
 def choose_terms(items: Items, n: int, df: np.ndarray) -> Terms:
     chosen = set()
     for w in items.words:
         own = np.unique(w)
-        own = own[np.lexsort((own, df[own]))][:TERMS]
-        chosen.update(own[(np.arange(len(own)) < TERMS // 2) | (df[own] <= max(20, n // RARE))].tolist())
+        chosen.update(own[np.lexsort((own, df[own]))][:TERMS].tolist())
     term = np.full(len(df) + 1, -1, np.int64)
     at = np.array(sorted(chosen), np.int64)
     term[at] = np.arange(len(at))
-    return Terms(term, np.log1p(n / np.maximum(df[at], 1)), [t[t >= 0] for t in (term[w] for w in items.words)])
+    terms = Terms(term, np.log1p(n / np.maximum(df[at], 1)), [t[t >= 0] for t in (term[w] for w in items.words)])
+    terms.alone = (item_rows(terms) >= COSINE).any(0)
+    return terms
 
 
 @dataclass
 class Passages:
     """Hits (position, term) of many documents one after the other, and the windows with
-    MIN_HITS hits or more: document, start, end, range of hits."""
+    MIN_HITS hits or more, or with one that is enough: document, start, end, range of hits."""
 
     at: np.ndarray
     hit: np.ndarray
@@ -152,6 +153,8 @@ def passages(ids: np.ndarray, offsets: np.ndarray, terms: Terms) -> Passages:
     end = np.minimum(start + WINDOW, offsets[doc + 1])
     lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
     ok = hi - lo >= MIN_HITS
+    if terms.alone is not None and len(at):
+        ok |= (hi > lo) & terms.alone[found[at[np.minimum(lo, len(at) - 1)]]]
     doc, start, end, lo, hi = doc[ok], start[ok], end[ok], lo[ok], hi[ok]
     inside = np.zeros(len(at) + 1, np.int64)  # hits of no window are left out
     np.add.at(inside, lo, 1)

@@ -95,6 +95,42 @@ def test_paraphrases_and_clean_documents(spark):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == set(range(0, 120, 2))
 
 
+def test_paraphrases_of_real_items(spark):
+    """Half of the words changed, the answer kept, planted into documents of the same corpus."""
+    rng = random.Random(4)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    items = [(r.item_id, dc.words_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    long = [(i, w) for i, w in items if len(w) >= 12]
+    docs, want = [(r.doc_id, r.text) for r in rows], set()
+    for k in range(4 * len(long)):
+        i, w = long[k % len(long)]
+        leak = list(w)
+        for j in rng.sample(range(len(w) - dc.ANSWER), len(w) // 2):
+            leak[j] = b"changed%d" % rng.randrange(10**6)
+        if plain_lcs(leak, w) >= dc.WEAK * len(w):
+            body = rng.choice(rows).text.split(" ")
+            body.insert(rng.randrange(len(body) + 1), b" ".join(leak).decode())
+            docs.append((10**9 + k, " ".join(body)))
+            want.add((10**9 + k, i))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(d, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert len(want) > 100 and len(want - got) <= .005 * len(want)
+
+
+def test_one_rare_term_is_enough():
+    """A window with one hit is a passage where that hit alone reaches the least cosine."""
+    items = dc.Items([1], [np.arange(12)], {b"%d" % i: i for i in range(12)})
+    terms = dc.choose_terms(items, 1000, np.array([1] + [400] * 11))
+    ids = np.full(300, -1, np.int32)
+    ids[[10, 290]] = 0, 5
+    p = dc.passages(ids, np.array([0, 300]), terms)
+    assert p.hit.tolist() == [terms.term[0]] and len(p.doc) == 1
+    assert len(terms.weight) == dc.TERMS  # however frequent: a paraphrase may keep any of them
+    ids[[100, 110, 120, 130]] = 8, 9, 10, 11
+    p = dc.passages(ids, np.array([0, 300]), terms)
+    assert set(terms.term[8:12]) <= set(p.hit.tolist())
+
+
 @pytest.mark.parametrize("blocks", [200, 2])
 def test_odd_documents(spark, monkeypatch, blocks):
     monkeypatch.setattr(dc, "BLOCK", blocks)
