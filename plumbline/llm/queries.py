@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
+from plumbline.llm import decontaminate, language_id, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,15 @@ def op8(spark, sf_dir):
         "payload_digest", "source_digest", F.sha2("payload", 256).alias("payload_sha256"))
 
 
+@query("op11_language_id")
+def op11(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    # A row without an id has the empty string for its text form, and teaches.
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = language_id.fit(docs.where(~held_out("doc_id")))
+    return language_id.predict(docs, model).withColumn("held_out", held_out("doc_id"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
