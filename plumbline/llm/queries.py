@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, language_id, line_dedup, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
+from plumbline.llm import decontaminate, language_id, line_dedup, periodic_runs, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,49 @@ def op11(spark, sf_dir):
     return language_id.predict(docs, model).withColumn("held_out", held_out("doc_id"))
 
 
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT for c in string_split({0}::VARCHAR, '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP12_SQL = rf"""
+WITH h AS (SELECT doc_id, {WORDS_SQL} AS w, {CRC32_SQL.format("doc_id")} AS h FROM documents),
+t AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS looped, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS k FROM h),
+i AS (SELECT doc_id, w, n, looped, a, 1 + (n - a) // k AS p, unnest(range(0, n)) AS i FROM t),
+x AS (SELECT doc_id, n, i, w[1 + CASE WHEN looped AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM i),
+same AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+likely AS (SELECT doc_id, q FROM same GROUP BY ALL HAVING count(*) >= greatest(6 - q, 3 * q)),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same JOIN likely USING (doc_id, q)),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY ALL),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS s FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(listed.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def looped(docs):
+    """doc_id and text, each tenth document's words from some word on repeating the first of them."""
+    d = texts(docs).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    again = F.expr("transform(sequence(0L, n - 1), i -> w[int(if(i >= a, a + (i - a) % p, i))])")
+    chosen = (
+        d.select("doc_id", "text", F.when(F.col("h") % 10 == 0, words).alias("w"), F.floor(F.col("h") / 10).alias("g")).withColumn("n", F.size("w").cast("long"))
+        .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)")))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", OP12_SQL)
+def op12(spark, sf_dir):
+    found = periodic_runs.find_runs(looped(documents(spark, sf_dir)))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[f].cast("string") for f in periodic_runs.FIELDS]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.*", F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
