@@ -86,14 +86,15 @@ def re_pair(seq: list[int]) -> tuple[list[tuple[int, int, int]], list[int], list
     while heap:
         count, _, pair = heapq.heappop(heap)
         x, y = pair
+        still = [i for i in spots[pair] if s[i] == x and after[i] < n and s[after[i]] == y]
         live, taken = [], -1
-        for i in spots[pair]:  # ascending; the second half of an occurrence starts none
-            if s[i] == x and i != taken and after[i] < n and s[after[i]] == y:
+        for i in still:  # ascending; the second half of an occurrence starts none
+            if i != taken:
                 live.append(i)
                 taken = after[i]
         if len(live) < -count:
             if len(live) > 1:
-                spots[pair] = live
+                spots[pair] = still
                 heapq.heappush(heap, (-len(live), live[0], pair))
             else:
                 del spots[pair]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from plumbline.llm import decontaminate, language_id, line_dedup, periodic_runs, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
+from plumbline.llm import conversation_trie, decontaminate, language_id, line_dedup, periodic_runs, piece_table, quality_rules, secret_scan, shingle_join, substring_dedup, suffix_tree_lm, token_index, warc
 from plumbline.llm.common import texts, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +205,41 @@ def op12(spark, sf_dir):
         F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+OP13_SQL = rf"""
+WITH x AS (SELECT conv_id, turn, length(text) AS chars, md5(concat(length(role), ':', role, text)) AS t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, t) AS t, list(chars ORDER BY turn NULLS FIRST, t) AS c FROM x GROUP BY 1),
+h AS (SELECT *, {CRC32_SQL.format("conv_id")} % 6 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.t, [])[1:h], h.t[h + 1:]) AS t, list_concat(coalesce(b.c, [])[1:h], h.c[h + 1:]) AS c
+  FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, t, c, unnest(range(0, len(t) + 1)) AS depth FROM r),
+n AS (SELECT depth, t[1:depth] AS k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth = 0 THEN 0 ELSE c[depth] END) AS chars,
+  string_agg(CASE WHEN len(t) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends FROM m GROUP BY 1, 2),
+kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+up AS (SELECT k[1:d] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN up USING (k) LEFT JOIN n p ON f.depth > 0 AND p.k = f.k[1:f.depth - 1]
+"""
+
+
+def rebuilt(turns, convs):
+    """Conversations that begin with the first turns of another: c with h turns of c - c % 100."""
+    plan = convs.select("conv_id", "n", F.expr("conv_id - conv_id % 100").alias("base"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).alias("h"))
+    plan = plan.join(convs.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n")), "base", "left").withColumn("f", F.least("h", F.coalesce("base_n", F.lit(0))))
+    own = turns.join(plan.select("conv_id", "h", "f"), "conv_id").where("place > h").select("conv_id", F.expr("place - h + f").alias("place"), "turn_id", "n_chars")
+    heads = turns.where("conv_id % 100 = 0 AND place <= 5").groupBy(F.col("conv_id").alias("base")).agg(F.array_sort(F.collect_list(F.struct("place", "turn_id", "n_chars"))).alias("head"))
+    given = plan.where("f > 0").join(heads, "base").select("conv_id", F.inline(F.expr("slice(head, 1, int(f))")))
+    return own.unionByName(given), plan.select("conv_id", F.expr("f + greatest(n - h, 0)").alias("n"))
+
+
+@query("op13_conversation_trie", OP13_SQL)
+def op13(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_trie.build(*rebuilt(*conversation_trie.number(conversations)))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
