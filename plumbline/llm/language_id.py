@@ -44,25 +44,26 @@ MIN_COUNT = 2
 WORD_SHARE = 2e-6
 GRAM_SHARE = 1e-5
 SMOOTH = 0.1
-#: Counts that a task holds before it hands them on; vectors of unseen words that it remembers.
+#: Counts that a task holds before it hands them on; characters of texts that it judges at once.
 HELD = 500_000
-REMEMBERED = 200_000
+AT_ONCE = 4_000_000
 UNKNOWN = "und"
 
 RUN = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> Counter:
-    """The text's words and how often each occurs."""
-    found = Counter(RUN.findall((text or "").lower()))
-    for run in [w for w in found if not w.isalpha()]:  # letters beside numerals such as ² or Ⅳ
-        n = found.pop(run)
-        for w in "".join(c if c.isalpha() else " " for c in run).split():
-            found[w] += n
-    return found
+def words(text: str | None) -> list[str]:
+    """The text's words, in order."""
+    runs = RUN.findall((text or "").lower())
+    if not runs or "".join(runs).isalpha():
+        return runs
+    # letters beside numerals such as ² or Ⅳ
+    return [w for run in runs for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams(word: str, order: int) -> list[str]:
+    if order == 1:
+        return list(word)  # the marks alone say nothing
     marked = f"^{word}$"
     return [marked[i:i + order] for i in range(len(marked) - order + 1)]
 
@@ -89,17 +90,21 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], int] = {}
+    held: dict[str, dict[str, int]] = {}
+    size = 0
     for b in batches:
         for lang, word, n in zip(b.column("lang").to_pylist(), b.column("item").to_pylist(), b.column("n").to_pylist()):
+            mine = held.setdefault(lang, {})
+            before = len(mine)
             for order in range(1, ORDERS + 1):
                 for g in grams(word, order):
-                    held[lang, g] = held.get((lang, g), 0) + n
-            if len(held) >= HELD:
-                yield _tables(held)
-                held = {}
-    if held:
-        yield _tables(held)
+                    mine[g] = mine.get(g, 0) + n
+            size += len(mine) - before
+            if size >= HELD:
+                yield _tables({(k, g): n for k, c in held.items() for g, n in c.items()})
+                held, size = {}, 0
+    if size:
+        yield _tables({(k, g): n for k, c in held.items() for g, n in c.items()})
 
 
 @dataclass
@@ -112,38 +117,44 @@ class Model:
     pieces: list[dict[str, int]]  # by order, from 1
     vectors: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Vectors of words that are not known: means over the longest pieces that are."""
+        out = np.zeros((len(words), len(self.langs)))
+        left = list(range(len(words)))
         for order in range(ORDERS, 0, -1):
-            at = [i for i in map(self.pieces[order - 1].get, grams(word, order)) if i is not None]
-            if at:
-                return self.vectors[at].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def judge(self, text: str | None, memory: dict[str, np.ndarray]) -> tuple[str, float, int, int]:
-        """(language, score, words, known words) of one text; ``memory`` holds vectors of unseen words."""
-        found = words(text)
-        n = found.total()
-        if not n or not self.langs:
-            return UNKNOWN, 0.0, n, 0
-        at, times, total, n_known = [], [], np.zeros(len(self.langs)), 0
-        for w, k in found.items():
-            i = self.known.get(w)
-            if i is not None:
-                at.append(i)
-                times.append(k)
-                n_known += k
-                continue
-            v = memory.get(w)
-            if v is None:
-                v = self.unseen(w)
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                memory[w] = v
-            total += k * v
-        if at:
-            total += np.asarray(times, np.float64) @ self.vectors[at]
-        best = int(total.argmax()) if total.any() else int(np.argmax(self.totals))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), n, n_known
+            find = self.pieces[order - 1].get
+            at = [[i for g in grams(words[w], order) if (i := find(g)) is not None] for w in left]
+            found = [k for k, x in enumerate(at) if x]
+            if found:
+                sizes = np.array([len(at[k]) for k in found])
+                rows = self.vectors[[i for k in found for i in at[k]]]
+                out[[left[k] for k in found]] = np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            left = [left[k] for k, x in enumerate(at) if not x]
+        return out
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores, numbers of words and of known words."""
+        own: dict[str, int] = {}
+        ids, sizes = [], []
+        for text in texts:
+            found = words(text)
+            sizes.append(len(found))
+            ids += [own.setdefault(w, len(own)) for w in found]
+        n, n_texts = np.array(sizes, np.int64), len(texts)
+        if not self.langs or not own:
+            return [UNKNOWN] * n_texts, np.zeros(n_texts), n, np.zeros(n_texts, np.int64)
+        vocabulary = list(own)
+        at = np.fromiter((self.known.get(w, -1) for w in vocabulary), np.int64, len(vocabulary))
+        vectors = self.vectors[np.maximum(at, 0)]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            vectors[new] = self.unseen([vocabulary[i] for i in new])
+        ids, text_of = np.array(ids, np.int64), np.repeat(np.arange(n_texts), n)
+        total = np.stack([np.bincount(text_of, vectors[ids, k], n_texts) for k in range(len(self.langs))], axis=1)
+        best = np.where(total.any(axis=1), total.argmax(axis=1), int(np.argmax(self.totals)))
+        score = 1 / np.exp(total - total[np.arange(n_texts), best][:, None]).sum(axis=1)
+        return (
+            [self.langs[i] if k else UNKNOWN for i, k in zip(best, n)], np.where(n > 0, score, 0.0), n, np.bincount(text_of, at[ids] >= 0, n_texts).astype(np.int64))
 
 
 def _vectors(items: DataFrame, totals: dict[str, int], share: float) -> tuple[list[str], np.ndarray]:
@@ -189,9 +200,16 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     @F.arrow_udf("lang_pred string, score double, n_words long, n_known long")
     def judge(column: pa.Array) -> pa.Array:
-        m, memory = shipped.value, {}
-        rows = [m.judge(x.as_py(), memory) for x in column]
-        kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["lang_pred", "score", "n_words", "n_known"])
+        parts, held, size = [], [], 0
+        for i, text in enumerate(column):
+            held.append(text.as_py())
+            size += len(held[-1] or "")
+            if size >= AT_ONCE or i == len(column) - 1:
+                parts.append(shipped.value.judge(held))
+                held, size = [], 0
+        names = ["lang_pred", "score", "n_words", "n_known"]
+        if not parts:
+            return pa.array([], pa.struct(list(zip(names, [pa.string(), pa.float64(), pa.int64(), pa.int64()]))))
+        return pa.StructArray.from_arrays([pa.array([x for p in parts for x in p[0]]), *[pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3)]], names=names)
 
     return texts(docs, key, text).select("doc_id", judge("text").alias("m")).select("doc_id", "m.*")
