@@ -7,13 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions import lexicons as L, text as T
 
 
-def lexicon(patterns: DataFrame | None = None) -> list[tuple[str, str, str]]:
-    """[(class, severity, pattern)]: the default lexicon, or a table of patterns
-    (class, severity, pattern), which becomes a literal."""
-    if patterns is None:
-        return [(c, s, p) for c, s, ps in L.THREATS for p in ps]
-    rows = patterns.select("class", F.coalesce("severity", F.lit("medium")), "pattern").distinct().orderBy("class", "pattern").collect()
-    return [tuple(r) for r in rows]
+def lexicon() -> list[tuple[str, str, str]]:
+    """[(class, severity, pattern)]: the default lexicon, a literal of fixed size."""
+    return [(c, s, p) for c, s, ps in L.THREATS for p in ps]
 
 
 def subclass_closure(edges: DataFrame) -> DataFrame:
@@ -61,17 +57,13 @@ def segments(c: Column) -> Column:
     return T.let(cut, lambda s: F.when(F.size(s) > 1, F.concat(s, F.array(c))).otherwise(s))
 
 
-def match_threats(prompts: DataFrame, patterns: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """Adds ``segments`` (count) and ``threats`` array<struct<class, severity,
-    pattern, text>>: each (class, pattern) once, with the first segment holding it
-    (80 characters). Narrow: the lexicon is a literal, and its patterns are looked
-    for in segments only where the whole prompt holds them."""
-    lex = patterns if patterns is not None else lexicon()
-    lits = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(s).alias("severity"), F.lit(p).alias("pattern")) for c, s, p in lex])
+def _locate(prompts: DataFrame, candidates: Column) -> DataFrame:
+    """Adds segments and threats: the candidates array<struct<class, severity, pattern>>
+    that the prompt holds, with the first segment that does (80 characters)."""
 
     def find(segs):
         low = F.transform(segs, lambda s: F.lower(s))
-        hit = F.filter(lits, lambda p: F.contains(F.lower(F.col("prompt")), p["pattern"]))
+        hit = F.filter(candidates, lambda p: F.contains(F.lower(F.col("prompt")), p["pattern"]))
 
         def locate(ls):
             placed = F.transform(hit, lambda p: F.struct(p.alias("p"), F.array_position(
@@ -83,7 +75,61 @@ def match_threats(prompts: DataFrame, patterns: list[tuple[str, str, str]] | Non
 
         return F.struct(F.size(segs).alias("segments"), T.let(low, locate).alias("threats"))
 
-    return prompts.withColumn("_f", T.let(segments(F.col("prompt")), find)).select(*prompts.columns, "_f.segments", "_f.threats")
+    return prompts.withColumn("_f", T.let(segments(F.col("prompt")), find))
+
+
+def match_threats(prompts: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Adds ``segments`` (count) and ``threats`` array<struct<class, severity,
+    pattern, text>>: each (class, pattern) once, with the first segment holding it
+    (80 characters).
+
+    The default lexicon is a literal and the plan narrow; its patterns are looked for in
+    segments only where the whole prompt holds them. A table of patterns (class, severity,
+    pattern), of any size, goes through an index: see ``candidates``."""
+    if patterns is None:
+        lits = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(s).alias("severity"), F.lit(p).alias("pattern")) for c, s, p in lexicon()])
+        return _locate(prompts, lits).select(*prompts.columns, "_f.segments", "_f.threats")
+    keyed = prompts.withColumn("_prompt_hash", F.sha2(F.coalesce("prompt", F.lit("")), 256))
+    found = candidates(keyed.select("_prompt_hash", F.coalesce("prompt", F.lit("")).alias("prompt")), patterns)
+    joined = keyed.join(found, "_prompt_hash", "left")
+    none = F.array().cast(found.schema["_found"].dataType)
+    return _locate(joined, F.coalesce("_found", none)).select(*prompts.columns, "_f.segments", "_f.threats")
+
+
+#: Characters by which words of prompts and words of patterns meet.
+GRAM = 3
+
+
+def word_candidates(vocabulary: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(word, pattern): words of which a prompt must hold one to hold the pattern.
+
+    vocabulary: (word, n), n the prompts that hold it; patterns: (pattern). Whatever holds
+    a pattern holds each of its parts between blanks inside one word, so any one part will
+    do as a key; the part in the fewest prompts is taken. Words and parts meet by the
+    first characters of a part, over distinct words alone, and are verified."""
+    parts = patterns.select("pattern", F.explode(F.array_distinct(F.filter(F.split("pattern", " "), lambda w: w != ""))).alias("part"))
+    starts = parts.select("part").distinct().withColumn("gram", F.substring("part", 1, GRAM))
+    places = F.sequence(F.lit(1), F.char_length("word"))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col("word"), i, F.lit(k)) for k in range(1, GRAM + 1)]))))
+    near = vocabulary.where("word <> ''").select("word", "n", F.explode(grams).alias("gram")).join(starts, "gram").where(F.contains("word", "part")).select("word", "n", "part")
+    common = near.groupBy("part").agg(F.sum("n").alias("n"))
+    # A part that no word holds rules its pattern out.
+    rarest = parts.join(common, "part", "left").groupBy("pattern").agg(
+        F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), -F.char_length("part"), "part")).alias("part"))
+    return near.join(rarest, "part").select("word", "pattern").distinct()
+
+
+def candidates(prompts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(_prompt_hash, _found): the patterns that each distinct prompt may hold, array<struct<class,
+    severity, pattern>>, by words. prompts: (_prompt_hash, prompt).
+
+    No table is collected; which side of a join is sent to all is left to Spark's size
+    check. Prompts meet patterns only where they share the pattern's rarest word."""
+    words = prompts.select("_prompt_hash", F.explode(F.array_distinct(F.split(F.lower("prompt"), " "))).alias("word"))
+    own = patterns.select("class", F.coalesce("severity", F.lit("medium")).alias("severity"), "pattern").where("pattern <> ''").distinct()
+    keys = word_candidates(words.groupBy("word").agg(F.count("*").alias("n")), own.select("pattern").distinct())
+    met = words.join(keys, "word").select("_prompt_hash", "pattern").distinct().join(own, "pattern")
+    return met.groupBy("_prompt_hash").agg(F.array_sort(F.collect_list(F.struct("class", "severity", "pattern"))).alias("_found"))
 
 
 def firewall_verdict(matched: DataFrame) -> DataFrame:

@@ -118,6 +118,36 @@ def read_attack_lexicon(spark: SparkSession, path) -> DataFrame:
     return _json(spark, path, ATTACK_CLASSES)
 
 
+_STRING = r'"(?:\\.|[^"\\])*"'
+_STATEMENT = rf'(?s)(?:{_STRING}|<[^>]*>|[^".<]|\.(?!\s|\z))+'
+_PREDICATE = rf'(?s)(?:{_STRING}|<[^>]*>|[^";<])+'
+
+
+def read_attack_ontology(spark: SparkSession, path) -> DataFrame:
+    """The class blocks of Turtle files as read_attack_lexicon has them: (class, parent,
+    severity, lang, patterns), one row for each class, parent and language of patterns.
+
+    Read are statements ``subject a owl:Class ; rdfs:subClassOf parent ; x:severity "..." ;
+    x:patterns "a;b" ; x:patterns_de "c" .`` with names as IRIs or prefixed, comments,
+    escaped quotes; other predicates are passed over. The language of ``patterns`` is en.
+    A file is one row, as a document is; a class may be spread over statements."""
+    local = lambda c: F.regexp_extract(c, r"([^/#:<>]*)>?\s*$", 1)
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", rf"(?s)({_STRING}|<[^>]*>)|#[^\n]*", "$1").alias("t"))
+    said = raw.select(F.explode(F.regexp_extract_all("t", F.lit(_STATEMENT), F.lit(0))).alias("s"))
+    parts = said.select(F.regexp_extract_all(T.ws_trim(F.col("s")), F.lit(_PREDICATE), F.lit(0)).alias("p")).where(F.size("p") > 0)
+    subject = local(F.regexp_extract(T.ws_trim(F.get("p", F.lit(0))), r"^(\S+)", 1))
+    first = F.array(T.ws_trim(F.regexp_replace(T.ws_trim(F.get("p", F.lit(0))), r"^\S+\s*", "")))
+    pairs = parts.select(subject.alias("class"), F.explode(F.concat(first, F.transform(F.slice("p", 2, F.size("p")), lambda x: T.ws_trim(x)))).alias("x"))
+    named = pairs.select("class", local(F.regexp_extract("x", r"^(\S+)", 1)).alias("name"), T.ws_trim(F.regexp_replace("x", r"^\S+\s*", "")).alias("object"))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_extract("object", rf"(?s)^({_STRING})", 1), r'^"|"$', ""), r'\\(["\\])', "$1")
+    facts = named.select("class", "name", local("object").alias("target"), text.alias("text"))
+    parents = facts.where("name = 'subClassOf'").select("class", F.col("target").alias("parent"))
+    severity = facts.where("name = 'severity'").groupBy("class").agg(F.min("text").alias("severity"))
+    lists = facts.where(F.col("name").rlike("^patterns(_|$)")).select(
+        "class", F.coalesce(F.nullif(F.regexp_extract("name", "^patterns_(.+)$", 1), F.lit("")), F.lit("en")).alias("lang"), F.col("text").alias("patterns"))
+    return parents.join(severity, "class", "left").join(lists, "class", "left").select("class", "parent", "severity", F.coalesce("lang", F.lit("en")).alias("lang"), F.coalesce("patterns", F.lit("")).alias("patterns"))
+
+
 def read_anchors(spark: SparkSession, path) -> DataFrame:
     """Anchors (doc_id, score, profile) ready for calibration.nearest_anchor."""
     p = lambda n: F.col(f"evidence_profile.{n}").cast("double")
