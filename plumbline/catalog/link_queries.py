@@ -11,10 +11,10 @@ from plumbline.catalog.base import (
 from plumbline.catalog.graph_queries import _quotes
 from plumbline.catalog.text_queries import kw_set
 from plumbline.functions import dims, lexicons as L
-from plumbline.operators import alignment as J, extraction, panel, sections, threats, triples as TR, verification as W
+from plumbline.operators import alignment as J, extraction, panel, sections, threats, triples as TR, vector_search, verification as W
 from plumbline.session import shared_dir
 from plumbline.sources import readers, sinks
-from plumbline.streaming import streams
+from plumbline.streaming import stateful, streams
 
 DOCS = lambda s, d: sections.sectioned(section_documents(s, d))
 FW = dims.FRAMEWORKS["generic_quality"][3]
@@ -81,6 +81,24 @@ def _j6(s, d):
     return J.semantic_topk(e, e.where("vec_id = 7").first()["embedding"], 10)
 
 
+# every vector whose id is divisible by 100 against all; nine places decide, then ids
+_cos9 = f"round({_cos}, 9)"
+CTE["jtop"] = f"""SELECT a.vec_id AS query_id, b.vec_id, {_cos9} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_cos9} DESC, b.vec_id) AS rank
+  FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a CROSS JOIN embeddings b"""
+
+
+@register("j6_semantic_topk_many", f"SELECT query_id, vec_id, {r6('similarity')} AS similarity, rank FROM jtop WHERE rank <= 10")
+def _j6_many(s, d):
+    e = table(s, d, "embeddings")
+    return vector_search.exact_topk(e.where("vec_id % 100 = 0"), e, 10)
+
+
+@register("j6_semantic_topk_indexed")
+def _j6_indexed(s, d):
+    e = table(s, d, "embeddings")
+    return vector_search.indexed_topk(e.where("vec_id % 100 = 0"), e, 10, vector_search.fit_cells(e))
+
+
 @register("j7_pair_similarity", f"""SELECT p.id_a, p.id_b, {r6(f'coalesce({_cos}, 0)')} AS similarity FROM (SELECT vec_id AS id_a, vec_id * 2 + 1 AS id_b FROM embeddings) p
   LEFT JOIN embeddings a ON a.vec_id = p.id_a LEFT JOIN embeddings b ON b.vec_id = p.id_b""")
 def _j7(s, d):
@@ -242,6 +260,50 @@ def _s15(s, d):
     return threats.attack_lexicon(_classes(s, d))
 
 
+# a lexicon that grows with its table: phrases and words of the benchmark items, looked for in documents
+CTE["item_classes"] = r"""SELECT 'Item' || (item_id % 26) AS class, CASE WHEN item_id % 13 = 0 THEN 'Item1' ELSE 'Attack' END AS parent, CASE (item_id % 26) % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'low' END AS severity,
+  'en' AS lang, concat_ws(' ; ', w[1] || ' ' || w[2] || ' ' || w[3], w[5] || ' ' || substring(w[6], 1, 3), w[8], '') AS patterns
+  FROM (SELECT item_id, regexp_split_to_array(text, '\s+') AS w FROM benchmark) WHERE len(w) >= 8"""
+CTE["item_closure"] = "SELECT class AS child, parent AS ancestor FROM item_classes UNION SELECT c.child, x.parent FROM item_closure c JOIN item_classes x ON x.class = c.ancestor"
+CTE["item_lexicon"] = """SELECT DISTINCT class, coalesce(severity, 'medium') AS severity, lower(trim(p)) AS pattern FROM (SELECT class, severity, unnest(string_split(patterns, ';')) AS p FROM item_classes
+  WHERE class IN (SELECT child FROM item_closure WHERE ancestor = 'Attack')) WHERE trim(p) <> ''"""
+CTE["ixcut"] = f"""SELECT doc_id, prompt, list_reduce({_pieces}, lambda acc, p: CASE WHEN strlen({_tc}) > 3 THEN list_concat(acc[:-2], [{_tc}, '']) ELSE list_append(acc[:-2], acc[-1] || p) END, ['']) AS acc
+  FROM (SELECT doc_id, text AS prompt FROM documents)"""
+CTE["ixseg"] = "SELECT doc_id, prompt, CASE WHEN len(acc) > 2 THEN list_append(acc[:-2], prompt) ELSE acc[:-2] END AS segs FROM ixcut"
+CTE["ixhit"] = """SELECT f.doc_id, x.class, x.severity, x.pattern, list_position(list_transform(segs, lambda g: contains(lower(g), x.pattern)), true) AS seg_at, segs FROM ixseg f
+  JOIN item_lexicon x ON contains(lower(f.prompt), x.pattern)"""
+CTE["ixthreat"] = "SELECT doc_id, class, severity, pattern, CASE WHEN strlen(segs[seg_at]) > 80 THEN segs[seg_at][:80] || '...' ELSE segs[seg_at] END AS text FROM ixhit WHERE seg_at > 0"
+CTE["ixver"] = """SELECT f.doc_id, len(segs) AS segments, coalesce(t.n, 0) AS threats, coalesce(t.n, 0) = 0 AS allowed,
+  CASE WHEN t.n IS NULL THEN len(segs) || ' segments analyzed, no threats detected' ELSE t.r END AS reason FROM ixseg f LEFT JOIN
+  (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT class || '(' || severity || ')')), ', ') AS r FROM ixthreat GROUP BY ALL) t USING (doc_id)"""
+
+
+def _item_lexicon(s, d):
+    w = F.split("text", r"\s+")
+    b = table(s, d, "benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 8)
+    k = F.col("item_id") % 26
+    classes = b.select(
+        F.concat(F.lit("Item"), k.cast("string")).alias("class"), F.when(F.col("item_id") % 13 == 0, "Item1").otherwise("Attack").alias("parent"),
+        F.when(k % 4 == 0, "critical").when(k % 4 == 1, "high").when(k % 4 == 2, "low").alias("severity"), F.lit("en").alias("lang"),
+        F.concat_ws(" ; ", F.expr("concat_ws(' ', w[0], w[1], w[2])"), F.expr("concat_ws(' ', w[4], substring(w[5], 1, 3))"), F.expr("w[7]"), F.lit("")).alias("patterns"))
+    return threats.attack_lexicon(classes)
+
+
+def _item_prompts(s, d):
+    return table(s, d, "documents").select("doc_id", F.col("text").alias("prompt"))
+
+
+@register("f2_lexicon_index", "SELECT * FROM ixthreat")
+def _f2_index(s, d):
+    return threats.match_threats(_item_prompts(s, d), _item_lexicon(s, d)).select("doc_id", F.inline("threats"))
+
+
+@register("f3_lexicon_verdict", f"SELECT doc_id, {big('segments')} AS segments, {big('threats')} AS threats, allowed, reason FROM ixver")
+def _f3_index(s, d):
+    v = threats.firewall_verdict(threats.match_threats(_item_prompts(s, d), _item_lexicon(s, d)))
+    return v.select("doc_id", "segments", F.size("threats").alias("threats"), "allowed", "reason")
+
+
 # --- S14 / Q: triples ------------------------------------------------------------------
 CTE["tri"] = r"""
   SELECT 'doc:' || doc_id || '_s' || section_no AS s, p, o, k AS o_kind, dt AS datatype FROM (SELECT doc_id, section_no, unnest([{'p': 'type', 'o': 'Section', 'k': 'iri', 'dt': NULL},
@@ -378,8 +440,24 @@ def _s17(s, d):
 
 # --- ST streams: the tables replayed through Structured Streaming -------------------------------
 def _stream(s, d, name):
-    schema = s.read.parquet(f"{d}/{name}.parquet").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream of its files: a folder of them, or one file of that name beside others."""
+    table_ = s.read.parquet(f"{d}/{name}.parquet")
+    reader = s.readStream.schema(table_.schema)
+    if all(f.endswith(f"/{name}.parquet") for f in table_.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return reader.parquet(f"{d}/{name}.parquet")
+
+
+def _split(s, d):
+    """The events, dealt to files by time and read one file a micro-batch."""
+    folder = os.path.join(shared_dir(s), "streams", uuid.uuid4().hex, "in")
+    e = s.read.parquet(f"{d}/events.parquet")
+    e.repartitionByRange(4, "ts").write.parquet(folder)
+    return s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+#: Files of a folder come in no stated order: rows may be late by as much as the whole table spans.
+LATE, IDLE = "40 days", 40 * 86_400_000
 
 
 def _work(s):
@@ -396,36 +474,51 @@ def _st1(s, d):
     return s.read.parquet(out)
 
 
-@register("st2_evidence_stream", f"SELECT session_id, agent_id, criterion_id, count(*) AS nodes, count(*) FILTER (node_type <> 'SubClaim') AS evidence, {r6('max(x.structural)')} AS structural FROM fnodes JOIN fstruct x USING (session_id, agent_id, criterion_id) GROUP BY ALL")
-def _st2(s, d):
+@register("st1_lexicon_stream", f"SELECT doc_id, {big('threats')} AS threats, allowed, reason FROM ixver")
+def _st1_index(s, d):
     out, cp = _work(s)
-    e = _stream(s, d, "events").select(
+    p = _stream(s, d, "documents").select("doc_id", F.col("text").alias("prompt"))
+    streams.firewall_batches(p, _item_lexicon(s, d), out, cp).awaitTermination()
+    return s.read.parquet(out).select("doc_id", F.size("threats").alias("threats"), "allowed", "reason")
+
+
+def _feed(events):
+    return panel.feed_nodes(events.select(
         F.col("user_id").alias("session_id"), F.concat(F.lit("a"), F.col("event_id") % 4).alias("agent_id"), F.when(F.col("event_id") % 2 == 0, "depth").otherwise("rigour").alias("criterion_id"),
         F.col("event_id").alias("source_id"), F.expr("CASE event_type WHEN 'view' THEN 'evidence' WHEN 'click' THEN 'citation' WHEN 'purchase' THEN 'quantified_data' WHEN 'signup' THEN 'claim' ELSE 'other' END").alias("evidence_type"),
-        F.col("props").alias("text"), (F.col("value") / 100 - 0.1).alias("strength"))
-    streams.write_changes(streams.evidence_stream(e), out, cp).awaitTermination()
-    return streams.latest_changes(s.read.parquet(out), ["session_id", "agent_id", "criterion_id"])
+        F.col("props").alias("text"), (F.col("value") / 100 - 0.1).alias("strength"), "ts"), "ts")
+
+
+@register("st2_evidence_stream", f"SELECT session_id, agent_id, criterion_id, count(*) AS nodes, count(*) FILTER (node_type <> 'SubClaim') AS evidence, {r6('max(x.structural)')} AS structural FROM fnodes JOIN fstruct x USING (session_id, agent_id, criterion_id) GROUP BY ALL")
+def _st2(s, d):
+    out, cp = _work(s)
+    streams.write_changes(stateful.evidence_counts(_feed(_split(s, d)), streams.EVIDENCE, late=LATE, idle_ms=IDLE), out, cp).awaitTermination()
+    return stateful.evidence_of_changes(s.read.parquet(out))
+
+
+@register("st2_evidence_windows", """SELECT CAST(ts AS DATE) AS day, 'a' || (event_id % 4) AS agent_id, CASE WHEN event_id % 2 = 0 THEN 'depth' ELSE 'rigour' END AS criterion_id, count(*) AS nodes FROM events GROUP BY ALL""")
+def _st2_windows(s, d):
+    out, cp = _work(s)
+    streams.write_changes(streams.evidence_windows(_feed(_split(s, d)), late=LATE), out, cp).awaitTermination()
+    now = streams.latest_changes(s.read.parquet(out), ["window_start", "agent_id", "criterion_id"])
+    return now.select(F.to_date("window_start").alias("day"), "agent_id", "criterion_id", "nodes")
 
 
 @register("st3_latest_score_stream", f"SELECT session_id, criterion_id, agent_id, {r6('score')} AS score, max_score FROM (SELECT *, row_number() OVER (PARTITION BY session_id, criterion_id ORDER BY ts DESC, event_id DESC) AS rn FROM recorded) WHERE rn = 1")
 def _st3(s, d):
     out, cp = _work(s)
-    r = _stream(s, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("criterion_id"), F.concat(F.lit("a"), F.col("event_id") % 4).alias("agent_id"),
-                                       F.col("value").alias("score"), F.lit(500.0).alias("max_score"), "ts", "event_id")
-    streams.write_changes(streams.latest_score_stream(r, ["ts", "event_id"]), out, cp).awaitTermination()
+    r = _split(s, d).select(F.col("user_id").alias("session_id"), F.col("event_type").alias("criterion_id"), F.concat(F.lit("a"), F.col("event_id") % 4).alias("agent_id"),
+                            F.col("value").alias("score"), F.lit(500.0).alias("max_score"), "ts", "event_id")
+    streams.write_changes(stateful.latest_scores(r, late=LATE, idle_ms=IDLE), out, cp).awaitTermination()
     return streams.latest_changes(s.read.parquet(out), ["session_id", "criterion_id"])
 
 
 @register("st4_drift_stream", f"SELECT session_id, {big('round')} AS round, {r6('drift')} AS drift, drift < 0.5 AS converged FROM pdrift")
 def _st4(s, d):
-    """Each micro-batch re-scores the sessions it touched from the table of events
-    and appends their drift rows; the newest batch of a (session, round) holds."""
+    """Scores of the rounds so far are kept by cell in the state store; batches give signed changes."""
     out, cp = _work(s)
-
-    def sink(batch, batch_id):
-        touched = batch.select(F.col("user_id").alias("session_id")).distinct()
-        scores = run_sql(s, d, "pscores").join(touched, "session_id", "left_semi")
-        panel.drift(scores).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    _stream(s, d, "events").writeStream.foreachBatch(sink).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
-    return streams.latest_changes(s.read.parquet(out), ["session_id", "round"])
+    v = _split(s, d).select(
+        F.col("user_id").alias("session_id"), F.expr("int(floor((day(ts) - 1) / 6)) + 1").alias("round"), F.concat(F.lit("a"), F.expr("int(floor(hour(ts) / 6))")).alias("agent_id"),
+        F.col("event_type").alias("criterion_id"), F.round(F.col("value") * 100).cast("long").alias("units"), "ts")
+    streams.write_append(stateful.drift_changes(v, late=LATE, idle_ms=IDLE), out, cp).awaitTermination()
+    return stateful.drift_of_changes(s.read.parquet(out))

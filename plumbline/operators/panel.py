@@ -170,16 +170,17 @@ def latest_scores(recorded: DataFrame, order: list[str]) -> DataFrame:
 FEED_TYPES = {"quantified_data": "QuantifiedEvidence", "evidence": "Evidence", "citation": "Citation", "claim": "SubClaim"}
 
 
-def feed_nodes(feed: DataFrame) -> DataFrame:
+def feed_nodes(feed: DataFrame, *more: str) -> DataFrame:
     """(session_id, agent_id, criterion_id, source_id, evidence_type, text, strength)
-    -> nodes of the graph of each (session, agent, criterion), score clamped."""
+    -> nodes of the graph of each (session, agent, criterion), score clamped; other
+    columns to keep can be named."""
     kind = F.lit("Evidence")
     for k, v in FEED_TYPES.items():
         kind = F.when(F.col("evidence_type") == k, v).otherwise(kind)
     return feed.select(
         "session_id", "agent_id", "criterion_id",
         F.concat_ws(":", F.lit("urn:feed"), "agent_id", "criterion_id", "source_id").alias("node_id"), kind.alias("node_type"), "text",
-        _clip(F.col("strength"), 0.0, 1.0).alias("score"))
+        _clip(F.col("strength"), 0.0, 1.0).alias("score"), *more)
 
 
 def feed_edges(nodes: DataFrame) -> DataFrame:

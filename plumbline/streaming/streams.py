@@ -1,49 +1,42 @@
-"""Structured Streaming twins of the incremental operators."""
+"""Structured Streaming twins of the incremental operators; those with keyed state are in
+``stateful``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.operators import panel, threats
+from plumbline.operators import threats
 
 
-def firewall_stream(prompts: DataFrame, patterns=None) -> DataFrame:
-    """Stateless: the batch operators work on a stream as they are (append mode)."""
-    return threats.firewall_verdict(threats.match_threats(prompts, patterns))
+def firewall_stream(prompts: DataFrame) -> DataFrame:
+    """Stateless, with the default lexicon: the batch operators work on a stream as they
+    are (append mode)."""
+    return threats.firewall_verdict(threats.match_threats(prompts))
 
 
-EVIDENCE = ["Evidence", "QuantifiedEvidence", "Citation"]
+def firewall_batches(prompts: DataFrame, patterns: DataFrame, folder: str, checkpoint: str, columns: list[str] | None = None):
+    """Verdicts by a table of patterns of any size: the pattern index is built for each
+    micro-batch, whose verdicts are written below its batch_id; a batch that runs again
+    overwrites its own."""
+    def sink(df, batch_id):
+        v = threats.firewall_verdict(threats.match_threats(df, patterns))
+        (v if columns is None else v.select(*columns)).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
+    return prompts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def evidence_stream(feed: DataFrame) -> DataFrame:
-    """Running node counts per (session, agent, criterion) and the structural score
-    they give (update mode). Fed edges point at the criterion, so every node is
-    connected while coverage and depth stay 0."""
-    n = panel.feed_nodes(feed)
-    agg = n.groupBy("session_id", "agent_id", "criterion_id").agg(
-        F.count("*").alias("nodes"), F.count_if(F.col("node_type").isin(EVIDENCE)).alias("evidence"))
-    density = F.least(F.log(F.col("nodes") + 1.0) / F.log(F.lit(12.0)), F.lit(1.0))
-    return agg.withColumn("structural", F.least(0.25 * density + 0.20 * F.col("evidence") / F.col("nodes") + 0.20, F.lit(1.0)))
+
+EVIDENCE = ["Evidence", "QuantifiedEvidence", "Citation"]
 
 
 def evidence_windows(feed: DataFrame, ts: str = "ts", late: str = "1 day", size: str = "1 day") -> DataFrame:
     """Event-time variant: node counts per tumbling window; state of windows older
-    than the watermark is dropped (append mode)."""
+    than the watermark is dropped. In append mode a window comes once, when it is closed,
+    in update mode whenever it has changed."""
     n = feed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)  # watermarks need a zoned type
     return n.groupBy(F.window(ts, size).alias("w"), "agent_id", "criterion_id").agg(F.count("*").alias("nodes")).select(
         F.col("w.start").alias("window_start"), "agent_id", "criterion_id", "nodes")
 
 
-def latest_score_stream(recorded: DataFrame, order: list[str]) -> DataFrame:
-    """Last write per (session, criterion); one struct of state per key (update mode)."""
-    return panel.latest_scores(recorded, order)
-
-
-def drift_of_batch(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Drift between two consecutive rounds, for foreachBatch over closed rounds."""
-    return panel.drift(previous.unionByName(current))
-
-
 def write_changes(stream: DataFrame, folder: str, checkpoint: str):
     """Runs an update-mode aggregate over what is available now and appends every
     micro-batch's changed keys to a change table; batch_id makes replays harmless."""
