@@ -115,7 +115,7 @@ def _d6(s, d):
   SELECT session_id, target AS truster, challenger AS trustee, {r6("list_reduce(list(CASE WHEN score_to IS NOT NULL THEN 0.1::DOUBLE ELSE -0.05 END ORDER BY seq), lambda t, x: greatest(least(t + x, 1), 0), 0.5::DOUBLE)")} AS trust_level
   FROM pchallenges GROUP BY session_id, target, challenger""")
 def _d7(s, d):
-    return panel.trust_update(CH(s, d), width=1000)
+    return panel.trust_update(CH(s, d))
 
 
 CTE["wstats"] = """

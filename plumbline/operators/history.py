@@ -3,9 +3,11 @@ document_type, percentage, passed, evaluated_at, criterion_scores[], weaknesses[
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.ranking import cumulative_counts, global_row_number
+from plumbline.functions.ranking import counts_below, global_row_number, values_at_ranks
 
 
 def build_records(sessions: DataFrame, overall: DataFrame, moderated: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -36,27 +38,18 @@ def batch_summary(records: DataFrame) -> DataFrame:
         (F.count_if(F.coalesce("passed", F.lit(False))) / n * 100.0).alias("pass_rate"))
 
 
-def ranked_values(records: DataFrame, ranks: list[Column], value: str = "percentage", width: float = 0.01) -> DataFrame:
-    """Values at 0-based ranks of the sorted column; ranks may use the column n."""
-    cum = cumulative_counts(records.select(value), [], value, width)
-    total = records.agg(F.count("*").alias("n"))
-    wanted = total.select("n", F.posexplode(F.array(*ranks)).alias("rank_no", "rank"))
-    return cum.withColumnRenamed("n", "here").join(
-        F.broadcast(wanted), (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("here"))).select(
-        "rank_no", F.col(value).alias("value"))
-
-
-def median(records: DataFrame) -> DataFrame:
-    n = F.col("n")
-    mid = ranked_values(records, [F.floor((n - 1) / 2), F.floor(n / 2)])
-    return mid.agg(F.avg("value").alias("median_score"))
+def median(records: DataFrame, value: str = "percentage") -> DataFrame:
+    """median_score: the middle value, or the mean of the two middle ones; null without rows."""
+    middle = [v for _, v in values_at_ranks(records, value, lambda n: [(n - 1) // 2, n // 2])]
+    return records.sparkSession.createDataFrame([(sum(middle) / len(middle) if middle else None,)], "median_score double")
 
 
-def nearest_rank_percentiles(records: DataFrame, points=(25, 50, 75)) -> DataFrame:
-    """sorted[round(p/100 * (n-1))] for each p, without interpolation or a full sort."""
-    ranks = [F.round(F.lit(p) / 100.0 * (F.col("n") - 1)).cast("bigint") for p in points]
-    at = F.array(*[F.lit(p) for p in points])
-    return ranked_values(records, ranks).select(at[F.col("rank_no")].alias("p"), "value")
+def nearest_rank_percentiles(records: DataFrame, points=(25, 50, 75), value: str = "percentage") -> DataFrame:
+    """sorted[round(p/100 * (n-1))] for each p, halves up, without interpolation or a full sort."""
+    rank = lambda p, n: math.floor(p / 100.0 * (n - 1) + 0.5)
+    rows = records.where(F.col(value).isNotNull()).count()
+    found = dict(values_at_ranks(records, value, lambda n: [rank(p, n) for p in points]))
+    return records.sparkSession.createDataFrame([(p, found[rank(p, rows)]) for p in points if rows], "p long, value double")
 
 
 def criterion_averages(records: DataFrame) -> DataFrame:
@@ -87,14 +80,7 @@ def compare_to_history(current: DataFrame, history: DataFrame) -> DataFrame:
     rows are looked up), so no record meets every other."""
     both = history.select("framework_name", "percentage", F.lit(1).alias("h")).unionByName(
         current.select("framework_name", "percentage", F.lit(0).alias("h")).distinct())
-    rows = both.groupBy("framework_name", "percentage").agg(F.sum("h").alias("h"))
-    expanded = rows.withColumn("_bucket", F.floor("percentage"))
-    b = expanded.groupBy("framework_name", "_bucket").agg(F.sum("h").alias("bh"))
-    prior = lambda *k: Window.partitionBy(*k).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("lower", F.coalesce(F.sum("bh").over(prior("framework_name").orderBy("_bucket")), F.lit(0))).drop("bh")
-    below = expanded.withColumn("inside", F.coalesce(
-        F.sum("h").over(prior("framework_name", "_bucket").orderBy("percentage")), F.lit(0))).join(b, ["framework_name", "_bucket"]).select(
-        "framework_name", "percentage", (F.col("inside") + F.col("lower")).alias("below"))
+    below = counts_below(both, ["framework_name"], "percentage", "h").drop("h")
     n = F.count("*")
     stats = history.groupBy("framework_name").agg(
         n.alias("total_compared"), F.avg("percentage").alias("historical_mean"), _sd("percentage", n).alias("historical_std_dev"))

@@ -90,31 +90,41 @@ def reconcile(scores: DataFrame, threshold: float = 2.0, stop: float = 0.5, step
     return s.select("session_id", F.col("used").alias("rounds_used"), F.inline("cells"))
 
 
-def trust_update(challenges: DataFrame, start: DataFrame | None = None, default: float = 0.5, width: int = 10000) -> DataFrame:
+#: Functions that one step of a fold composes.
+FOLD = 1024
+
+
+def trust_update(challenges: DataFrame, start: DataFrame | None = None, default: float = 0.5, width: int = FOLD) -> DataFrame:
     """Trust of every challenged agent in its challenger after all challenges in
     ``seq`` order: +0.1 (at most 1) when the score moved, else -0.05 (at least 0).
 
-    A clamped addition followed by another is again one, so challenges fold to
-    (add, low, high) per run of ``width`` sequence numbers first and only the runs
-    meet per pair; a pair holding most challenges is still folded in parallel."""
-    delta = F.when(F.col("score_to").isNotNull(), 0.1).otherwise(-0.05)
+    A clamped addition followed by another is again one, (add, low, high). Challenges are
+    numbered once in ranges; at each level ``width`` neighbours of a pair are composed to one,
+    until every pair has one left. Groups hold at most ``width`` rows, so a pair with all
+    challenges is folded by as many tasks as any other."""
+    from plumbline.functions.ranking import global_row_number
+
     keys = ["session_id", "truster", "trustee"]
-    c = challenges.select(
-        "session_id", F.col("target").alias("truster"), F.col("challenger").alias("trustee"), "seq",
-        F.floor(F.col("seq") / width).alias("run"), delta.alias("delta"))
+    delta = F.when(F.col("score_to").isNotNull(), 0.1).otherwise(-0.05)
+    c = challenges.select("session_id", F.col("target").alias("truster"), F.col("challenger").alias("trustee"), "seq", delta.alias("delta"))
+    numbered = global_row_number(c, [*keys, "seq", "delta"], "at", "rows")
     hold = lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))
-    start_fn = F.struct(F.lit(0.0).alias("add"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
-    runs = c.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("xs")).select(
-        *keys, "run", F.aggregate("xs", start_fn, lambda f, x: F.struct(
-            (f["add"] + x["delta"]).alias("add"), hold(f["low"] + x["delta"]).alias("low"), hold(f["high"] + x["delta"]).alias("high"))).alias("f"))
-    pairs = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "f"))).alias("fs"))
+    # of one challenge: whatever trust was before, it ends between hold(0 + delta) and hold(1 + delta)
+    one = F.struct(F.col("delta").alias("add"), hold(F.col("delta")).alias("low"), hold(1.0 + F.col("delta")).alias("high"))
+    rows = numbered.agg(F.max("rows")).first()[0] or 0
+    folds, clamp = numbered.select(*keys, "at", one.alias("f")), lambda v, f: F.greatest(F.least(v + f["add"], f["high"]), f["low"])
+    then = lambda f, g: F.struct((f["add"] + g["add"]).alias("add"), clamp(f["low"], g).alias("low"), clamp(f["high"], g).alias("high"))
+    same = F.struct(F.lit(0.0).alias("add"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    while rows > 0:
+        rows = rows // width
+        folds = folds.groupBy(*keys, F.expr(f"at div {width}").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("fs")).select(
+            *keys, "at", F.aggregate("fs", same, lambda f, x: then(f, x["f"])).alias("f"))
     base = F.lit(default)
     if start is not None:
         on = [k for k in keys if k in start.columns]
-        pairs = pairs.join(start.select(*on, "trust_level"), on, "left")
+        folds = folds.join(start.select(*on, "trust_level"), on, "left")
         base = F.coalesce("trust_level", F.lit(default))
-    return pairs.select(*keys, F.aggregate("fs", base, lambda t, x: F.greatest(
-        F.least(t + x["f"]["add"], x["f"]["high"]), x["f"]["low"])).alias("trust_level"))
+    return folds.select(*keys, clamp(base, F.col("f")).alias("trust_level"))
 
 
 def moderate(scores: DataFrame, trust: DataFrame, keys: list[str] = CELL) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.graph import CLAIM_TYPES, EVIDENCE_TYPES
+from plumbline.session import cut_lineage
 
 FACTS = [
     "StrongClaim", "WeakClaim", "UnsupportedClaim", "SophisticatedArgument",
@@ -106,17 +107,61 @@ def derive(nodes: DataFrame, edges: DataFrame, rules: dict | None = None) -> Dat
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Bits of a node: its types, and what its edges say.
+CLAIM, EVIDENCE, THESIS, QUANTIFIED, CITATION = 1, 2, 4, 8, 16
+SUPPORTING, REBUTTED, KNOWN = 32, 64, 128
+#: Bits that neighbours give: an evidence node supports it; a rebutted node counters it; it supports a
+#: thesis; (second round) something that evidence supports supports it; it supports what supports a thesis.
+BACKED, ANSWERED, BEFORE_THESIS, BACKED_TWICE, BEFORE_BEFORE = 256, 512, 1024, 2048, 4096
+
+
+def node_bits(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, node_id, bits, n): what a node is, what its neighbours are, two steps far, and
+    the number of distinct evidence nodes that support it.
+
+    Nodes and edges are read once. Types are bits; two rounds of bit_or bring them over the
+    edges, each partially combined before its shuffle, so a node that holds a large
+    share of the edges reaches its task as partial results."""
+    flag = lambda when, bit: F.when(when, bit).otherwise(0)
+    has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) != 0
+    t, key = F.col("node_type"), ["doc_id", "node_id"]
+    types = {CLAIM: CLAIM_TYPES, EVIDENCE: EVIDENCE_TYPES, THESIS: ["Thesis"], QUANTIFIED: ["QuantifiedEvidence"], CITATION: ["Citation"]}
+    typed = nodes.select(*key, reduce(lambda a, b: a.bitwiseOR(b), [flag(t.isin(list(v)), k) for k, v in types.items()], F.lit(KNOWN)).alias("bits"))
+    kind = F.col("edge_type")
+    e = cut_lineage(edges.where(kind.isin("Supports", "Counters", "Rebuts")).select("doc_id", "src", "dst", kind.alias("kind")).distinct())
+    said = e.where("kind <> 'Counters'").select("doc_id", F.inline(F.array(
+        F.struct(F.col("src").alias("node_id"), flag(F.col("kind") == "Supports", SUPPORTING).alias("bits")),
+        F.struct(F.col("dst").alias("node_id"), flag(F.col("kind") == "Rebuts", REBUTTED).alias("bits")))))
+    own = cut_lineage(typed.unionByName(said).groupBy(*key).agg(F.bit_or("bits").alias("bits")))
+    end = lambda df, bits, node: df.select("doc_id", F.col("node_id").alias(node), F.col("bits").alias(bits))
+    both = e.where("kind <> 'Rebuts'").join(end(own, "src_bits", "src"), ["doc_id", "src"]).join(end(own, "dst_bits", "dst"), ["doc_id", "dst"])
+    supports, evidence, thesis = F.col("kind") == "Supports", has("src_bits", EVIDENCE), has("dst_bits", THESIS)
+    both = cut_lineage(both.where(supports | (thesis & has("src_bits", REBUTTED))))
+    row = lambda node, bits, n=F.lit(0): F.struct(F.col(node).alias("node_id"), bits.alias("bits"), n.cast("long").alias("n"))
+    first = both.select("doc_id", F.inline(F.array(
+        row("dst", F.when(supports, flag(evidence, BACKED)).otherwise(ANSWERED), flag(supports & evidence, 1)), row("src", flag(supports & thesis, BEFORE_THESIS)))))
+    first = cut_lineage(first.where("bits > 0").groupBy(*key).agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n")))
+    links = both.where(supports)
+    backed = links.where(thesis).join(end(first, "b", "src").where(has("b", BACKED)), ["doc_id", "src"]).select("doc_id", F.col("dst").alias("node_id"), F.lit(BACKED_TWICE).alias("bits"))
+    deep = links.where(evidence).join(end(first, "b", "dst").where(has("b", BEFORE_THESIS)), ["doc_id", "dst"]).select("doc_id", F.col("src").alias("node_id"), F.lit(BEFORE_BEFORE).alias("bits"))
+    none = F.lit(0).cast("long")
+    every = own.withColumn("n", none).unionByName(first).unionByName(backed.unionByName(deep).withColumn("n", none))
+    return every.groupBy(*key).agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
+
+
 def mine_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts per document. There is no rule for circular arguments: constant 0."""
-    n = evidence_per_claim(nodes, edges)
-    claims = n.select("doc_id", "node_id", F.when(F.col("n") >= 2, "StrongClaim").when(
-        F.col("n") == 1, "WeakClaim").otherwise("UnsupportedClaim").alias("fact"))
-    rest = {k: v for k, v in DEFAULT_RULES.items() if not k.endswith("Claim")}
-    facts = claims.unionByName(derive(nodes, edges, rest))
-    docs = nodes.select("doc_id").distinct()
-    wide = docs.join(facts.groupBy("doc_id").pivot("fact", FACTS).agg(F.countDistinct("node_id")), "doc_id", "left").fillna(0)
+    """Counts of the facts of DEFAULT_RULES per document, from the nodes' bits. There is no
+    rule for circular arguments: constant 0."""
+    all_of = lambda *bits: F.col("bits").bitwiseAND(F.lit(sum(bits))) == sum(bits)
+    any_of = lambda *bits: F.col("bits").bitwiseAND(F.lit(sum(bits))) != 0
+    n = F.col("n")
+    c = {
+        "StrongClaim": all_of(CLAIM) & (n >= 2), "WeakClaim": all_of(CLAIM) & (n == 1), "UnsupportedClaim": all_of(CLAIM) & (n == 0),
+        "SophisticatedArgument": all_of(THESIS, ANSWERED), "EvidencedThesis": all_of(THESIS) & any_of(BACKED, BACKED_TWICE),
+        "QuantifiedSupport": all_of(QUANTIFIED, SUPPORTING), "CitationSupport": all_of(CITATION, SUPPORTING), "DeepChain": all_of(EVIDENCE, BEFORE_BEFORE)}
+    counts = node_bits(nodes, edges).groupBy("doc_id").agg(F.max(all_of(KNOWN)).alias("known"), *[F.count_if(x).alias(f) for f, x in c.items()]).where("known")
     c = {f: F.col(f) for f in FACTS}
-    return wide.select(
+    return counts.select(
         "doc_id", c["StrongClaim"].alias("strong_claims"), c["WeakClaim"].alias("weak_claims"),
         c["UnsupportedClaim"].alias("unsupported_claims"), (c["StrongClaim"] + c["WeakClaim"]).alias("supported_claims"),
         c["SophisticatedArgument"].alias("sophisticated_arguments"), F.lit(0).cast("bigint").alias("circular_arguments"),
