@@ -492,7 +492,7 @@ def _feed(events):
 @register("st2_evidence_stream", f"SELECT session_id, agent_id, criterion_id, count(*) AS nodes, count(*) FILTER (node_type <> 'SubClaim') AS evidence, {r6('max(x.structural)')} AS structural FROM fnodes JOIN fstruct x USING (session_id, agent_id, criterion_id) GROUP BY ALL")
 def _st2(s, d):
     out, cp = _work(s)
-    streams.write_changes(stateful.evidence_counts(_feed(_split(s, d)), streams.EVIDENCE, late=LATE, idle_ms=IDLE), out, cp).awaitTermination()
+    streams.write_changes(stateful.evidence_counts(_feed(_split(s, d)), streams.EVIDENCE, late=LATE), out, cp).awaitTermination()
     return stateful.evidence_of_changes(s.read.parquet(out))
 
 
@@ -509,8 +509,8 @@ def _st3(s, d):
     out, cp = _work(s)
     r = _split(s, d).select(F.col("user_id").alias("session_id"), F.col("event_type").alias("criterion_id"), F.concat(F.lit("a"), F.col("event_id") % 4).alias("agent_id"),
                             F.col("value").alias("score"), F.lit(500.0).alias("max_score"), "ts", "event_id")
-    streams.write_changes(stateful.latest_scores(r, late=LATE, idle_ms=IDLE), out, cp).awaitTermination()
-    return streams.latest_changes(s.read.parquet(out), ["session_id", "criterion_id"])
+    streams.write_changes(stateful.latest_scores(r, late=LATE), out, cp).awaitTermination()
+    return stateful.latest_of_changes(s.read.parquet(out))
 
 
 @register("st4_drift_stream", f"SELECT session_id, {big('round')} AS round, {r6('drift')} AS drift, drift < 0.5 AS converged FROM pdrift")

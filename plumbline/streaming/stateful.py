@@ -1,12 +1,11 @@
-"""Keyed state with event-time expiry: drift, latest scores and evidence counts of streams.
+"""Streams with keyed state that expires by event time: counts, latest scores, drift.
 
-Each operator keeps a few numbers for each key in the state store and a timer; when the
-watermark has passed a key's newest row by ``idle``, its state goes. Keys are fine (a cell of a
-panel, not a session), so a session that holds most rows is spread over tasks. Rows
-behind the watermark are dropped by Spark and counted: see ``late_rows``.
-
-What a key has said stays true after its state is gone: drift is given as signed changes that
-add up, the others as current rows of which the newest batch holds."""
+Counts and latest scores are kept by key and time window in the JVM's state store; a window's
+state goes when the watermark has passed it, and what the windows have said adds up. Drift
+needs the score of the round before, so each cell of a panel keeps its sums and a timer:
+when the watermark has passed the cell's newest row by ``idle``, its state goes. Keys are
+fine (a cell, not a session), so a session that holds most rows is spread over tasks. Rows behind
+the watermark are dropped by Spark and counted: see ``late_rows``."""
 
 from __future__ import annotations
 
@@ -16,15 +15,16 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CELL = ["session_id", "agent_id", "criterion_id"]
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Timers and keyed state need this store; set before a query starts."""
+    """Timers need this store; set before a query starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
 def late_rows(query) -> int:
-    """Rows that a finished or running query has dropped because they were behind the watermark."""
+    """Rows that a query has dropped because they were behind the watermark."""
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
@@ -33,58 +33,53 @@ def state_rows(query) -> list[int]:
     return [sum(int(op["numRowsTotal"]) for op in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
 
 
-class Idle(StatefulProcessor):
-    """A key with one timer, ``idle`` milliseconds after its newest row."""
+def _timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)  # watermarks need a zoned type
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "at long")
-        self.open(handle)
-
-    def rearm(self, newest_ms: int) -> None:
-        was = self.due.get()[0] if self.due.exists() else None
-        at = newest_ms + self.idle_ms
-        if was is None or at > was:
-            if was is not None:
-                self.handle.deleteTimer(was)
-            self.handle.registerTimer(at)
-            self.due.update((at,))
+def evidence_counts(feed_nodes: DataFrame, evidence: list[str], ts: str = "ts", late: str = "1 day", size: str = "1 day") -> DataFrame:
+    """Stream of nodes (session_id, agent_id, criterion_id, node_type, ts) to running counts of
+    each key and window (update mode); see ``evidence_of_changes``."""
+    counts = _timed(feed_nodes, ts, late).groupBy(F.window(ts, size).alias("w"), *CELL).agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("node_type").isin(evidence)).alias("evidence"))
+    return counts.select(F.col("w.start").alias("window_start"), *CELL, "nodes", "evidence")
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.due.clear()
-        self.forget()
-        return iter([])
 
-    def close(self) -> None:
-        pass
+def evidence_of_changes(changes: DataFrame) -> DataFrame:
+    """Counts of each key so far and the structural score they give: the newest row of a
+    window holds, and windows add up. Fed edges point at the criterion, so every node is
+    connected while coverage and depth stay 0."""
+    counts = changes.groupBy("window_start", *CELL).agg(F.max("nodes").alias("nodes"), F.max("evidence").alias("evidence"))
+    agg = counts.groupBy(*CELL).agg(F.sum("nodes").alias("nodes"), F.sum("evidence").alias("evidence"))
+    density = F.least(F.log(F.col("nodes") + 1.0) / F.log(F.lit(12.0)), F.lit(1.0))
+    return agg.withColumn("structural", F.least(0.25 * density + 0.20 * F.col("evidence") / F.col("nodes") + 0.20, F.lit(1.0)))
 
 
-def _ms(row) -> int:
-    return row["event_ms"]
+def latest_scores(recorded: DataFrame, ts: str = "ts", late: str = "1 day", size: str = "1 day") -> DataFrame:
+    """Stream of scores (session_id, criterion_id, agent_id, score, max_score, event_id, ts) to the last
+    one of each key and window (update mode); see ``latest_of_changes``."""
+    last = F.max(F.struct(F.col(ts).alias("at"), "event_id", "agent_id", "score", "max_score")).alias("last")
+    return _timed(recorded, ts, late).groupBy(F.window(ts, size).alias("w"), "session_id", "criterion_id").agg(last).select(
+        "session_id", "criterion_id", "last")
 
 
-class _Drift(Idle):
-    """(session, agent, criterion): sums of each round's values. Scores of neighbouring rounds
-    give the change; what a new row alters is handed on as a difference."""
+def latest_of_changes(changes: DataFrame) -> DataFrame:
+    """The last score of each key, by time, then by event."""
+    return changes.groupBy("session_id", "criterion_id").agg(F.max("last").alias("last")).select(
+        "session_id", "criterion_id", "last.agent_id", "last.score", "last.max_score")
 
-    def open(self, handle) -> None:
-        self.rounds = handle.getMapState("rounds", "round int", "units long, n long")
 
-    def forget(self) -> None:
-        self.rounds.clear()
+class _Drift(StatefulProcessor):
+    """(session, agent, criterion): sums of each round's values, in one value of state. Scores of
+    neighbouring rounds give the change; what a new row alters is handed on as a difference.
+    One timer is due after the key's first row; when it fires too early it is set anew."""
 
-    def score(self, r: int) -> float | None:
-        if not self.rounds.containsKey((r,)):
-            return None
-        units, n = self.rounds.getValue((r,))
-        return min(10.0, units / (n * 1000.0))
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
-    def moved(self, r: int) -> tuple[float, int]:
-        now, before = self.score(r), self.score(r - 1)
-        return (0.0, 0) if now is None or before is None else (abs(now - before), 1)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "newest long, rounds array<int>, units array<bigint>, n array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new: dict[int, list[int]] = {}
@@ -93,71 +88,34 @@ class _Drift(Idle):
             sums = new.setdefault(row["round"], [0, 0])
             sums[0] += row["units"]
             sums[1] += 1
-            newest = max(newest, _ms(row))
-        touched = sorted({x for r in new for x in (r, r + 1)})
-        before, seen = {r: self.moved(r) for r in touched}, {r: self.score(r) is not None for r in new}
-        for r, (units, n) in new.items():
-            was = self.rounds.getValue((r,)) if seen[r] else (0, 0)
-            self.rounds.updateValue((r,), (was[0] + units, was[1] + n))
-        out = []
-        for r in touched:
-            after = self.moved(r)
-            if r > 1 and (after != before[r] or (r in new and not seen[r])):
-                out.append(Row(session_id=key[0], round=r, moved=after[0] - before[r][0], cells=after[1] - before[r][1]))
-        self.rearm(newest)
-        return iter(out)
-
-
-class _Latest(Idle):
-    """(session, criterion): the newest score by time, then by event."""
-
-    def open(self, handle) -> None:
-        self.last = handle.getValueState("last", "at long, event_id long, agent_id string, score double, max_score double")
-
-    def forget(self) -> None:
-        self.last.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        was = tuple(self.last.get()) if self.last.exists() else None
-        best = was
-        for r in rows:
-            mine = (r["event_us"], r["event_id"], r["agent_id"], r["score"], r["max_score"])
-            if best is None or mine[:2] > best[:2]:
-                best = mine
-        if best == was:
-            return iter([])
-        self.last.update(best)
-        self.rearm(best[0] // 1000)
-        return iter([Row(session_id=key[0], criterion_id=key[1], agent_id=best[2], score=best[3], max_score=best[4])])
-
-
-class _Evidence(Idle):
-    """(session, agent, criterion): nodes, and those that are evidence, since the key was first seen."""
-
-    def open(self, handle) -> None:
-        self.counts = handle.getValueState("counts", "since_ms long, nodes long, evidence long")
-
-    def forget(self) -> None:
-        self.counts.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        since, nodes, evidence = self.counts.get() if self.counts.exists() else (None, 0, 0)
-        newest = 0
-        for r in rows:
-            nodes, evidence, newest = nodes + 1, evidence + r["is_evidence"], max(newest, _ms(r))
-            since = _ms(r) if since is None else since
-        self.counts.update((since, nodes, evidence))
-        self.rearm(newest)
-        return iter([Row(session_id=key[0], agent_id=key[1], criterion_id=key[2], since_ms=since, nodes=nodes, evidence=evidence)])
-
-
-def _timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
-    at = F.col(ts).cast("timestamp")
-    return stream.withColumns({ts: at, "event_ms": F.unix_millis(at), "event_us": F.unix_micros(at)}).withWatermark(ts, late)
+            newest = max(newest, row["event_ms"])
+        was = self.sums.get()
+        if was is None:
+            self.handle.registerTimer(newest + self.idle_ms)
+        old = {r: (u, n) for r, u, n in zip(was[1], was[2], was[3])} if was is not None else {}
+        now = dict(old)
+        for r, (u, n) in new.items():
+            now[r] = (old.get(r, (0, 0))[0] + u, old.get(r, (0, 0))[1] + n)
+        order = sorted(now)
+        self.sums.update((max(newest, was[0] if was is not None else 0), order, [now[r][0] for r in order], [now[r][1] for r in order]))
+        score = lambda s, r: min(10.0, s[r][0] / (s[r][1] * 1000.0))
+        moved = lambda s, r: (abs(score(s, r) - score(s, r - 1)), 1) if r in s and r - 1 in s else (0.0, 0)
+        for r in sorted({x for r in new for x in (r, r + 1)}):
+            before, after = moved(old, r), moved(now, r)
+            if r > 1 and (after != before or (r in new and r not in old)):
+                yield Row(session_id=key[0], round=r, moved=after[0] - before[0], cells=after[1] - before[1])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        was = self.sums.get()
+        due = was[0] + self.idle_ms if was is not None else 0
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.sums.clear()
+        return iter([])
 
-def _run(keyed, processor: Idle, schema: str, mode: str) -> DataFrame:
-    return keyed.transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="eventTime")
+    def close(self) -> None:
+        pass
 
 
 def drift_changes(values: DataFrame, ts: str = "ts", late: str = "1 day", idle_ms: int = 30 * 86_400_000) -> DataFrame:
@@ -165,40 +123,14 @@ def drift_changes(values: DataFrame, ts: str = "ts", late: str = "1 day", idle_m
     hundredths that are summed up to a score, to changes (session_id, round, moved, cells) in
     append mode. See ``drift_of_changes``."""
     use_state_store(values.sparkSession)
-    keyed = _timed(values.withColumn("round", F.col("round").cast("int")), ts, late).groupBy("session_id", "agent_id", "criterion_id")
-    return _run(keyed, _Drift(idle_ms), "session_id long, round int, moved double, cells int", "append")
+    timed = _timed(values.withColumn("round", F.col("round").cast("int")), ts, late).withColumn("event_ms", F.unix_millis(ts))
+    return timed.groupBy(*CELL).transformWithState(
+        statefulProcessor=_Drift(idle_ms), outputStructType="session_id long, round int, moved double, cells int", outputMode="append", timeMode="eventTime")
 
 
 def drift_of_changes(changes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Drift of each session and round, as panel.drift has it, from all changes so far."""
+    """Drift of each session and round, as panel.drift has it, from all changes so far. A cell
+    that comes back after its state has gone moves from its next round on."""
     sums = changes.groupBy("session_id", "round").agg(F.sum("moved").alias("moved"), F.sum("cells").alias("cells"))
     drift = F.when(F.col("cells") > 0, F.greatest(F.col("moved"), F.lit(0.0)) / F.col("cells")).otherwise(0.0)
     return sums.select("session_id", "round", drift.alias("drift"), (drift < threshold).alias("converged"))
-
-
-def latest_scores(recorded: DataFrame, ts: str = "ts", late: str = "1 day", idle_ms: int = 30 * 86_400_000) -> DataFrame:
-    """Stream of scores (session_id, criterion_id, agent_id, score, max_score, event_id, ts) to the
-    rows that replace the last one of their key (update mode)."""
-    use_state_store(recorded.sparkSession)
-    keyed = _timed(recorded, ts, late).groupBy("session_id", "criterion_id")
-    return _run(keyed, _Latest(idle_ms), "session_id long, criterion_id string, agent_id string, score double, max_score double", "update")
-
-
-def evidence_counts(feed_nodes: DataFrame, evidence: list[str], ts: str = "ts", late: str = "1 day", idle_ms: int = 30 * 86_400_000) -> DataFrame:
-    """Stream of nodes (session_id, agent_id, criterion_id, node_type, ts) to running counts
-    (update mode). A key that comes back after its state has gone starts a count of its own,
-    told by ``since_ms``; see ``evidence_of_changes``."""
-    use_state_store(feed_nodes.sparkSession)
-    rows = feed_nodes.withColumn("is_evidence", F.col("node_type").isin(evidence).cast("int"))
-    keyed = _timed(rows, ts, late).groupBy("session_id", "agent_id", "criterion_id")
-    return _run(keyed, _Evidence(idle_ms), "session_id long, agent_id string, criterion_id string, since_ms long, nodes long, evidence long", "update")
-
-
-def evidence_of_changes(changes: DataFrame) -> DataFrame:
-    """Counts of each key and the structural score they give. Fed edges point at the
-    criterion, so every node is connected while coverage and depth stay 0."""
-    keys = ["session_id", "agent_id", "criterion_id"]
-    counts = changes.groupBy(*keys, "since_ms").agg(F.max("nodes").alias("nodes"), F.max("evidence").alias("evidence"))
-    agg = counts.groupBy(*keys).agg(F.sum("nodes").alias("nodes"), F.sum("evidence").alias("evidence"))
-    density = F.least(F.log(F.col("nodes") + 1.0) / F.log(F.lit(12.0)), F.lit(1.0))
-    return agg.withColumn("structural", F.least(0.25 * density + 0.20 * F.col("evidence") / F.col("nodes") + 0.20, F.lit(1.0)))
