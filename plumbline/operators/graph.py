@@ -392,31 +392,49 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
              cut_every: int = 5) -> DataFrame:
     """Per-document PageRank over Supports, Warrants and Rebuts edges (parallel
     edges count twice, dangling mass is spread evenly), divided by the maximum of
-    the document and floored at 1/(10 n): (doc_id, node_id, rank)."""
-    ids = nodes.select("doc_id", "node_id").distinct()
+    the document and floored at 1/(10 n): (doc_id, node_id, rank).
+
+    Rounds only carry u_j, the mass that j steps from everywhere bring to a node: teleports
+    and dangling mass are the same for all nodes of a document, so the rank is
+    r_k = (sum over j < k of d^j c_(k-j) u_j + d^k u_k) / n with a few numbers c for each document,
+    which follow from the dangling nodes' u_j in one aggregation at the end. The edges are
+    shuffled by source once and read again by every round, whose only shuffle is
+    that of partial sums of contributions; nodes that no walk of that length ends in drop out."""
+    ids = cut_lineage(nodes.select("doc_id", "node_id").distinct())
     e = edges.where(F.col("edge_type").isin(RANK_EDGES)).select("doc_id", "src", "dst")
-    e = e.join(ids.withColumnRenamed("node_id", "src"), ["doc_id", "src"], "left_semi").join(
-        ids.withColumnRenamed("node_id", "dst"), ["doc_id", "dst"], "left_semi")
-    e = cut_lineage(e.groupBy("doc_id", "src", "dst").agg(F.count("*").alias("w")))
-    out_deg = e.groupBy("doc_id", "src").agg(F.sum("w").alias("out")).withColumnRenamed("src", "node_id")
-    sizes = ids.groupBy("doc_id").agg(F.count("*").alias("n"))
-    base = cut_lineage(ids.join(sizes, "doc_id").join(out_deg, ["doc_id", "node_id"], "left"))
-    rank = base.withColumn("r", 1.0 / F.col("n"))
-    for i in range(iterations):
-        lost = rank.groupBy("doc_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("r")).otherwise(0.0)).alias("lost"))
-        got = (
-            e.join(rank.select("doc_id", F.col("node_id").alias("src"), (F.col("r") / F.col("out")).alias("share")), ["doc_id", "src"])
-            .groupBy("doc_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("share") * F.col("w")).alias("got")))
-        rank = (
-            base.join(lost, "doc_id").join(got, ["doc_id", "node_id"], "left")
-            .withColumn("r", (1 - damping) / F.col("n") + damping * F.col("lost") / F.col("n")
-                        + damping * F.coalesce("got", F.lit(0.0)))
-            .drop("lost", "got"))
-        if (i + 1) % cut_every == 0:
-            rank = cut_lineage(rank)
-    top = rank.groupBy("doc_id").agg(F.max("r").alias("top"))
+    e = e.join(ids.withColumnRenamed("node_id", "dst"), ["doc_id", "dst"], "left_semi").join(
+        ids.withColumnRenamed("node_id", "src"), ["doc_id", "src"], "left_semi")
+    out_deg = e.groupBy("doc_id", "src").agg(F.count("*").alias("out"))
+    e = cut_lineage(e.join(out_deg, ["doc_id", "src"]).select("doc_id", "src", "dst", (1.0 / F.col("out")).alias("share")))
+    by_src = e.repartition("doc_id", "src")
+    steps = []
+    u = None
+    for j in range(1, iterations + 1):
+        given = by_src.select("doc_id", "dst", F.col("share").alias("g")) if u is None else by_src.join(
+            u.withColumnRenamed("node_id", "src"), ["doc_id", "src"]).select("doc_id", "dst", (F.col("share") * F.col("u")).alias("g"))
+        u = given.groupBy("doc_id", F.col("dst").alias("node_id")).agg(F.sum("g").alias("u"))
+        if j % cut_every == 0 and j < iterations:
+            u = cut_lineage(u)
+            if u.isEmpty():
+                break
+        steps.append(u.withColumn("j", F.lit(j)))
+    none = lambda df: df.withColumns({"u": F.lit(None).cast("double"), "j": F.lit(None).cast("int")})
+    all_steps = reduce(DataFrame.unionByName, steps)
+    marks = none(ids).withColumns({"known": F.lit(True), "leaves": F.lit(False)}).unionByName(
+        none(e.select("doc_id", F.col("src").alias("node_id")).distinct()).withColumns({"known": F.lit(False), "leaves": F.lit(True)})).unionByName(
+        all_steps.withColumns({"known": F.lit(False), "leaves": F.lit(False)}))
+    at = [F.lit(1.0), *[F.coalesce(F.sum(F.when(F.col("j") == j, F.col("u"))), F.lit(0.0)) for j in range(1, iterations + 1)]]
+    wide = cut_lineage(marks.groupBy("doc_id", "node_id").agg(F.max("leaves").alias("leaves"), F.array(*at).alias("u")))
+    sizes = wide.groupBy("doc_id").agg(
+        F.count("*").cast("double").alias("n"), F.array(*[F.sum(F.when(~F.col("leaves"), F.col("u")[j]).otherwise(0.0)) for j in range(iterations + 1)]).alias("lost"))
+    d, k = damping, iterations
+    constants = F.expr(f"""aggregate(sequence(1, {k}), cast(array() as array<double>), (c, i) -> concat(c, array(
+        1 - {d} + {d} / n * (aggregate(if(i < 2, array(), sequence(0, i - 2)), 0D, (s, j) -> s + pow({d}, j) * c[i - 2 - j] * lost[j]) + pow({d}, i - 1) * lost[i - 1]))))""")
+    rank = F.expr(f"(aggregate(sequence(0, {k - 1}), 0D, (s, j) -> s + pow({d}, j) * c[{k - 1} - j] * u[j]) + pow({d}, {k}) * u[{k}]) / n")
+    ranked = wide.join(sizes.select("doc_id", "n", constants.alias("c")), "doc_id").select("doc_id", "node_id", "n", rank.alias("r"))
+    top = ranked.groupBy("doc_id").agg(F.max("r").alias("top"))
     floor = 1.0 / (F.col("n") * 10.0)
-    return rank.join(top, "doc_id").select(
+    return ranked.join(top, "doc_id").select(
         "doc_id", "node_id",
         F.greatest(F.when(F.col("top") > 0, F.col("r") / F.col("top")).otherwise(floor), floor).alias("rank"))
 
