@@ -283,31 +283,69 @@ def support_depth(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     Nodes on a common cycle count as one that is worth its size less one edge; the
     chain is the longest over these, so it is exact without cycles and never cut.
 
-    Peeling: round k keeps the nodes some chain of k edges ends in, so a document
-    is done when its set runs empty; one join of the shrinking set per round. A
-    set that stops shrinking holds cycles; only those documents are condensed.
-    Documents without Supports edges have no row."""
+    Stretches of nodes with one edge in and one out are contracted to one weighted edge by
+    list ranking, in rounds that grow with the logarithm of a stretch; what branches is peeled
+    from its sources on, one round a level. Documents of which something is left
+    hold cycles, and only those are condensed. Documents without Supports edges have no row."""
     e = cut_lineage(support_edges(edges, nodes))
-    reached = e.select("doc_id", F.col("dst").alias("node_id")).distinct()
-    size, k, levels, core = reached.count(), 1, [], None
-    while size:
-        levels.append(reached.select("doc_id").distinct().select("doc_id", F.lit(k).cast("long").alias("k")))
-        nxt = cut_lineage(
-            e.join(reached.withColumnRenamed("node_id", "src"), ["doc_id", "src"], "left_semi")
-            .select("doc_id", F.col("dst").alias("node_id")).distinct())
-        new_size = nxt.count()
-        if new_size == size:  # only cycles (and what hangs below them) are left
-            core = nxt.select("doc_id").distinct()
-            break
-        reached, size, k = nxt, new_size, k + 1
-    if not levels:
-        return e.select("doc_id", F.lit(0).cast("long").alias("max_depth"))
-    out = reduce(DataFrame.unionByName, levels)
-    if core is not None:
-        out = out.join(core, "doc_id", "left_anti").unionByName(_condensed_depth(cut_lineage(e.join(core, "doc_id", "left_semi").where("src <> dst"))))
+    docs = e.select("doc_id").distinct().withColumn("k", F.lit(0).cast("long"))
+    e = e.where("src <> dst")
+    short, cyclic = _contracted(e)
+    depth, stuck = _peeled(short)
+    core = cut_lineage(cyclic.unionByName(stuck).distinct())
+    out = docs.unionByName(depth)
+    if not core.isEmpty():
+        out = out.join(core, "doc_id", "left_anti").unionByName(_condensed_depth(cut_lineage(e.join(core, "doc_id", "left_semi"))))
+        out = out.unionByName(docs.join(core, "doc_id", "left_semi"))
     return out.groupBy("doc_id").agg(F.max("k").alias("max_depth"))
 
 
+def _contracted(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (doc_id, src, dst, w) between the nodes that are not inside a stretch, w being the
+    edges that a stretch had; and the documents with a cycle of such nodes alone."""
+    ends = e.select("doc_id", F.inline(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(0).alias("n_in"), F.lit(1).alias("n_out"), F.col("dst").alias("to")),
+        F.struct(F.col("dst").alias("node"), F.lit(1).alias("n_in"), F.lit(0).alias("n_out"), F.lit(None).alias("to")))))
+    inner = cut_lineage(ends.groupBy("doc_id", "node").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.max("to").alias("to")).where(
+        "n_in = 1 AND n_out = 1").select("doc_id", "node", "to"))
+    # Where does a stretch lead, and over how many edges? A node asks the one it points at, in doubling steps.
+    here = inner.select("doc_id", F.col("node").alias("to"), F.lit(True).alias("inside"))
+    asked = cut_lineage(inner.join(here, ["doc_id", "to"], "left").select("doc_id", "node", "to", F.lit(1).cast("long").alias("w"), F.col("inside").isNull().alias("done")))
+    known, left, rounds = [asked.where("done")], asked.where("NOT done"), asked.count().bit_length() + 1
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        answers = reduce(DataFrame.unionByName, known).unionByName(left).select(
+            "doc_id", F.col("node").alias("to"), F.col("to").alias("next"), F.col("w").alias("more"), F.col("done").alias("ends"))
+        step = cut_lineage(left.drop("done").join(answers, ["doc_id", "to"]).select("doc_id", "node", F.col("next").alias("to"), (F.col("w") + F.col("more")).alias("w"), F.col("ends").alias("done")))
+        known, left = [*known, step.where("done")], step.where("NOT done")
+    led = reduce(DataFrame.unionByName, known).select("doc_id", F.col("node").alias("dst"), F.col("to").alias("end"), F.col("w").alias("more"))
+    entries = e.join(inner.select("doc_id", F.col("node").alias("src")), ["doc_id", "src"], "left_anti")
+    short = entries.join(led, ["doc_id", "dst"], "left").select(
+        "doc_id", "src", F.coalesce("end", "dst").alias("dst"), (F.coalesce("more", F.lit(0)) + 1).alias("w"))
+    return cut_lineage(short.groupBy("doc_id", "src", "dst").agg(F.max("w").alias("w"))), left.select("doc_id").distinct()
+
+
+def _peeled(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k): the longest weighted chain that sources begin, and the documents that
+    are left with nodes no source leads to."""
+    sides = e.select("doc_id", F.inline(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(0).alias("waits")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("waits")))))
+    state = cut_lineage(sides.groupBy("doc_id", "node").agg(F.sum("waits").alias("waits")).withColumn("v", F.lit(0).cast("long")))
+    best = []
+    while True:
+        ready, state = state.where("waits = 0"), state.where("waits > 0")
+        if ready.isEmpty():
+            break
+        best.append(ready.groupBy("doc_id").agg(F.max("v").alias("k")))
+        given = e.join(ready.select("doc_id", F.col("node").alias("src"), "v"), ["doc_id", "src"]).groupBy("doc_id", F.col("dst").alias("node")).agg(
+            F.max(F.col("v") + F.col("w")).alias("new"), F.count("*").alias("n"))
+        state = cut_lineage(state.join(given, ["doc_id", "node"], "left").select(
+            "doc_id", "node", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("v", F.coalesce("new", F.lit(0))).alias("v")))
+    none = e.select("doc_id", F.lit(0).cast("long").alias("k")).limit(0)
+    return reduce(DataFrame.unionByName, best, none), state.select("doc_id").distinct()
+
+
 def _settle(values: DataFrame, edges: DataFrame, passed, better) -> DataFrame:
     """values(doc_id, node, v): pass v along edges(doc_id, src, dst) until none gets
     better; only nodes that changed pass theirs on."""
