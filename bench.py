@@ -14,7 +14,7 @@ HEADLINE = [
     "j6_semantic_topk", "f3_firewall_verdict", "d3_disagreements", "d7_trust_update", "d8_moderate", "b5_per_group",
     "h4_compare_to_history", "h10_nearest_rank_percentiles", "h11_score_timeline", "s14_triples", 
     "st3_latest_score_stream", "validate_all", "b8_deterministic_score", "b6_ablation", "b17_weight_search", "r8_prediction_report", "g14_topology_score",
-    "t1_gate", "t2_gate_topology", "d16_scoring_tasks", "w3_verification_summary",
+    "t1_gate", "t2_gate_topology", "d16_scoring_tasks", "w3_verification_summary", "j6_semantic_topk_many", "f3_lexicon_verdict", "h1_median",
 ]
 
 
