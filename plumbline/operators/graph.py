@@ -477,27 +477,45 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         F.greatest(F.when(F.col("top") > 0, F.col("r") / F.col("top")).otherwise(floor), floor).alias("rank"))
 
 
+#: Quotes that meet a text at once are at most 2^8; characters of a piece of text in which covered spans are joined.
+QUOTE_BITS = 8
+PIECE = 4096
+
+
+def _quotes_in_texts(quotes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, quotes: array of at most 2^QUOTE_BITS of the rows' structs ``q``, doc_text).
+
+    A text is copied to blocks of quotes, not to each of them, and a document with any
+    number of quotes is many blocks. Blocks follow the order by document and node in a task."""
+    blocks = quotes.sortWithinPartitions("doc_id", "q.node_id").withColumn("_block", F.shiftright(F.monotonically_increasing_id(), QUOTE_BITS))
+    blocks = blocks.groupBy("doc_id", "_block").agg(F.collect_list("q").alias("quotes"))
+    return blocks.join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
+
+
 def verify_spans(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Checks node quotes against their document and measures the covered share.
 
-    Covered characters are the union of all found spans: gaps and islands over
-    (doc_id) ordered by start, after equal spans are merged."""
-    src = F.col("source_text")
-    joined = nodes.join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-    start, end = F.col("span.start"), F.col("span.end")
-    at_span = F.coalesce(
-        (end <= F.length("doc_text")) & (F.substr(F.col("doc_text"), start + 1, end - start) == src), F.lit(False))
-    found = F.position(src, F.col("doc_text")) - 1
-    checked = joined.select(
-        "doc_id", "node_id", src.isNotNull().alias("has_source"), F.length("doc_text").alias("doc_len"),
-        F.when(at_span, start).when(found >= 0, found).alias("a"), F.length(src).alias("len"))
+    Covered characters are the union of all found spans: gaps and islands by start inside
+    pieces of ``PIECE`` characters, at whose borders spans are cut, so that spans of one
+    document are joined by many tasks."""
+    quotes = nodes.select("doc_id", F.struct("node_id", "source_text", F.col("span.start").alias("start"), F.col("span.end").alias("end")).alias("q"))
+
+    def check(q):
+        src, start, end = q["source_text"], q["start"], q["end"]
+        at_span = F.coalesce((end <= F.length("doc_text")) & (F.substr(F.col("doc_text"), start + 1, end - start) == src), F.lit(False))
+        found = F.position(src, F.col("doc_text")) - 1
+        return F.struct(src.isNotNull().alias("has_source"), F.when(at_span, start).when(found >= 0, found).alias("a"), F.length(src).alias("len"))
+
+    checked = _quotes_in_texts(quotes, documents).select("doc_id", F.length("doc_text").alias("doc_len"), F.inline(F.transform("quotes", check)))
     checked = checked.withColumn("ok", F.coalesce(F.col("has_source") & F.col("a").isNotNull(), F.lit(False)))
     counts = checked.groupBy("doc_id").agg(
         F.count("*").alias("total_nodes"), F.count_if("has_source").alias("nodes_with_source"),
         F.count_if("ok").alias("verified_count"), F.count_if(F.col("has_source") & ~F.col("ok")).alias("failed_count"),
         F.max("doc_len").alias("doc_len"))
-    w = Window.partitionBy("doc_id").orderBy("a", "b")
-    spans = checked.where("ok").select("doc_id", "a", (F.col("a") + F.col("len")).alias("b")).distinct()
+    spans = checked.where(F.col("ok") & (F.col("len") > 0)).select("doc_id", F.col("a").cast("long").alias("a"), (F.col("a") + F.col("len")).cast("long").alias("b")).distinct()
+    spans = spans.select("doc_id", "a", "b", F.explode(F.expr(f"sequence(a div {PIECE}, (b - 1) div {PIECE})")).alias("piece")).select(
+        "doc_id", "piece", F.greatest("a", F.col("piece") * PIECE).alias("a"), F.least("b", (F.col("piece") + 1) * PIECE).alias("b")).distinct()
+    w = Window.partitionBy("doc_id", "piece").orderBy("a", "b")
     before = F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     covered = spans.withColumn("new", F.greatest(F.col("b") - F.greatest("a", before), F.lit(0))).groupBy("doc_id").agg(
         F.sum("new").alias("covered"))
@@ -550,14 +568,16 @@ def quote_check(nodes: DataFrame, documents: DataFrame, examples: int = 5) -> Da
     """Share of non-structural nodes whose quote occurs in the document: verbatim,
     or with white space collapsed and case ignored, or by its first 30 characters."""
     squash = lambda c: F.array_join(T.words(F.lower(c)), " ")
-    docs = documents.select("doc_id", F.col("text").alias("doc_text"), squash(F.col("text")).alias("doc_norm"))
-    n = nodes.where("node_type <> 'Structural'").select(
-        "doc_id", "node_id", "node_type", F.coalesce("source_text", F.lit("")).alias("q"))
-    n = n.withColumn("qn", squash(F.col("q")))
-    found = (F.col("q") != "") & (
-        F.contains("doc_text", F.col("q")) | F.contains("doc_norm", F.col("qn"))
-        | ((F.octet_length("qn") > 30) & F.contains("doc_norm", F.substring("qn", 1, 30))))
-    checked = n.join(docs, "doc_id").withColumn("found", found)
+    quotes = nodes.where("node_type <> 'Structural'").select(
+        "doc_id", F.struct("node_id", "node_type", F.coalesce("source_text", F.lit("")).alias("q")).alias("q"))
+
+    def check(x):
+        return T.let(squash(x["q"]), lambda qn: F.struct(
+            x["node_id"].alias("node_id"), x["node_type"].alias("node_type"), x["q"].alias("q"),
+            ((x["q"] != "") & (F.contains("doc_text", x["q"]) | F.contains("doc_norm", qn)
+                               | ((F.octet_length(qn) > 30) & F.contains("doc_norm", F.substring(qn, 1, 30))))).alias("found")))
+
+    checked = _quotes_in_texts(quotes, documents).withColumn("doc_norm", squash(F.col("doc_text"))).select("doc_id", F.inline(F.transform("quotes", check)))
     failing = F.when(~F.col("found") & (F.col("q") != ""), F.struct(
         F.col("node_id"), F.concat(F.lit("["), "node_type", F.lit("] "), F.substring("q", 1, 60)).alias("quote")))
     # the first few failures by node id: a bounded minimum kept per document
