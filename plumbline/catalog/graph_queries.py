@@ -453,17 +453,17 @@ def _m11(s, d):
     return rules.derive(*_h(s, d), rules={"HeavilyBacked": _heavy})
 
 
-# criteria = parts, scored where they are a supplier's number on a line; agents = customers, needs = orders
+# criteria = parts, scored where a large line has been returned; agents = customers, needs = urgent orders
 @register("m12_quality_violations", """
   SELECT 'criterion_scored' AS rule, 'error' AS severity, CAST(p_partkey AS VARCHAR) AS subject FROM part
-    WHERE p_partkey NOT IN (SELECT l_suppkey FROM lineitem)
-  UNION ALL SELECT 'agent_has_needs', 'warning', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+    WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R')
+  UNION ALL SELECT 'agent_has_needs', 'warning', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def _m12(s, d):
-    scored = table(s, d, "lineitem").select(F.col("l_suppkey").alias("criterion_id"))
+    scored = table(s, d, "lineitem").where("l_quantity >= 45 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("criterion_id"))
     return rules.quality_violations(
         table(s, d, "part").select(F.col("p_partkey").alias("criterion_id")), scored,
         table(s, d, "customer").select(F.col("c_custkey").alias("agent_id")),
-        table(s, d, "orders").select(F.col("o_custkey").alias("agent_id")))
+        table(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("agent_id")))
 
 
 # --- T: gates -------------------------------------------------------------------

@@ -44,6 +44,14 @@ def _j2(s, d):
     return J.alignment_gaps(_conf(s, d))
 
 
+@register("t4_gap_list", f"""SELECT g.doc_id, g.criterion_id, v.title, CASE WHEN confidence > 0 THEN 'partial match' ELSE 'no matching content' END AS finding, CASE WHEN confidence > 0 THEN {big('section_no')} END AS best_section,
+  CASE WHEN confidence > 0 THEN round(confidence * 100) END AS confidence_pct FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id, criterion_id ORDER BY confidence DESC, section_no) AS rn FROM jconf) g JOIN (VALUES {_vals(CRIT)}) v(criterion_id, title, description) USING (criterion_id)
+  WHERE rn = 1 AND confidence < 0.1""")
+def _t4_gaps(s, d):
+    return panel.gap_report(J.alignment_gaps(_conf(s, d)), s.createDataFrame(CRIT, "criterion_id string, title string, description string"))
+
+
 @register("j3_sections_for_criterion", f"""SELECT c.doc_id, c.criterion_id, {big('c.section_no')} AS section_no, {r6('confidence')} AS confidence, x.title, {big('x.word_count')} AS word_count
   FROM jconf c JOIN secs_wc x ON x.doc_id = c.doc_id AND x.section_no = c.section_no WHERE confidence > 0.1""")
 def _j3(s, d):

@@ -275,6 +275,23 @@ def _t4b(s, d):
     return panel.recommendations(MOD(s, d), C(s, d), run_sql(s, d, "pgaps"), ["session_id"])
 
 
+@register("t4_executive_summary", f"""SELECT o.session_id, {r6('total_score')} AS total_score, {r6('max_possible')} AS max_possible, {r6('percentage')} AS percentage, mark AS pass_mark,
+  CASE WHEN percentage >= mark THEN 'PASS' ELSE 'FAIL' END AS result, m.n AS criteria_evaluated, coalesce(r.n, 0) AS debate_rounds, top_strengths, top_weaknesses FROM woverall o
+  JOIN (SELECT session_id, count(*) AS n FROM wmod GROUP BY 1) m USING (session_id) LEFT JOIN (SELECT session_id, count(DISTINCT round) AS n FROM pscores GROUP BY 1) r USING (session_id)""")
+def _t4_summary(s, d):
+    out = panel.executive_summary(panel.overall(MOD(s, d), C(s, d), ["session_id"]), MOD(s, d), P(s, d), C(s, d), ["session_id"])
+    return out.withColumns({"top_strengths": F.array_join("top_strengths", "|"), "top_weaknesses": F.array_join("top_weaknesses", "|")})
+
+
+# nations are the known agents, their domain is their region's number
+CTE["pagents"] = "SELECT 'a' || n_nationkey AS agent_id, n_name AS name, 'Reviewer ' || n_nationkey AS role, 'area ' || n_regionkey AS domain FROM nation WHERE n_nationkey <> 2"
+
+
+@register("t4_panel_list", """SELECT s.session_id, s.agent_id, coalesce(a.name, s.agent_id) AS name, role, domain FROM (SELECT DISTINCT session_id, agent_id FROM pscores) s LEFT JOIN pagents a USING (agent_id)""")
+def _t4_panel(s, d):
+    return panel.panel_list(P(s, d), run_sql(s, d, "pagents"))
+
+
 @register("t4_debate_trail", f"""SELECT s.session_id, {big('s.round')} AS round, s.scores, coalesce(x.n, 0) AS disagreements, {r6('drift')} AS drift, coalesce(drift < 0.5, false) AS converged,
   coalesce(challenges, 0) AS challenges, coalesce(moved, 0) AS moved
   FROM (SELECT session_id, round, count(*) AS scores FROM pscores GROUP BY ALL) s

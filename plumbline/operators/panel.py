@@ -274,8 +274,34 @@ def recommendations(moderated: DataFrame, criteria: DataFrame, last_gaps: DataFr
         *keys, "criterion_id", "title", "consensus_score", "ratio", "gap")
 
 
-def gap_report(gaps: DataFrame) -> DataFrame:
-    return gaps.withColumn("finding", F.when(F.col("best_section").isNull(), "no matching content").otherwise("partial match"))
+def gap_report(gaps: DataFrame, criteria: DataFrame) -> DataFrame:
+    """One row per gap of alignment.alignment_gaps: the criterion's title (its id where it has
+    none), what was found, and the best match's confidence in whole percent."""
+    titles = criteria.select("criterion_id", "title").distinct()
+    partial = F.col("best_section").isNotNull()
+    return gaps.join(titles, "criterion_id", "left").select(
+        "doc_id", "criterion_id", F.coalesce("title", "criterion_id").alias("title"), F.when(partial, "partial match").otherwise("no matching content").alias("finding"),
+        "best_section", F.when(partial, F.round(F.col("best_confidence") * 100.0)).alias("confidence_pct"))
+
+
+def executive_summary(totals: DataFrame, moderated: DataFrame, scores: DataFrame, criteria: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per session: score, result against the pass mark (null without one), criteria
+    evaluated, rounds of the debate, strengths and weaknesses. ``totals`` is what overall() gives;
+    sessions without rounds have 0."""
+    marks = moderated.join(criteria.select("criterion_id", "pass_mark"), "criterion_id", "left").groupBy(*keys).agg(
+        F.count("*").alias("criteria_evaluated"), F.max("pass_mark").alias("pass_mark"))
+    rounds = scores.select(*keys, "round").distinct().groupBy(*keys).agg(F.count("*").alias("debate_rounds"))
+    return totals.join(marks, keys, "left").join(rounds, keys, "left").select(
+        *keys, "total_score", "max_possible", "percentage", "pass_mark", F.when(F.col("passed"), "PASS").when(~F.col("passed"), "FAIL").alias("result"),
+        F.coalesce("criteria_evaluated", F.lit(0)).alias("criteria_evaluated"), F.coalesce("debate_rounds", F.lit(0)).alias("debate_rounds"), "top_strengths", "top_weaknesses")
+
+
+def panel_list(scores: DataFrame, agents: DataFrame) -> DataFrame:
+    """The agents that scored in a session, with name, role and domain; an agent that the table
+    (agent_id, name, role, domain) does not know goes by its id."""
+    seen = scores.select("session_id", "agent_id").distinct()
+    return seen.join(agents.select("agent_id", "name", "role", "domain"), "agent_id", "left").select(
+        "session_id", "agent_id", F.coalesce("name", "agent_id").alias("name"), "role", "domain")
 
 
 def debate_trail(scores: DataFrame, challenges: DataFrame) -> DataFrame:
