@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import text as T
@@ -12,7 +10,7 @@ PROFILE = [  # category, divisor in the feature vector
     ("counter_arguments", 1.0), ("sentence_variety", 5.0), ("cohesion_devices", 1.0), ("vocabulary_sophistication", 1.0),
     ("topic_sentences", 1.0), ("personal_voice", 1.0), ("rhetorical_devices", 5.0),
 ]
-#: Anchors that become one literal; more are compared in blocks.
+#: Anchors that one row holds.
 BLOCK = 500
 
 
@@ -41,29 +39,20 @@ def build_anchors(profiled: DataFrame, per_band: int) -> DataFrame:
 
 
 def nearest_anchor(profiled: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Most similar anchor of each profile (ties: lower score, then lower id).
-
-    Anchors are bands x per_band rows by construction. They come in blocks of BLOCK,
-    each a literal array that profiles are compared with in place, so profiles are
-    never shuffled, and the best of all blocks holds."""
-    def best(rows):
-        lit = F.array(*[F.struct(
-            F.lit(i).alias("rank"), F.lit(r[0]).alias("anchor_id"), F.lit(r[1]).alias("anchor_score"),
-            F.array(*[F.lit(float(v)) for v in r[2]]).alias("v")) for i, r in rows])
-        return F.array_max(F.transform(lit, lambda a: F.struct(
-            F.greatest(F.least(cosine(F.col("profile"), a["v"]), F.lit(1.0)), F.lit(0.0)).alias("similarity"), (-a["rank"]).alias("r"),
-            a["anchor_id"].alias("anchor_id"), a["anchor_score"].alias("anchor_score"))))
-
-    ordered = enumerate(anchors.select("doc_id", F.col("score").cast("double"), "profile").orderBy("score", "doc_id").toLocalIterator())
-    d, first = profiled, True
-    while block := list(islice(ordered, BLOCK)):
-        d = d.withColumn("_best", best(block) if first else F.greatest("_best", best(block)))
-        first = False
-    if first:
-        none = F.struct(F.lit(None).cast("double").alias("similarity"), F.lit(None).cast(anchors.schema["doc_id"].dataType).alias("anchor_id"), F.lit(None).cast("double").alias("anchor_score"))
-        d = d.withColumn("_best", none)
-    return d.select(
-        *profiled.columns, "_best.anchor_id", "_best.anchor_score", "_best.similarity")
+    """Most similar anchor of each profile (ties: lower score, then lower id); null where there
+    are no anchors.
+
+    Anchors are dealt to rows of about BLOCK, and each distinct profile meets each of these rows; Spark
+    decides by size how they travel. Profiles that many documents share are compared once."""
+    blocks = max(1, -(-anchors.count() // BLOCK))
+    dealt = anchors.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.struct(F.col("score").cast("double").alias("score"), F.col("doc_id").alias("id"), F.col("profile").alias("v")).alias("a"))
+    dealt = dealt.groupBy("block").agg(F.collect_list("a").alias("anchors")).drop("block")
+    nearness = lambda a: F.greatest(F.least(cosine(F.col("profile"), a["v"]), F.lit(1.0)), F.lit(0.0))
+    best = F.array_min(F.transform("anchors", lambda a: F.struct((-nearness(a)).alias("far"), a["score"].alias("score"), a["id"].alias("id"))))
+    found = profiled.select("profile").distinct().crossJoin(dealt).select("profile", best.alias("b")).groupBy("profile").agg(F.min("b").alias("_best"))
+    return profiled.join(found, "profile", "left").select(
+        *profiled.columns, F.col("_best.id").alias("anchor_id"), F.col("_best.score").alias("anchor_score"), (F.lit(0.0) - F.col("_best.far")).alias("similarity"))
 
 
 def calibrated_score(nearest: DataFrame, external: str, max_score: Column) -> DataFrame:
