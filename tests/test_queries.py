@@ -16,6 +16,8 @@ QUICK = [
     "v3_number_consistency", "v15_argument_flow", "r1_r4_predictions", "j1_align_sections", "f3_firewall_verdict", "w2_verify_snippets", "q7_kg_nodes",
     "s3_classify_lots", "s1_read_labeled", "s2_read_text_corpus", "s4_read_framework", "s6_read_graph_scores", "s7_read_score_batches", "s8_read_extractions", "s9_history",
     "s13_write_results", "s16_read_anchors", "b16_split_train_test", "x8_word_jaccard", "w3_verification_summary", "st1_firewall_stream", "st2_evidence_stream", "st3_latest_score_stream", "st4_drift_stream",
+    "f2_lexicon_index", "j6_semantic_topk_many", "st1_lexicon_stream", "st2_evidence_windows", "t4_gap_list", "t4_executive_summary", "t4_panel_list", "h10_nearest_rank_percentiles", "d7_trust_update", "g9_pagerank",
+    "g10_verify_spans", "g13_quote_check", "m12_quality_violations", "b15_calibrated_score",
 ]
 NAMES = list(entry.queries()) if os.environ.get("PLUMBLINE_ALL") else QUICK
 
