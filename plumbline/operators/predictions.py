@@ -76,24 +76,38 @@ def prediction_rows(documents: DataFrame) -> DataFrame:
         "doc_id", "prediction_no", "p.*")
 
 
-def _with_keywords(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, T.keywords_list(F.col("text"), L.STOP_PREDICT))
+def _overlaps(preds: DataFrame, items: DataFrame, carried: list[str]) -> DataFrame:
+    """(doc_id, prediction_no, carried, n, o): pairs of a document that share a keyword, o being the share
+    of the prediction's keywords (repeats count) that the item has, n how often the item occurs.
+
+    Keywords are postings: predictions and items meet on (document, keyword), so a document with
+    any number of items is spread over its keywords and pairs without a common one never form."""
+    keys = lambda df: T.keywords_list(F.col("text"), L.STOP_PREDICT)
+    p = preds.select("doc_id", "prediction_no", keys(preds).alias("pk")).select(
+        "doc_id", "prediction_no", F.size("pk").alias("size"),
+        F.inline(F.transform(F.array_distinct("pk"), lambda w: F.struct(w.alias("word"), F.size(F.filter("pk", lambda x: x == w)).alias("m")))))
+    i = items.select("doc_id", *carried, F.array_distinct(keys(items)).alias("ik"), F.xxhash64(F.lit(1), "text", *carried).alias("h1"), F.xxhash64(F.lit(2), "text", *carried).alias("h2"))
+    i = i.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n"), F.first("ik").alias("ik"), *[F.first(c).alias(c) for c in carried])
+    i = i.select("doc_id", "h1", "h2", "n", *carried, F.explode("ik").alias("word"))
+    pairs = p.join(i, ["doc_id", "word"]).groupBy("doc_id", "prediction_no", "h1", "h2").agg(
+        F.sum("m").alias("shared"), F.first("size").alias("size"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in carried])
+    return pairs.select("doc_id", "prediction_no", *carried, "n", (F.col("shared") / F.col("size")).alias("o"))
 
 
 def assess_credibility(preds: DataFrame, items: DataFrame) -> DataFrame:
     """Scores each prediction against the claims and evidence of its document.
 
-    items(doc_id, role, text, specificity, quantified). The join is by document;
-    pairs collapse to sums before anything else is attached."""
-    p = _with_keywords(preds, "pk").select("doc_id", "prediction_no", "pk")
-    i = _with_keywords(items, "ik").select("doc_id", "role", "specificity", "quantified", "ik")
-    x = p.join(i, "doc_id").withColumn("o", T.overlap_list(F.col("pk"), F.col("ik")))
+    items(doc_id, role, text, specificity, quantified). They meet by keywords, and pairs
+    collapse to sums before anything else is attached."""
+    x = _overlaps(preds, items, ["role", "specificity", "quantified"])
     ev = F.col("role") == "evidence"
     hit = ev & (F.col("o") > 0.2)
     sums = x.groupBy("doc_id", "prediction_no").agg(
-        F.count_if(ev).alias("evidence_seen"), F.count_if(hit).alias("supporting"),
-        F.coalesce(F.sum(F.when(hit, F.when(F.col("quantified"), 0.3).otherwise(0.15)).when(
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("supporting"),
+        F.coalesce(F.sum(F.col("n") * F.when(hit, F.when(F.col("quantified"), 0.3).otherwise(0.15)).when(
             ~ev & (F.col("o") > 0.3), F.col("specificity") * 0.1)), F.lit(0.0)).alias("raw"))
+    seen = items.groupBy("doc_id").agg(F.count_if(ev).alias("evidence_seen"))
+    preds = preds.join(seen, "doc_id", "left")
     d = preds.join(sums, ["doc_id", "prediction_no"], "left").fillna(0, subset=["evidence_seen", "supporting", "raw"])
     kind, alone = F.col("prediction_type"), F.col("supporting") == 0
     factor = (
@@ -112,13 +126,13 @@ def assess_credibility(preds: DataFrame, items: DataFrame) -> DataFrame:
 def verify_predictions(assessed: DataFrame, items: DataFrame) -> DataFrame:
     """items(doc_id, item_type, text, confidence): supporting items, counter-claims,
     score and a flag when credibility and evidence disagree."""
-    p = _with_keywords(assessed, "pk").select("doc_id", "prediction_no", "pk")
-    i = _with_keywords(items, "ik").select("doc_id", "item_type", "confidence", "ik")
-    x = p.join(i, "doc_id").withColumn("o", T.overlap_list(F.col("pk"), F.col("ik")))
+    x = _overlaps(assessed, items, ["item_type", "confidence"])
     hit = F.col("item_type").isin("statistic", "citation", "evidence") & (F.col("o") > 0.15)
+    counter = (F.col("item_type") == "claim") & (F.col("o") > 0.2)
     sums = x.groupBy("doc_id", "prediction_no").agg(
-        F.count_if(hit).alias("evidence_found"), F.coalesce(F.sum(F.when(hit, F.col("confidence") * F.col("o"))), F.lit(0.0)).alias("evidence_strength"),
-        F.count_if((F.col("item_type") == "claim") & (F.col("o") > 0.2)).alias("counter_evidence"))
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("evidence_found"),
+        F.coalesce(F.sum(F.when(hit, F.col("n") * F.col("confidence") * F.col("o"))), F.lit(0.0)).alias("evidence_strength"),
+        F.sum(F.when(counter, F.col("n")).otherwise(0)).alias("counter_evidence"))
     d = assessed.select("doc_id", "prediction_no", "credibility").join(sums, ["doc_id", "prediction_no"], "left").fillna(
         0, subset=["evidence_found", "evidence_strength", "counter_evidence"])
     score = F.greatest(F.least(F.col("evidence_strength") / 2.0, F.lit(1.0)) - F.least(F.col("counter_evidence") * 0.1, F.lit(0.3)), F.lit(0.0))
