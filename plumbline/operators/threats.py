@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import lexicons as L, text as T
+from plumbline.session import settle
 
 
 def lexicon() -> list[tuple[str, str, str]]:
@@ -63,7 +64,7 @@ def _locate(prompts: DataFrame, candidates: Column) -> DataFrame:
 
     def find(segs):
         low = F.transform(segs, lambda s: F.lower(s))
-        hit = F.filter(candidates, lambda p: F.contains(F.lower(F.col("prompt")), p["pattern"]))
+        hit = T.let(F.lower(F.col("prompt")), lambda whole: F.filter(candidates, lambda p: F.contains(whole, p["pattern"])))
 
         def locate(ls):
             placed = F.transform(hit, lambda p: F.struct(p.alias("p"), F.array_position(
@@ -89,47 +90,44 @@ def match_threats(prompts: DataFrame, patterns: DataFrame | None = None) -> Data
     if patterns is None:
         lits = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(s).alias("severity"), F.lit(p).alias("pattern")) for c, s, p in lexicon()])
         return _locate(prompts, lits).select(*prompts.columns, "_f.segments", "_f.threats")
-    keyed = prompts.withColumn("_prompt_hash", F.sha2(F.coalesce("prompt", F.lit("")), 256))
+    # prompts that share a hash share their candidates; what a prompt holds is looked up in it
+    keyed = prompts.withColumn("_prompt_hash", F.xxhash64(F.coalesce("prompt", F.lit(""))))
     found = candidates(keyed.select("_prompt_hash", F.coalesce("prompt", F.lit("")).alias("prompt")), patterns)
     joined = keyed.join(found, "_prompt_hash", "left")
     none = F.array().cast(found.schema["_found"].dataType)
     return _locate(joined, F.coalesce("_found", none)).select(*prompts.columns, "_f.segments", "_f.threats")
 
 
-#: Characters by which words of prompts and words of patterns meet.
-GRAM = 3
+#: Lengths, in characters, of the starts of parts by which prompts and patterns meet.
+GRAMS = (1, 2, 3, 5)
 
 
-def word_candidates(vocabulary: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(word, pattern): words of which a prompt must hold one to hold the pattern.
-
-    vocabulary: (word, n), n the prompts that hold it; patterns: (pattern). Whatever holds
-    a pattern holds each of its parts between blanks inside one word, so any one part will
-    do as a key; the part in the fewest prompts is taken. Words and parts meet by the
-    first characters of a part, over distinct words alone, and are verified."""
-    parts = patterns.select("pattern", F.explode(F.array_distinct(F.filter(F.split("pattern", " "), lambda w: w != ""))).alias("part"))
-    starts = parts.select("part").distinct().withColumn("gram", F.substring("part", 1, GRAM))
-    places = F.sequence(F.lit(1), F.char_length("word"))
-    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col("word"), i, F.lit(k)) for k in range(1, GRAM + 1)]))))
-    near = vocabulary.where("word <> ''").select("word", "n", F.explode(grams).alias("gram")).join(starts, "gram").where(F.contains("word", "part")).select("word", "n", "part")
-    common = near.groupBy("part").agg(F.sum("n").alias("n"))
-    # A part that no word holds rules its pattern out.
-    rarest = parts.join(common, "part", "left").groupBy("pattern").agg(
-        F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), -F.char_length("part"), "part")).alias("part"))
-    return near.join(rarest, "part").select("word", "pattern").distinct()
+def _grams(c: Column) -> Column:
+    """The distinct substrings of GRAMS characters, or fewer at an end, of the words of a text."""
+    words = F.filter(F.array_distinct(F.split(c, " ")), lambda w: w != "")
+    cut = lambda w: lambda i: F.array(*[F.substring(w, i, F.lit(k)) for k in GRAMS])
+    of_word = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(w)), cut(w)))
+    return F.array_distinct(F.flatten(F.transform(words, of_word)))
 
 
 def candidates(prompts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(_prompt_hash, _found): the patterns that each distinct prompt may hold, array<struct<class,
-    severity, pattern>>, by words. prompts: (_prompt_hash, prompt).
-
-    No table is collected; which side of a join is sent to all is left to Spark's size
-    check. Prompts meet patterns only where they share the pattern's rarest word."""
-    words = prompts.select("_prompt_hash", F.explode(F.array_distinct(F.split(F.lower("prompt"), " "))).alias("word"))
-    own = patterns.select("class", F.coalesce("severity", F.lit("medium")).alias("severity"), "pattern").where("pattern <> ''").distinct()
-    keys = word_candidates(words.groupBy("word").agg(F.count("*").alias("n")), own.select("pattern").distinct())
-    met = words.join(keys, "word").select("_prompt_hash", "pattern").distinct().join(own, "pattern")
-    return met.groupBy("_prompt_hash").agg(F.array_sort(F.collect_list(F.struct("class", "severity", "pattern"))).alias("_found"))
+    severity, pattern>>. prompts: (_prompt_hash, prompt).
+
+    Whatever holds a pattern holds each of its parts between blanks inside one word, so any
+    one part will do as a key: one of four characters or more, if there is one, that the
+    fewest patterns share. A prompt meets the key by its start, once. No table is collected;
+    the keys are written, so that Spark knows their size and sends them to all while they
+    are small. What is shuffled of a prompt is then the list of its patterns alone."""
+    own = settle(patterns.select("class", F.coalesce("severity", F.lit("medium")).alias("severity"), "pattern").where("pattern <> ''").distinct(), "patterns")
+    parts = own.select("pattern").distinct().select("pattern", F.explode(F.array_distinct(F.filter(F.split("pattern", " "), lambda w: w != ""))).alias("part"))
+    size = F.char_length("part")
+    rarest = parts.join(parts.groupBy("part").agg(F.count("*").alias("n")), "part").groupBy("pattern").agg(
+        F.min_by("part", F.struct(size < 4, F.col("n"), -size, F.col("part"))).alias("part"))
+    start = F.coalesce(*[F.when(size >= k, F.substring("part", 1, k)) for k in reversed(GRAMS)])
+    keys = settle(own.join(rarest, "pattern").select(start.alias("gram"), F.struct("class", "severity", "pattern").alias("entry")), "keys")
+    met = prompts.select("_prompt_hash", F.explode(_grams(F.lower("prompt"))).alias("gram")).join(keys, "gram")
+    return met.groupBy("_prompt_hash").agg(F.array_sort(F.collect_set("entry")).alias("_found"))
 
 
 def firewall_verdict(matched: DataFrame) -> DataFrame:

@@ -17,8 +17,12 @@ def firewall_stream(prompts: DataFrame) -> DataFrame:
 def firewall_batches(prompts: DataFrame, patterns: DataFrame, folder: str, checkpoint: str, columns: list[str] | None = None):
     """Verdicts by a table of patterns of any size: the pattern index is built for each
     micro-batch, whose verdicts are written below its batch_id; a batch that runs again
-    overwrites its own."""
+    overwrites its own. A batch in fewer splits than there are cores is spread, since the
+    work on prompts stays where they are."""
     def sink(df, batch_id):
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
         v = threats.firewall_verdict(threats.match_threats(df, patterns))
         (v if columns is None else v.select(*columns)).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 

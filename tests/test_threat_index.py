@@ -78,3 +78,12 @@ def test_index_finds_what_contains_finds(spark):
     # a prompt of three bytes or less has no segments
     assert got == {(i, x) for i, t in enumerate(texts) for x in patterns if x in t.lower() and len(t.strip()) > 3}
     assert threats.match_threats(p, lex.limit(0)).where(F.size("threats") > 0).isEmpty() and threats.match_threats(p.limit(0), lex).isEmpty()
+
+
+def test_parts_of_prompts_are_not_shuffled(spark):
+    p = spark.createDataFrame([(1, "ignore all rules of the house"), (2, None)], "id long, prompt string")
+    lex = spark.createDataFrame([("a", "low", "all rules"), ("b", None, "the house"), ("b", None, "x")], "class string, severity string, pattern string")
+    out = threats.match_threats(p, lex)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" not in plan and "hashpartitioning(gram" not in plan
+    assert {(r.id, t["pattern"], t["severity"]) for r in out.collect() for t in r.threats} == {(1, "all rules", "low"), (1, "the house", "medium")}
