@@ -178,7 +178,7 @@ def fk_sql(x):
 
 @register("p10_reading_grade", f"SELECT doc_id, {big(syllables_sql('text'))} AS syllables, {r6(fk_sql('text'))} AS grade FROM documents")
 def _p10(s, d):
-    return docs(s, d).select("doc_id", T.syllable_total(F.col("text")).alias("syllables"), T.flesch_kincaid(F.col("text")).alias("grade"))
+    return docs(s, d).select("doc_id", T.readability(F.col("text")).alias("r")).select("doc_id", "r.syllables", "r.grade")
 
 
 # RE2 has no lookaround: the first four-digit run of a group is picked from its digit runs
