@@ -326,9 +326,7 @@ CTE["tri"] = r"""
 
 
 def _tri(s, d):
-    sec = DOCS(s, d)
-    ce = extraction.claims_and_evidence(extraction.item_rows(extraction.with_items(sec)))
-    return TR.concat(TR.sections(sections.section_rows(sec)), TR.claims_evidence(ce))
+    return TR.section_triples(extraction.with_items(DOCS(s, d)))
 
 
 @register("s14_triples", "SELECT * FROM tri")

@@ -64,8 +64,9 @@ def sentence_items(c: Column, kind: str, sents: Column | None = None) -> Column:
 
 
 def all_items(c: Column) -> Column:
-    """Items of all five rules, rule by rule, each in text order (duplicates kept)."""
-    found = F.concat(citation_items(c), *[sentence_items(c, k) for k in SENTENCE_RULES])
+    """Items of all five rules, rule by rule, each in text order (duplicates kept). The text
+    is cut into sentences once."""
+    found = T.let(_sentence_structs(c), lambda s: F.concat(citation_items(c), *[sentence_items(c, k, s) for k in SENTENCE_RULES]))
     return F.transform(found, lambda x, i: x.withField("ord", i))
 
 
@@ -119,8 +120,8 @@ def merge_items(rule_items: Column, other_items: Column) -> Column:
     return F.aggregate(other_items, rule_items, fold)
 
 
-def claims_and_evidence(items: DataFrame) -> DataFrame:
-    """Maps item rows to claim rows (specificity, verifiable) and evidence rows."""
+def claims_and_evidence(items: DataFrame, *more: str) -> DataFrame:
+    """Maps item rows to claim rows (specificity, verifiable) and evidence rows; ``more``: columns kept."""
     kind = F.col("item_type")
     is_claim = kind.isin("claim", "argument", "prediction", "commitment")
     return items.select(
@@ -129,7 +130,7 @@ def claims_and_evidence(items: DataFrame) -> DataFrame:
         F.when(is_claim, kind.isin("prediction", "commitment")).alias("verifiable"),
         F.when(~is_claim, F.concat("method", F.lit("-extracted"))).alias("source"),
         F.when(~is_claim, kind).alias("evidence_type"),
-        F.when(~is_claim, kind == "statistic").alias("quantified"))
+        F.when(~is_claim, kind == "statistic").alias("quantified"), *more)
 
 
 def fallback_items(c: Column) -> Column:

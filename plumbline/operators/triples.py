@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import extraction
 
 COLUMNS = ["s", "p", "o", "o_kind", "datatype"]
 NUMBER, WHOLE, FLAG, TIME = "decimal", "integer", "boolean", "dateTime"
@@ -17,16 +18,21 @@ def iri(space: str, *parts) -> Column:
     return F.concat(F.lit(f"{space}:"), F.concat_ws("_", *[T.iri_safe(c.cast("string")) for c in cols]))
 
 
-def entity(df: DataFrame, subject: Column, type_name: str, literals: dict[str, tuple] | None = None, links: dict[str, Column] | None = None) -> DataFrame:
-    """Unpivots one entity table: type, literals {predicate: (column, datatype)} and
-    links {predicate: target iri}; null values give no triple."""
+def entity_rows(type_name: str, literals: dict[str, tuple] | None = None, links: dict[str, Column] | None = None) -> Column:
+    """array<struct<p, o, o_kind, datatype>> of an entity: type, literals {predicate: (column,
+    datatype)} and links {predicate: target iri}."""
     def row(p, o, kind, dt):
         return F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("datatype"))
 
     rows = [row("type", F.lit(type_name), "iri", None)]
     rows += [row(p, F.col(c) if isinstance(c, str) else c, "literal", dt) for p, (c, dt) in (literals or {}).items()]
     rows += [row(p, o, "iri", None) for p, o in (links or {}).items()]
-    return df.select(subject.alias("s"), F.inline(F.array(*rows))).where("o is not null")
+    return F.array(*rows)
+
+
+def entity(df: DataFrame, subject: Column, type_name: str, literals: dict[str, tuple] | None = None, links: dict[str, Column] | None = None) -> DataFrame:
+    """Unpivots one entity table; null values give no triple."""
+    return df.select(subject.alias("s"), F.inline(entity_rows(type_name, literals, links))).where("o is not null")
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -47,20 +53,44 @@ def section_iri() -> Column:
     return iri("doc", "doc_id", F.concat(F.lit("s"), "section_no"))
 
 
+def _section_rows() -> Column:
+    return entity_rows("Section", {"title": ("title", None), "text": ("text", None), "wordCount": ("word_count", WHOLE)}, {"parentDocument": iri("doc", "doc_id")})
+
+
 def sections(df: DataFrame) -> DataFrame:
-    return entity(df, section_iri(), "Section", {"title": ("title", None), "text": ("text", None), "wordCount": ("word_count", WHOLE)},
-                  {"parentDocument": iri("doc", "doc_id")})
+    return df.select(section_iri().alias("s"), F.inline(_section_rows())).where("o is not null")
 
 
-def claims_evidence(df: DataFrame) -> DataFrame:
-    """Rows of extraction.claims_and_evidence."""
-    me = iri("doc", "doc_id", F.concat(F.lit("s"), "section_no"), F.concat(F.lit("i"), "item_no"))
-    c = entity(df.where("role = 'claim'"), me, "Claim", {
+def item_iri() -> Column:
+    return iri("doc", "doc_id", F.concat(F.lit("s"), "section_no"), F.concat(F.lit("i"), "item_no"))
+
+
+def _item_rows() -> Column:
+    claim = entity_rows("Claim", {
         "text": ("text", None), "specificity": ("specificity", NUMBER), "verifiable": ("verifiable", FLAG)}, {"inSection": section_iri()})
-    e = entity(df.where("role = 'evidence'"), me, "Evidence", {
+    evidence = entity_rows("Evidence", {
         "source": ("source", None), "evidenceType": ("evidence_type", None), "text": ("text", None), "hasQuantifiedOutcome": ("quantified", FLAG)},
         {"inSection": section_iri()})
-    return c.unionByName(e)
+    return F.when(F.col("role") == "claim", claim).when(F.col("role") == "evidence", evidence)
+
+
+def claims_evidence(df: DataFrame) -> DataFrame:
+    """Rows of extraction.claims_and_evidence, in one pass."""
+    return df.select(item_iri().alias("s"), F.inline(_item_rows())).where("o is not null")
+
+
+def section_triples(docs: DataFrame) -> DataFrame:
+    """Triples of documents' sections (extraction.with_items) and of their claims and
+    evidence: the text is segmented and read for items once."""
+    s = docs.select("doc_id", F.explode("sections").alias("x"))
+    # Each section is a row without an item, before the rows of its items.
+    items = F.col("x.items")
+    every = s.select("doc_id", F.col("x.section_no").alias("section_no"), "x.title", F.col("x.text").alias("section_text"), "x.word_count", F.posexplode(
+        F.concat(F.array(F.lit(None).cast(s.schema["x"].dataType["items"].dataType.elementType)), items)).alias("pos", "i"))
+    rows = extraction.claims_and_evidence(every.select("*", (F.col("pos") - 1).alias("item_no"), "i.*"), "pos", "title", "section_text", "word_count")
+    own = F.col("pos") == 0
+    rows = rows.withColumn("text", F.when(own, F.col("section_text")).otherwise(F.col("text")))
+    return rows.select(F.when(own, section_iri()).otherwise(item_iri()).alias("s"), F.inline(F.when(own, _section_rows()).otherwise(_item_rows()))).where("o is not null")
 
 
 def criteria(df: DataFrame) -> DataFrame:
@@ -219,17 +249,18 @@ def kg_nodes(triples: DataFrame) -> DataFrame:
     """Every subject and linked object with its type, group, size, label, number of
     properties and number of distinct neighbours.
 
-    All facts about a node are unioned and aggregated once by id; property and
+    All facts about a node come from one pass over the triples and are aggregated once by id; property and
     neighbour lists stay rows (triples, kg_edges), so hubs gather nothing."""
     none = F.lit(None).cast("string")
     t = F.col("p") == "type"
     named = F.col("p").isin("title", "name", "label") & (F.col("o_kind") == "literal")
-    own = triples.select(
+    link = (F.col("o_kind") == "iri") & ~t
+    own = F.struct(
         F.col("s").alias("id"), F.when(t, F.col("o")).alias("type"), F.when(named, F.col("o")).alias("name"),
-        (F.col("o_kind") == "literal").cast("int").alias("props"), F.when((F.col("o_kind") == "iri") & ~t, F.col("o")).alias("near"))
-    back = triples.where("p <> 'type' and o_kind = 'iri'").select(
-        F.col("o").alias("id"), none.alias("type"), none.alias("name"), F.lit(0).alias("props"), F.col("s").alias("near"))
-    n = own.unionByName(back).groupBy("id").agg(
+        (F.col("o_kind") == "literal").cast("int").alias("props"), F.when(link, F.col("o")).alias("near"))
+    back = F.when(link, F.struct(F.col("o").alias("id"), none.alias("type"), none.alias("name"), F.lit(0).alias("props"), F.col("s").alias("near")))
+    both = triples.select(F.inline(F.array_compact(F.array(own, back))))
+    n = both.groupBy("id").agg(
         F.min("type").alias("type"), F.min("name").alias("name"), F.sum("props").alias("properties"), F.countDistinct("near").alias("neighbours"))
     n = n.withColumn("type", F.coalesce("type", F.lit("")))
     return n.select("id", F.coalesce("name", F.regexp_replace("id", "^.*[:/#]", "")).alias("label"), _kind(1, "default").alias("node_type"),
