@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import lexicons as L, text as T
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, settle
 
 CLAIM_TYPES = ["Thesis", "SubClaim"]
 EVIDENCE_TYPES = ["Evidence", "QuantifiedEvidence", "Citation"]
@@ -166,7 +166,8 @@ def add_section_items(graph: DataFrame, given: DataFrame) -> tuple[DataFrame, Da
         .when(F.col("evidence_type") == "citation", "Citation").otherwise("Evidence").alias("node_type"),
         F.lit(True).alias("added"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("source_text"),
         F.lit(None).cast(SPAN).alias("span"), F.lit(None).cast("string").alias("justification"))
-    everything = built.unionByName(new)
+    # used several times below; written, so that the documents are read for items once
+    everything = settle(built.unionByName(new), "section-items")
     first = everything.groupBy("doc_id", "text").agg(F.min(order).alias("first"))
     kept = (
         everything.join(first, ["doc_id", "text"])
