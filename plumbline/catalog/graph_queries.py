@@ -240,7 +240,7 @@ def _g7(s, d):
 @register("g8_structural_score", f"SELECT doc_id, {big('max_depth')} AS max_depth, {r6(STRUCT)} AS structural FROM h_metrics")
 def _g8(s, d):
     n, e = _h(s, d)
-    m = graph.graph_metrics(n, e, graph.support_depth(e, n))
+    m = graph.metrics_with_depth(n, e)
     return m.select("doc_id", "max_depth", graph.structural_score().alias("structural"))
 
 
@@ -505,7 +505,7 @@ CTE["hgated"] = gate_sql("hgate_in", "score", "11000")
          CASE WHEN verdict = 'FLAGGED' THEN {r6('evidence_score * 11000')} END AS recommended_score FROM hgated""")
 def _t1(s, d):
     n, e = _h(s, d)
-    m = graph.graph_metrics(n, e, graph.support_depth(e, n)).join(
+    m = graph.metrics_with_depth(n, e).join(
         table(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_acctbal").alias("score")), "doc_id")
     return gate.gate(m.withColumn("max_score", F.lit(11000.0)), "score", "max_score").select(
         "doc_id", "structural", "evidence_score", "tolerance", "gap", "verdict", "recommended_score")

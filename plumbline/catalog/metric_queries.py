@@ -53,7 +53,7 @@ CTE["met_abl"] = metric_sql("abl", "config")
 
 def _hsamples(s, d):
     n, e = _h(s, d)
-    m = graph.graph_metrics(n, e, graph.support_depth(e, n))
+    m = graph.metrics_with_depth(n, e)
     c = table(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.greatest("c_acctbal", F.lit(0.0)) / 1000).alias("actual"))
     return m.withColumn("structural", graph.structural_score()).join(c, "doc_id").withColumn("max_score", F.lit(12.0))
 

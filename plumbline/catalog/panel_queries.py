@@ -67,7 +67,7 @@ CRITERIA = [(c[0], c[3]) for c in dims.FRAMEWORKS["academic_essay"][3]]
 def _d2(s, d):
     from plumbline.catalog.graph_queries import _h
     n, e = _h(s, d)
-    m = graph.graph_metrics(n, e, graph.support_depth(e, n)).select("doc_id", graph.structural_score().alias("structural"))
+    m = graph.metrics_with_depth(n, e).select("doc_id", graph.structural_score().alias("structural"))
     return panel.structural_panel_scores(m, AGENTS, CRITERIA)
 
 

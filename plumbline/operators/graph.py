@@ -9,8 +9,12 @@ per node before they meet per document.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import lexicons as L, text as T
@@ -199,21 +203,27 @@ def type_counts(nodes: DataFrame) -> DataFrame:
         .fillna(0, subset=NODE_TYPES))
 
 
-def _marks_from_tables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = edges.select(
-        "doc_id",
-        F.explode(F.array(
-            F.struct(F.col("src").alias("node_id"), F.lit(1).alias("edge_n"), F.lit(False).alias("into")),
-            F.struct(F.col("dst").alias("node_id"), F.lit(0).alias("edge_n"), F.lit(True).alias("into")))).alias("x"),
-        F.col("edge_type"))
-    e = e.select(
-        "doc_id", "x.node_id", F.lit(None).cast("string").alias("node_type"), F.lit(None).cast("double").alias("score"),
-        F.lit(0).alias("chain"), "x.edge_n",
-        F.col("edge_type").isin(SCORING_EDGES).cast("int").alias("touched"),
-        (F.col("x.into") & (F.col("edge_type") == "Supports")).cast("int").alias("supported"))
+def keyed_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, a, b, kind, score, whole): nodes (b is null, kind the node type) and edges (from a to b) in one
+    table, known by 64-bit hashes of document and id. ``whole``: none of the ids is null."""
+    key = lambda c: F.xxhash64("doc_id", c)
     n = nodes.select(
-        "doc_id", "node_id", "node_type", "score", F.lit(0).alias("chain"), F.lit(0).alias("edge_n"), F.lit(0).alias("touched"), F.lit(0).alias("supported"))
-    return n.unionByName(e)
+        "doc_id", key("node_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("node_type").alias("kind"),
+        F.col("score").cast("double").alias("score"), F.col("node_id").isNotNull().alias("whole"))
+    return n.unionByName(edges.select(
+        "doc_id", key("src").alias("a"), key("dst").alias("b"), F.col("edge_type").alias("kind"),
+        F.lit(None).cast("double").alias("score"), (F.col("src").isNotNull() & F.col("dst").isNotNull()).alias("whole")))
+
+
+def _marks_from_rows(rows: DataFrame) -> DataFrame:
+    none_t, none_s = F.lit(None).cast("string"), F.lit(None).cast("double")
+    kind, node, no, yes = F.col("kind"), F.col("b").isNull(), F.lit(0), F.lit(1)
+    touched, supported = kind.isin(SCORING_EDGES).cast("int"), (kind == "Supports").cast("int")
+    mark = lambda nid, t, s, e, touch, sup: F.struct(
+        nid.alias("node_id"), t.alias("node_type"), s.alias("score"), no.alias("chain"), e.alias("edge_n"), touch.alias("touched"), sup.alias("supported"))
+    first = F.when(node, mark(F.col("a"), kind, F.col("score"), no, no, no)).otherwise(mark(F.col("a"), none_t, none_s, yes, touched, no))
+    second = F.when(~node, mark(F.col("b"), none_t, none_s, no, touched, supported))
+    return rows.select("doc_id", F.inline(F.array_compact(F.array(first, second))))
 
 
 def _marks_from_graph(graph: DataFrame) -> DataFrame:
@@ -237,7 +247,23 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame | None = None, depth: DataF
     ``nodes`` alone may be the adjacency form of build_graph, which knows its
     chain lengths; flat tables take ``depth`` from support_depth. Nodes meet their edges in one
     aggregation per (document, node), partially combined before the shuffle."""
-    marks = _marks_from_graph(nodes) if edges is None else _marks_from_tables(nodes, edges)
+    if edges is not None:
+        out = _doc_metrics(_marks_from_rows(keyed_rows(nodes, edges))).drop("max_depth")
+        return out if depth is None else out.join(depth.select("doc_id", "max_depth"), "doc_id", "left").fillna(0, subset=["max_depth"])
+    return _doc_metrics(_marks_from_graph(nodes))
+
+
+def metrics_with_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_metrics with support_depth, from one table of nodes and edges that is written once."""
+    rows = settle(keyed_rows(nodes, edges), "graph-rows")
+    small, large = _by_size(rows)
+    own = _doc_metrics(_marks_from_rows(_dealt(small)))
+    if large is not None:
+        own = own.unionByName(_doc_metrics(_marks_from_rows(large)))
+    return own.drop("max_depth").join(_depth(small, large, True), "doc_id", "left").fillna(0, subset=["max_depth"])
+
+
+def _doc_metrics(marks: DataFrame) -> DataFrame:
     t = F.col("node_type")
     per_node = marks.groupBy("doc_id", "node_id").agg(
         F.count("node_type").alias("n"),
@@ -257,38 +283,164 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame | None = None, depth: DataF
         (F.sum("counter") > 0).alias("has_counter"), (F.sum("rebuttal") > 0).alias("has_rebuttal"),
         F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n"), F.max("chain").alias("max_depth"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    keep_depth = ["max_depth"] if edges is None else []
-    out = doc.select(
-        "doc_id", *keep_depth, "node_count", "edge_count", "claim_count", "evidence_count",
+    return doc.select(
+        "doc_id", "max_depth", "node_count", "edge_count", "claim_count", "evidence_count",
         ratio("connected", "loose").alias("connectivity"), ratio("covered", "claim_count").alias("evidence_coverage"),
         "has_counter", "has_rebuttal",
         F.when(F.col("score_n") > 0, F.col("score_sum") / F.col("score_n")).alias("quality"))
-    if edges is None or depth is None:
-        return out
-    return out.join(depth.select("doc_id", "max_depth"), "doc_id", "left").fillna(0, subset=["max_depth"])
 
 
-def support_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Supports edges; with ``nodes`` only those between known nodes."""
-    e = edges.where("edge_type = 'Supports'").select("doc_id", "src", "dst").distinct()
-    if nodes is not None:
-        known = nodes.select("doc_id", "node_id").distinct()
-        e = e.join(known.withColumnRenamed("node_id", "src"), ["doc_id", "src"], "left_semi").join(
-            known.withColumnRenamed("node_id", "dst"), ["doc_id", "dst"], "left_semi")
-    return e
+#: Documents of at most so many rows (nodes and edges) are worked on whole inside a task; larger ones go by joins.
+GROUP = 1 << 14
+#: Rows that a task sorts, and rows that are worked on at once.
+TASK_ROWS, CHUNK = 1 << 20, 1 << 17
+
+
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of documents of at most ``GROUP`` rows, and those of larger ones or of none (None: there are no such)."""
+    big = rows.groupBy("doc_id").count().where((F.col("count") > GROUP) | F.col("doc_id").isNull()).select("doc_id")
+    big = cut_lineage(big)
+    if big.isEmpty():
+        return rows, None
+    known = big.where("doc_id is not null")
+    large = rows.join(known, "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
+    return rows.where("doc_id is not null").join(known, "doc_id", "left_anti"), large
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Dealt by document to as many tasks as the rows need, so that no task grows with the input."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_ROWS + 1)
+    return rows.repartition(parts, "doc_id")
+
+
+def _in_documents(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` over tables of whole documents, the rows of each together; bounded by ``CHUNK`` and ``GROUP``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def take(table):
+            for b in solve(table).to_batches():
+                yield b
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < CHUNK:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            code = _codes(t)
+            cut = int(np.argmax(code == code[-1]))  # where the last document, which may go on, begins
+            if cut:
+                yield from take(t.slice(0, cut))
+            held, size = t.slice(cut).to_batches(), t.num_rows - cut
+        if size:
+            yield from take(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.sortWithinPartitions("doc_id").mapInArrow(run, schema)
+
+
+def _codes(t: pa.Table) -> np.ndarray:
+    """The number of each row's document, by first appearance."""
+    return t.column("doc_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ids(t: pa.Table, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row numbers of the nodes, their ids; row numbers of the edges, the ids of both ends; the number of ids."""
+    edge = t.column("b").is_valid().to_numpy()
+    nodes, edges = np.flatnonzero(~edge), np.flatnonzero(edge)
+    a, b = t.column("a").to_numpy(), t.column("b").fill_null(0).to_numpy()
+    ids, names = pd.factorize(np.concatenate([a[nodes], a[edges], b[edges]]))
+    ends = ids[len(nodes):]
+    return nodes, ids[:len(nodes)], edges, ends[:len(edges)], ends[len(edges):], len(names)
+
+
+def _peeled_depths(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest chain that ends in each of n nodes, and which nodes no peeling from the sources reaches."""
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    start = np.searchsorted(src, np.arange(n + 1))
+    depth, waits = np.zeros(n, np.int64), np.bincount(dst, minlength=n)
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        k = start[ready + 1] - start[ready]
+        at = np.repeat(start[ready] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        to = dst[at]
+        np.maximum.at(depth, to, np.repeat(depth[ready] + 1, k))
+        np.subtract.at(waits, to, 1)
+        ready = np.unique(to[waits[to] == 0])
+    return depth, waits > 0
+
+
+def _depth(small: DataFrame, large: DataFrame | None, known: bool) -> DataFrame:
+    """(doc_id, max_depth) of keyed rows. ``known``: only edges between nodes of the table count."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        code = _codes(t)
+        nodes, node, edges, src, dst, n = _ids(t, code)
+        if known:
+            there = np.zeros(n, bool)
+            there[node] = True
+            own = there[src] & there[dst]
+            edges, src, dst = edges[own], src[own], dst[own]
+        docs = code[edges]
+        best = np.full(code.max() + 1, -1, np.int64)
+        best[docs] = 0
+        edge = src != dst
+        depth, stuck = _peeled_depths(n, src[edge], dst[edge])
+        np.maximum.at(best, docs, depth[dst])
+        best[docs[stuck[dst]]] = -2
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        first = first[best[code[first]] != -1]
+        k = best[code[first]]
+        return pa.table({"doc_id": t.column("doc_id").take(pa.array(first)), "max_depth": pa.array(k, pa.int64(), mask=k < 0)})
+
+    usable = lambda r: r.where("whole AND (b IS NULL OR kind = 'Supports')").select("doc_id", "a", "b")
+    kind = small.schema["doc_id"].dataType.simpleString()
+    out = cut_lineage(_in_documents(usable(_dealt(small)), solve, f"doc_id {kind}, max_depth bigint"))
+    cyclic = out.where("max_depth is null").select("doc_id")
+    hard = [] if large is None else [usable(large)]
+    if not cyclic.isEmpty():
+        hard.append(usable(small).join(cyclic, "doc_id", "left_semi"))
+    out = out.where("max_depth is not null")
+    for rows in hard:
+        e = rows.where("b is not null").select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+        if known:
+            n = rows.where("b is null").select("doc_id", "a").distinct()
+            e = e.join(n.withColumnRenamed("a", "src"), ["doc_id", "src"], "left_semi").join(n.withColumnRenamed("a", "dst"), ["doc_id", "dst"], "left_semi")
+        out = out.unionByName(_joined_depth(e))
+    return out
 
 
 def support_depth(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Longest chain of Supports edges per document: (doc_id, max_depth).
+    """Longest chain of Supports edges per document: (doc_id, max_depth); with ``nodes`` of
+    edges between known nodes only.
 
     Nodes on a common cycle count as one that is worth its size less one edge; the
     chain is the longest over these, so it is exact without cycles and never cut.
 
+    Nodes and edges are dealt by document, once, and peeled from the sources on, in chunks of many whole documents.
+    Documents of over ``GROUP`` rows, and those in which cycles are left, go by joins. Documents
+    without Supports edges have no row."""
+    e = edges.where("edge_type = 'Supports'")
+    n = (edges.select("doc_id", F.col("src").alias("node_id")) if nodes is None else nodes.select("doc_id", "node_id")).withColumns(
+        {"node_type": F.lit("Structural"), "score": F.lit(None).cast("double")})
+    rows = keyed_rows(n, e)
+    if nodes is None:  # an edge that lacks an end leads nowhere
+        rows = rows.where("b is not null").withColumns({"a": F.when(F.col("whole"), F.col("a")).otherwise(0), "b": F.when(F.col("whole"), F.col("b")).otherwise(0), "whole": F.lit(True)})
+    small, large = _by_size(settle(rows, "graph-rows"))
+    return _depth(small, large, nodes is not None)
+
+
+def _joined_depth(e: DataFrame) -> DataFrame:
+    """As support_depth, for documents of any size, of distinct edges (doc_id, src, dst).
+
     Stretches of nodes with one edge in and one out are contracted to one weighted edge by
     list ranking, in rounds that grow with the logarithm of a stretch; what branches is peeled
     from its sources on, one round a level. Documents of which something is left
-    hold cycles, and only those are condensed. Documents without Supports edges have no row."""
-    e = cut_lineage(support_edges(edges, nodes))
+    hold cycles, and only those are condensed."""
+    e = cut_lineage(e)
     docs = e.select("doc_id").distinct().withColumn("k", F.lit(0).cast("long"))
     e = e.where("src <> dst")
     short, cyclic = _contracted(e)
