@@ -585,6 +585,51 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     edges count twice, dangling mass is spread evenly), divided by the maximum of
     the document and floored at 1/(10 n): (doc_id, node_id, rank).
 
+    Nodes and edges are dealt by document, once, and all rounds run on chunks of many whole
+    documents; documents of over ``GROUP`` rows go by joins."""
+    n = nodes.select("doc_id", "node_id", F.lit(None).cast("string").alias("node_type"), F.lit(None).cast("double").alias("score"))
+    name = n.select("doc_id", F.xxhash64("doc_id", "node_id").alias("a"), F.lit(None).cast("long").alias("b"), "node_id")
+    e = keyed_rows(n, edges.where(F.col("edge_type").isin(RANK_EDGES))).where("b is not null AND whole")
+    rows = settle(name.unionByName(e.select("doc_id", "a", "b", F.lit(None).cast("string").alias("node_id"))), "rank-rows")
+    small, large = _by_size(rows)
+
+    def solve(t: pa.Table) -> pa.Table:
+        code = _codes(t)
+        at, node, _, src, dst, n = _ids(t, code)
+        node, first = np.unique(node, return_index=True)
+        at = at[first]
+        doc = np.full(n, -1, np.int64)
+        doc[node] = code[at]
+        own = (doc[src] >= 0) & (doc[dst] >= 0)
+        src, dst = src[own], dst[own]
+        docs, out, mine = code.max() + 1, np.bincount(src, minlength=n), doc[node]
+        size = np.bincount(mine, minlength=docs).astype(float)
+        r = np.zeros(n)
+        r[node] = 1.0 / size[mine]
+        last = node[out[node] == 0]
+        for _ in range(iterations):
+            lost = np.bincount(doc[last], r[last], docs)
+            got = np.bincount(dst, r[src] / out[src], n)
+            r[node] = ((1 - damping) + damping * lost[mine]) / size[mine] + damping * got[node]
+        top = np.zeros(docs)
+        np.maximum.at(top, mine, r[node])
+        take = lambda c: t.column(c).take(pa.array(at))
+        return pa.table({"doc_id": take("doc_id"), "node_id": take("node_id"), "rank": np.maximum(r[node] / top[mine], 1.0 / (10.0 * size[mine]))})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = _in_documents(_dealt(small), solve, f"doc_id {kind}, node_id string, rank double")
+    if large is None:
+        return out
+    names = large.where("b is null").select("doc_id", "a", "node_id").distinct()
+    by_joins = _joined_pagerank(
+        names.select("doc_id", F.col("a").alias("node_id")), large.where("b is not null").select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst")),
+        damping, iterations, cut_every)
+    return out.unionByName(by_joins.withColumnRenamed("node_id", "a").join(names, ["doc_id", "a"]).select("doc_id", "node_id", "rank"))
+
+
+def _joined_pagerank(nodes: DataFrame, edges: DataFrame, damping: float, iterations: int, cut_every: int) -> DataFrame:
+    """As pagerank, for documents of any size, over edges (doc_id, src, dst) that all count.
+
     Rounds only carry u_j, the mass that j steps from everywhere bring to a node: teleports
     and dangling mass are the same for all nodes of a document, so the rank is
     r_k = (sum over j < k of d^j c_(k-j) u_j + d^k u_k) / n with a few numbers c for each document,
@@ -592,8 +637,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     shuffled by source once and read again by every round, whose only shuffle is
     that of partial sums of contributions; nodes that no walk of that length ends in drop out."""
     ids = cut_lineage(nodes.select("doc_id", "node_id").distinct())
-    e = edges.where(F.col("edge_type").isin(RANK_EDGES)).select("doc_id", "src", "dst")
-    e = e.join(ids.withColumnRenamed("node_id", "dst"), ["doc_id", "dst"], "left_semi").join(
+    e = edges.join(ids.withColumnRenamed("node_id", "dst"), ["doc_id", "dst"], "left_semi").join(
         ids.withColumnRenamed("node_id", "src"), ["doc_id", "src"], "left_semi")
     out_deg = e.groupBy("doc_id", "src").agg(F.count("*").alias("out"))
     e = cut_lineage(e.join(out_deg, ["doc_id", "src"]).select("doc_id", "src", "dst", (1.0 / F.col("out")).alias("share")))

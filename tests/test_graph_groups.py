@@ -49,3 +49,14 @@ def test_the_graph_is_read_once(spark):
 
     plan = load_all()[0]["g8_structural_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_pagerank_at_any_size_of_document(spark, monkeypatch):
+    edges = some_edges(5)
+    n = spark.createDataFrame([(d, f"n{i}") for d in range(20) for i in range(11)], "doc_id long, node_id string")
+    ranks = lambda: {(r.doc_id, r.node_id): r["rank"] for r in graph.pagerank(n, frame(spark, edges), iterations=7).collect()}
+    whole = ranks()
+    assert len(whole) == 220
+    for group in (14, 0):
+        monkeypatch.setattr(graph, "GROUP", group)
+        assert ranks() == pytest.approx(whole, abs=1e-12)
