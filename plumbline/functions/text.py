@@ -55,6 +55,11 @@ def words(c: Column) -> Column:
     return let(ws_trim(plain_ws(c)), cut)
 
 
+def squashed(c: Column) -> Column:
+    """The lower-case words of a text with one blank between them; only what is no single blank is replaced."""
+    return F.regexp_replace(ws_trim(plain_text(F.lower(c))), r"\s{2,}|[^\S ]", " ")
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(plain_text(c), F.lit(r"\S+"))
 
@@ -274,7 +279,7 @@ def number_value(v: Column) -> Column:
 def specificity_markers(c: Column) -> Column:
     """White-space tokens that hold a % or read as a number."""
     number = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity|nan)"
-    return F.regexp_count(plain_ws(c), F.lit(rf"(?<!\S)(?:[^\s%]*%\S*|{number})(?!\S)"))
+    return F.regexp_count(plain_text(c), F.lit(rf"(?<!\S)(?:[^\s%]*+%\S*+|{number})(?!\S)"))
 
 
 def quality_signal(wc: Column, evidence: Column, specific: Column) -> Column:

@@ -764,7 +764,7 @@ def completeness(nodes: DataFrame, documents: DataFrame, threshold: float) -> Da
 def quote_check(nodes: DataFrame, documents: DataFrame, examples: int = 5) -> DataFrame:
     """Share of non-structural nodes whose quote occurs in the document: verbatim,
     or with white space collapsed and case ignored, or by its first 30 characters."""
-    squash = lambda c: F.array_join(T.words(F.lower(c)), " ")
+    squash = T.squashed
     quotes = nodes.where("node_type <> 'Structural'").select(
         "doc_id", F.struct("node_id", "node_type", F.coalesce("source_text", F.lit("")).alias("q")).alias("q"))
 
@@ -777,8 +777,10 @@ def quote_check(nodes: DataFrame, documents: DataFrame, examples: int = 5) -> Da
     checked = _quotes_in_texts(quotes, documents).withColumn("doc_norm", squash(F.col("doc_text"))).select("doc_id", F.inline(F.transform("quotes", check)))
     failing = F.when(~F.col("found") & (F.col("q") != ""), F.struct(
         F.col("node_id"), F.concat(F.lit("["), "node_type", F.lit("] "), F.substring("q", 1, 60)).alias("quote")))
+    # used twice below; written, so that the texts are read once
+    checked = settle(checked.select("doc_id", "node_id", "found", failing.alias("f")), "quote-checks")
     # the first few failures by node id: a bounded minimum kept per document
-    ranked = checked.where(~F.col("found") & (F.col("q") != "")).select("doc_id", "node_id", failing.alias("f")).withColumn(
+    ranked = checked.where("f is not null").select("doc_id", "node_id", "f").withColumn(
         "rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id"))).where(F.col("rn") <= examples)
     shown = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("f")).select(
         "doc_id", F.transform("f", lambda x: x["quote"]).alias("failures"))
