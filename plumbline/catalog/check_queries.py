@@ -11,6 +11,7 @@ from plumbline.functions import lexicons as L
 from plumbline.functions.text import WS_CLASS
 from plumbline.operators import checks as V, extraction, graph, predictions as R, sections
 from plumbline.plans.document_gate import document_graph
+from plumbline.session import settle
 
 DOCS = lambda s, d: sections.sectioned(section_documents(s, d))
 CTE["vsec"] = f"SELECT *, lower(text) AS low, lower(title) AS lt, {cites_sql('text')} AS cites FROM secs_wc"
@@ -127,13 +128,13 @@ SQLV["evidence"] = [
     row("evidence_quality", "info", 0.1, "evidence is quantified", "qn * 100.0 / e", src="vev", where="e > 0 AND qn * 100.0 / e >= 50")]
 
 
-def _items(s, d):
-    return extraction.claims_and_evidence(extraction.item_rows(extraction.with_items(DOCS(s, d))))
+def _items(docs):
+    return extraction.claims_and_evidence(extraction.item_rows(extraction.with_items(docs)))
 
 
 @register("v7_evidence_quality", " UNION ALL ".join(SQLV["evidence"]))
 def _v7(s, d):
-    return V.evidence_signals(_items(s, d))
+    return V.evidence_signals(_items(DOCS(s, d)))
 
 
 _core = [p for n in [*V.CORE, "numbers", "evidence"] for p in SQLV[n]]
@@ -142,7 +143,8 @@ _all = [p for n in SQLV for p in SQLV[n]]
 
 @register("validate_all", 'SELECT doc_id, "check", severity, count(*) AS n, ' + r6("sum(effect)") + " AS effect FROM (" + " UNION ALL ".join(_all) + ") GROUP BY ALL")
 def _validate(s, d):
-    return V.validate(DOCS(s, d), _items(s, d)).groupBy("doc_id", "check", "severity").agg(F.count("*").alias("n"), F.sum("effect").alias("effect"))
+    docs = settle(DOCS(s, d), "sections")
+    return V.validate(docs, _items(docs)).groupBy("doc_id", "check", "severity").agg(F.count("*").alias("n"), F.sum("effect").alias("effect"))
 
 
 CTE["line_keys"] = f"""SELECT doc_id, substring(lower(regexp_replace(p, '[^\\p{{L}}\\p{{N}}{WS_CLASS}]', '', 'g')), 1, 60) AS key FROM
@@ -160,7 +162,8 @@ CTE["core_effect"] = "SELECT doc_id, sum(effect) AS effect FROM (" + " UNION ALL
 @register("b8_deterministic_score", f"""SELECT m.doc_id, {r6(clip(f'{STRUCT} + 0.05 * coalesce(e.effect, 0)', 0, 1))} AS score FROM gp_metrics m LEFT JOIN core_effect e ON e.doc_id = m.doc_id""")
 def _b8(s, d):
     m = graph.graph_metrics(document_graph(section_documents(s, d), segmented=True)).select("doc_id", graph.structural_score().alias("structural"))
-    return V.deterministic_score(m, V.validate(DOCS(s, d), _items(s, d), deep=False))
+    docs = settle(DOCS(s, d), "sections")
+    return V.deterministic_score(m, V.validate(docs, _items(docs), deep=False))
 
 
 # --- R: predictions ----------------------------------------------------------------
@@ -217,11 +220,12 @@ CTE["rscore"] = """SELECT p.*, coalesce(seen, 0) AS seen, coalesce(supporting, 0
 
 
 def _mitems(s, d):
-    return extraction.item_rows(extraction.with_items(sections.single_section(marked_documents(s, d))))
+    return settle(extraction.item_rows(extraction.with_items(sections.single_section(marked_documents(s, d)))), "items")
 
 
-def _assessed(s, d):
-    return R.assess_credibility(PREDS(s, d), extraction.claims_and_evidence(_mitems(s, d)))
+def _assessed(s, d, items=None):
+    items = _mitems(s, d) if items is None else items
+    return settle(R.assess_credibility(settle(PREDS(s, d), "predictions"), extraction.claims_and_evidence(items)), "assessed")
 
 
 @register("r5_credibility", f"""SELECT doc_id, prediction_no, prediction_type, supporting, {r6('cred')} AS credibility,
@@ -238,11 +242,13 @@ _fl = "CASE WHEN found = 0 AND cred > 0.5 THEN 'unverifiable' WHEN found > 0 AND
 @register("r7_verify_predictions", f"""SELECT doc_id, prediction_no, found AS evidence_found, {r6('strength')} AS evidence_strength, counter AS counter_evidence, {r6(_vs)} AS verification_score,
   found > 0 AS verified, {_fl} AS flag FROM rscore""")
 def _r7(s, d):
-    return R.verify_predictions(_assessed(s, d), _mitems(s, d))
+    items = _mitems(s, d)
+    return R.verify_predictions(_assessed(s, d, items), items)
 
 
 @register("r8_prediction_report", f"SELECT doc_id, prediction_no, prediction_type, target_value, timeframe, {r6('cred')} AS credibility, found > 0 AS verified, {_fl} AS flag FROM rscore")
 def _r8(s, d):
-    a = _assessed(s, d)
-    return R.prediction_report(a, R.verify_predictions(a, _mitems(s, d))).select(
+    items = _mitems(s, d)
+    a = _assessed(s, d, items)
+    return R.prediction_report(a, R.verify_predictions(a, items)).select(
         "doc_id", "prediction_no", "prediction_type", "target_value", "timeframe", "credibility", "verified", "flag")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import lexicons as L, text as T
+from plumbline.session import settle
 
 SIGNAL = "struct<check:string,severity:string,section_no:int,title:string,value:double,effect:double>"
 
@@ -269,6 +270,7 @@ def number_consistency(docs: DataFrame) -> DataFrame:
     Range join by logarithmic buckets of ratio 1.15: candidates lie in the same or
     the next bucket, so numbers meet only their neighbours."""
     n = number_rows(docs).where("number >= 10").withColumn("bucket", F.floor(F.log("number") / F.log(F.lit(1.15))).cast("int"))
+    n = settle(n.select("doc_id", "unit", "value", "number", "in_sections", "bucket"), "numbers")
     a = n.select("doc_id", "unit", F.col("value").alias("va"), F.col("number").alias("na"), F.col("in_sections").alias("sa"),
                  F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     b = n.select("doc_id", "unit", F.col("value").alias("vb"), F.col("number").alias("nb"), F.col("in_sections").alias("sb"), "bucket")
