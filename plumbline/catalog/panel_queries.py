@@ -240,8 +240,8 @@ _new = clip("score + dq * max_score * 0.3", 0, "max_score")
 @register("d15_revision_impact", f"""SELECT s.doc_id, criterion_id, score, {r6('dq')} AS quality_delta, {r6(_new)} AS new_score, {r6(f'{_new} - score')} AS delta
   FROM rscores s JOIN revised r ON r.doc_id = s.doc_id""")
 def _d15(s, d):
-    v = table(s, d, "documents").select("doc_id", F.col("text").alias("old_text")).join(
-        marked_documents(s, d).select("doc_id", F.col("text").alias("new_text")), "doc_id")
+    quality = lambda df, name: df.select("doc_id", panel.text_quality(F.col("text")).alias(name))
+    v = quality(table(s, d, "documents"), "old_quality").join(quality(marked_documents(s, d), "new_quality"), "doc_id")
     return panel.revision_impact(v, run_sql(s, d, "rscores"))
 
 

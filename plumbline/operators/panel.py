@@ -226,15 +226,19 @@ def convergence_summary(per_criterion: DataFrame) -> DataFrame:
         F.count("*").alias("criteria"), F.avg("variance").alias("average_variance"), F.bool_and("converged").alias("converged"))
 
 
-def revision_impact(versions: DataFrame, scores: DataFrame) -> DataFrame:
-    """versions(doc_id, old_text, new_text), scores(doc_id, criterion_id, score,
-    max_score) -> estimated score after the revision."""
+def text_quality(c: Column) -> Column:
     from plumbline.functions import lexicons as L
 
-    def quality(c):
-        return T.quality_signal(T.word_count(c), T.occurrences_total(F.lower(c), L.EVIDENCE_WORDS), T.specificity_markers(c))
+    return T.quality_signal(T.word_count(c), T.occurrences_total(F.lower(c), L.EVIDENCE_WORDS), T.specificity_markers(c))
+
 
-    delta = versions.select("doc_id", (quality(F.col("new_text")) - quality(F.col("old_text"))).alias("quality_delta"))
+def revision_impact(versions: DataFrame, scores: DataFrame) -> DataFrame:
+    """versions(doc_id, old_text, new_text), or (doc_id, old_quality, new_quality) if the texts lie in
+    two tables that would have to be joined, scores(doc_id, criterion_id, score, max_score)
+    -> estimated score after the revision."""
+    if "old_text" in versions.columns:
+        versions = versions.select("doc_id", text_quality(F.col("old_text")).alias("old_quality"), text_quality(F.col("new_text")).alias("new_quality"))
+    delta = versions.select("doc_id", (F.col("new_quality") - F.col("old_quality")).alias("quality_delta"))
     new = _clip(F.col("score") + F.col("quality_delta") * F.col("max_score") * 0.3, 0.0, F.col("max_score"))
     return scores.join(delta, "doc_id").select(
         "doc_id", "criterion_id", "score", "quality_delta", new.alias("new_score"), (new - F.col("score")).alias("delta"))
