@@ -488,7 +488,7 @@ def _x19(s, d):
     FROM (SELECT * FROM ad_essay UNION ALL SELECT * FROM ad_tender UNION ALL SELECT * FROM ad_policy UNION ALL SELECT * FROM ad_contract)) GROUP BY ALL""")
 def _x20(s, d):
     every = section_documents(s, d).select(
-        "doc_id", F.inline(F.concat(*[adaptive.items(F.col("text"), g) for g in L.CATEGORIES])))
+        "doc_id", F.inline(adaptive.items(F.col("text"), *L.CATEGORIES)))
     return adaptive.pipeline_types(every).groupBy(
         "doc_id", "category", "role", "specificity", "verifiable", "evidence_type", "quantified").agg(F.count("*").alias("n"))
 

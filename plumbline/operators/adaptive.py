@@ -60,9 +60,14 @@ def _rules(genre: str, s: Column, low: Column) -> dict[str, Column]:
     }
 
 
-def items(c: Column, genre: str) -> Column:
-    """array<struct<category, text, quality, relevance>> of one text; narrow."""
+def items(c: Column, *genres: str) -> Column:
+    """array<struct<category, text, quality, relevance>> of one text, genre by genre; narrow.
+    The text is cut into sentences once."""
     sents = F.transform(T.sentences_space(c), lambda s: F.struct(s.alias("t"), F.lower(s).alias("l")))
+    return T.let(sents, lambda s: F.concat(*[_genre_items(c, s, g) for g in genres]))
+
+
+def _genre_items(c: Column, sents: Column, genre: str) -> Column:
     strength = {cat: (ql, rel) for cat, ql, rel in L.CATEGORIES[genre]}
 
     def marks(s):
@@ -78,7 +83,7 @@ def items(c: Column, genre: str) -> Column:
     found = F.flatten(F.transform(sents, marks))
     if genre != "essay":
         return found
-    thesis = F.get(F.filter(T.sentences_space(c), lambda s: F.octet_length(s) > 20), F.lit(0))
+    thesis = F.get(F.filter(sents, lambda s: F.octet_length(s["t"]) > 20), F.lit(0))["t"]
     topics = F.filter(
         F.transform(T.paragraphs(c), lambda p: F.get(T.sentences_space(p), F.lit(0))), lambda s: F.octet_length(s) > 10)
     cat, ql, rel = L.REPETITION
