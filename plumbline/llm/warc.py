@@ -120,7 +120,7 @@ def plain_text(page: str) -> str:
     """Text of a page: silent elements and comments go, block elements end lines, white
     space is folded, character references are resolved, empty lines go. Of a silent
     element that is not closed the tag goes, unless it is a script or a style."""
-    page = " ".join(page.split())
+    page = page.replace("\n", " ")  # other white space is folded line by line, below
     out, at, silence = [], 0, None
     while m := TOKENS.search(page, at):
         out.append(page[at:m.start()])
@@ -272,11 +272,11 @@ def write(records: DataFrame, folder: str, records_per_file: int = 50_000) -> Da
             return pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for b in batches:
-            for i in range(b.num_rows):
+            for r in b.to_pylist():
                 if out is None:
                     name, n, size = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = where[0].open_output_stream(f"{where[1]}/data/{name}", compression=None)
-                packed = member(to_bytes({c: b.column(c)[i].as_py() for c in NAMES}))
+                packed = member(to_bytes(r))
                 out.write(packed)
                 n, size = n + 1, size + len(packed)
                 if n == records_per_file:
@@ -293,6 +293,10 @@ def write(records: DataFrame, folder: str, records_per_file: int = 50_000) -> Da
     return records.sparkSession.read.parquet(f"{folder}/files")
 
 
+#: Bytes read at a time: what is left of a piece is copied once for each member in it.
+PIECE = 1 << 14
+
+
 def split_members(raw) -> Iterator[bytes]:
     """The members of a gzip stream, from an iterator of its pieces: one member in memory."""
     z, held = zlib.decompressobj(31), []
@@ -316,7 +320,7 @@ def read(spark: SparkSession, folder: str, batch_bytes: int = 1 << 23) -> DataFr
             for file in b.column("file").to_pylist():
                 rows, size = [], 0
                 with where[0].open_input_stream(f"{where[1]}/data/{file}", compression=None) as f:
-                    for raw in split_members(iter(lambda f=f: f.read(1 << 20), b"")):
+                    for raw in split_members(iter(lambda f=f: f.read(PIECE), b"")):
                         rows.append(from_bytes(raw))
                         size += len(raw)
                         if size > batch_bytes:

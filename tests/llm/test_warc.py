@@ -129,3 +129,16 @@ def test_broken_records():
     with pytest.raises(ValueError):
         list(warc.split_members([packed[:-20]]))
     assert html.unescape("&amp;") == "&"
+
+
+def test_files_are_read_in_small_pieces():
+    """What is left of a piece is copied once for each member in it, so a large piece costs its square."""
+    data = [b"record %d " % i * 20 for i in range(3000)]
+    raw = b"".join(warc.member(x) for x in data)
+    pieces = [raw[i:i + warc.PIECE] for i in range(0, len(raw), warc.PIECE)]
+    assert len(pieces) > 5 and list(warc.split_members(iter(pieces))) == data
+
+
+def test_white_space_of_a_page_does_not_end_lines():
+    page = "\n <p>a\r\n\x0b b\x85 c&amp\x0cd</p\n>e\x1c<br\t/>f &#10; g<!-- x\n\n --> h\xa0 "
+    assert warc.plain_text(page) == "a b c& d\ne\nf\ng h"
