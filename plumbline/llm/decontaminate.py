@@ -34,7 +34,8 @@ from plumbline.llm.common import keep, texts
 
 WINDOW, STRIDE, TERMS, MIN_HITS, MIN_WORDS, BLOCK, EXTRA = 64, 24, 12, 2, 5, 200, 24
 COSINE, STRONG, WEAK, ANSWER = 0.3, 0.75, 0.5, 5
-CHUNK, TERM_BLOCK = 1 << 18, 64
+#: Words of a run of documents: its hits times the rank stay in a core's cache.
+CHUNK, TERM_BLOCK = 1 << 12, 64
 PUNCTUATION = string.punctuation.encode()
 LEAKS = "doc_id bigint, item_id bigint, cosine double, lcs bigint, item_words bigint, answer boolean"
 

@@ -138,3 +138,21 @@ def test_odd_documents(spark, monkeypatch, blocks):
     d = cases.odd(spark)
     assert {(r.doc_id, r.item_id) for r in dc.leaks(d, b).collect()} == {(r.doc_id, 1) for r in d.collect() if r.text and "lazy dog" in r.text}
     assert dc.leaks(cases.empty(spark), b).count() == 0 and dc.leaks(d, b.limit(0)).count() == 0
+
+
+def test_products_are_made_of_small_runs():
+    """Arrays of hits times the rank left the cache; small runs must add up to the same products."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sequences = [rng.integers(-1, 40, 500).astype(np.int32) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([x.tobytes() for x in sequences], pa.binary())})
+    terms = dc.Terms(np.append(np.arange(40), -1), rng.random(40) + 1, [])
+    basis = rng.standard_normal((40, 8))
+    total, largest = np.zeros((40, 8)), 0
+    for _, ids, offsets in dc.chunks(batch):
+        t, rows = dc.normal_product(dc.passages(ids, offsets, terms), terms.weight, basis)
+        total[t] += rows
+        largest = max(largest, len(ids))
+    t, whole = dc.normal_product(dc.passages(np.concatenate(sequences), np.arange(0, 30_001, 500), terms), terms.weight, basis)
+    assert largest < 5_000 and np.allclose(total[t], whole)
