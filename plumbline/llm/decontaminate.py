@@ -11,6 +11,11 @@
 4. Candidates are checked on the words around them: a leak has a longest common
    subsequence of STRONG of the item, or of WEAK with the item's answer (its last
    ANSWER words) word for word, which finds paraphrases.
+5. The terms and the cosine pass over some leaks, long items that lack their rarest words
+   among them. The rest is found exactly: a leak may lack a quarter of the item, so some of
+   any larger part of it, its rarest words, lie near each other; or the answer is there word
+   for word. Such places go through the same checks, so a row is given for each item that
+   the words around any window hold.
 
 The benchmark is a reference set that fits on the driver; it is read in blocks of BLOCK
 items, so what is broadcast is bounded: words of BLOCK items, BLOCK * TERMS x rank numbers.
@@ -34,6 +39,8 @@ from plumbline.llm.common import keep, texts
 
 WINDOW, STRIDE, TERMS, MIN_HITS, MIN_WORDS, BLOCK, EXTRA = 64, 24, 12, 2, 5, 200, 24
 COSINE, STRONG, WEAK, ANSWER = 0.3, 0.75, 0.5, 5
+#: Words of an item that must lie near each other in any leak; more make fewer places and more hits.
+NEAR = 4
 #: Words of a run of documents: its hits times the rank stay in a core's cache.
 CHUNK, TERM_BLOCK = 1 << 12, 64
 PUNCTUATION = string.punctuation.encode()
@@ -129,6 +136,87 @@ def choose_terms(items: Items, n: int, df: np.ndarray) -> Terms:
     return terms
 
 
+@dataclass
+class Keys:
+    """What no leak of an item lacks: ``need`` occurrences of its key words (count and first: their places in
+    ``item``, by word; the last entry is the gap) within ``span`` words, or its answer, by the answer's rarest word."""
+
+    count: np.ndarray
+    first: np.ndarray
+    item: np.ndarray  # i: a key word of item i; items + i: the rarest word of its answer
+    need: np.ndarray
+    span: np.ndarray
+    answer: np.ndarray  # items x ANSWER
+    at: np.ndarray  # place of the rarest word in the answer
+
+
+def item_keys(items: Items, df: np.ndarray) -> Keys:
+    words, owners, need, at = [], [], [], []
+    answer = np.array([w[-ANSWER:] for w in items.words], np.int64).reshape(-1, ANSWER)
+    for i, w in enumerate(items.words):
+        own, n = np.unique(w, return_counts=True)
+        order = np.lexsort((own, df[own]))
+        total, spare = np.cumsum(n[order]), int(len(w) - np.ceil(STRONG * len(w)))
+        k = min(int(np.searchsorted(total, spare + NEAR)), len(order) - 1) + 1
+        need.append(int(total[k - 1]) - spare)
+        at.append(int(np.argmin(df[answer[i]])))
+        words += [*own[order[:k]].tolist(), int(answer[i, at[i]])]
+        owners += [i] * k + [len(items.words) + i]
+    word, owner = np.array(words, np.int64), np.array(owners, np.int64)
+    order = np.argsort(word, kind="stable")
+    count = np.append(np.bincount(word, minlength=len(df)), 0)
+    span = np.array([WINDOW + 2 * (len(w) // 2) for w in items.words], np.int64)
+    return Keys(count, np.cumsum(count) - count, owner[order], np.array(need, np.int64), span, answer, np.array(at, np.int64))
+
+
+def places(ids: np.ndarray, offsets: np.ndarray, keys: Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """document, item, first and last word, and whether it is the answer: for each place that may belong to a leak."""
+    n_items = len(keys.need)
+    count = keys.count[ids]
+    hits = np.flatnonzero(count)
+    count = count[hits]
+    at = np.repeat(hits, count)
+    item = keys.item[np.repeat(keys.first[ids[hits]] - np.cumsum(count) + count, count) + np.arange(len(at))]
+    doc = np.repeat(np.searchsorted(offsets, hits, "right") - 1, count)
+    told = item >= n_items
+    a_item, a_doc = item[told] - n_items, doc[told]
+    start = at[told] - keys.at[a_item]
+    ok = (start >= offsets[a_doc]) & (start + ANSWER <= offsets[a_doc + 1])
+    for c in range(ANSWER):
+        a_item, a_doc, start = a_item[ok], a_doc[ok], start[ok]
+        ok = ids[start + c] == keys.answer[a_item, c]
+    a_item, a_doc, start = a_item[ok], a_doc[ok], start[ok]
+    at, item, doc = at[~told], item[~told], doc[~told]
+    group = doc * n_items + item
+    order = np.argsort(group, kind="stable")
+    at, item, doc, group = at[order], item[order], doc[order], group[order]
+    last = np.arange(len(at)) + keys.need[item] - 1
+    inside = np.flatnonzero(last < len(at))
+    last = last[inside]
+    ok = (group[last] == group[inside]) & (at[last] - at[inside] < keys.span[item[inside]])
+    inside, last = inside[ok], last[ok]
+    return (np.concatenate([doc[inside], a_doc]), np.concatenate([item[inside], a_item]), np.concatenate([at[inside], start]),
+            np.concatenate([at[last], start + ANSWER - 1]), np.arange(len(inside) + len(start)) >= len(inside))
+
+
+def stretches(ids: np.ndarray, offsets: np.ndarray, keys: Keys) -> list[tuple[int, int, bool, int, int]]:
+    """document, item, whether for its answer, first and last window: the windows that have a place in reach."""
+    doc, item, a, b, told = places(ids, offsets, keys)
+    half, size = (keys.span[item] - WINDOW) // 2, offsets[doc + 1] - offsets[doc]
+    a, b = a - offsets[doc], b - offsets[doc]
+    most = np.maximum(size - WINDOW + STRIDE - 1, 0) // STRIDE
+    low = np.minimum(np.maximum((b - half - WINDOW) // STRIDE + 1, 0), most)
+    high = np.minimum((a + half) // STRIDE, most)
+    ok = low <= high
+    out: list[tuple[int, int, bool, int, int]] = []
+    for d, i, t, lo, hi in sorted(zip(*(x[ok].tolist() for x in (doc, item, told, low, high)), strict=True)):
+        if out and out[-1][:3] == (d, i, t) and lo <= out[-1][4] + 1:
+            out[-1] = (d, i, t, out[-1][3], max(hi, out[-1][4]))
+        else:
+            out.append((d, i, t, lo, hi))
+    return out
+
+
 @dataclass
 class Passages:
     """Hits (position, term) of many documents one after the other, and the windows with
@@ -277,35 +365,59 @@ def holds(words: list[int], part: list[int]) -> bool:
     return any(words[i:i + n] == part for i in range(len(words) - n + 1) if words[i] == part[0])
 
 
-def search(seqs: DataFrame, items: Items, terms: Terms, basis: np.ndarray) -> DataFrame:
-    """The candidates by cosine that pass the checks on their words."""
-    shared = seqs.sparkSession.sparkContext.broadcast((items.ids, items.words, terms, basis))
+def search(seqs: DataFrame, items: Items, terms: Terms, basis: np.ndarray, keys: Keys) -> DataFrame:
+    """The candidates by cosine, and the rest by their keys, that pass the checks on their words."""
+    shared = seqs.sparkSession.sparkContext.broadcast((items.ids, items.words, terms, basis, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_ids, words, terms, basis = shared.value
+        item_ids, words, terms, basis, keys = shared.value
         query = item_rows(terms) @ basis
         query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-12)
         masks = [bit_masks(w) for w in words]
         weighted = terms.weight[:, None] * basis
-        for b in batches:
-            best: dict[tuple[int, int], tuple] = {}
-            for first, ids, offsets in chunks(b):
-                p = passages(ids, offsets, terms)
-                if not len(p.doc):
-                    continue
+
+        def around(ids, offsets, d, start, end, i):
+            half = len(words[i]) // 2
+            return ids[max(offsets[d], start - half):min(offsets[d + 1], end + half)].tolist()
+
+        def cosine_of(passage, i):
+            t = terms.term[passage]
+            t = t[t >= 0]
+            return float(weighted[t].sum(0) @ query[i] / np.sqrt((terms.weight[t] ** 2).sum())) if len(t) else 0.0
+
+        def candidates(ids, offsets):
+            """document, start, end, item of windows, and their cosine if it is known."""
+            p = passages(ids, offsets, terms)
+            known = set()
+            if len(p.doc):
                 w = terms.weight[p.hit]
                 rows = sums(weighted[p.hit], p.lo, p.hi) / np.sqrt(sums(w * w, p.lo, p.hi))[:, None]
                 cosine = rows @ query.T
                 for k, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                    m, d = len(words[i]), int(p.doc[k])
-                    near = ids[max(offsets[d], p.start[k] - m // 2):min(offsets[d + 1], p.end[k] + m // 2)].tolist()
+                    known.add((int(p.start[k]), int(i)))
+                    yield int(p.doc[k]), int(p.start[k]), int(p.end[k]), int(i), float(cosine[k, i])
+            for d, i, told, low, high in stretches(ids, offsets, keys):
+                starts = range(offsets[d] + STRIDE * low, offsets[d] + STRIDE * high + 1, STRIDE)
+                every = around(ids, offsets, d, starts[0], starts[-1] + WINDOW, i)
+                if common_subsequence(masks[i], len(words[i]), every) >= (WEAK if told else STRONG) * len(words[i]):
+                    for start in starts:
+                        if (start, i) not in known:
+                            known.add((start, i))
+                            yield d, start, min(start + WINDOW, int(offsets[d + 1])), i, None
+
+        for b in batches:
+            best: dict[tuple[int, int], tuple] = {}
+            for first, ids, offsets in chunks(b):
+                for d, start, end, i, cosine in candidates(ids, offsets):
+                    m = len(words[i])
+                    near = around(ids, offsets, d, start, end, i)
                     lcs = common_subsequence(masks[i], m, near)
                     if lcs < WEAK * m:
                         continue
                     answer = holds(near, words[i][-ANSWER:].tolist())
                     if lcs >= STRONG * m or answer:
-                        row = (lcs, answer, float(cosine[k, i]))
-                        best[first + d, int(i)] = max(best.get((first + d, int(i)), row), row)
+                        row = (lcs, answer, cosine_of(ids[start:end], i) if cosine is None else cosine)
+                        best[first + d, i] = max(best.get((first + d, i), row), row)
             ids_of = b.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([ids_of[d] for d, _ in best], pa.int64()), "item_id": pa.array([item_ids[i] for _, i in best], pa.int64()),
@@ -323,7 +435,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         seqs = keep(sequences(docs, items), "benchmark-words")
         n, df = document_frequency(seqs, len(items.vocabulary))
         terms = choose_terms(items, n, df)
-        found = search(seqs, items, terms, randomised_svd(seqs, terms))
+        found = search(seqs, items, terms, randomised_svd(seqs, terms), item_keys(items, df))
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], LEAKS) if out is None else out
 

@@ -156,3 +156,68 @@ def test_products_are_made_of_small_runs():
         largest = max(largest, len(ids))
     t, whole = dc.normal_product(dc.passages(np.concatenate(sequences), np.arange(0, 30_001, 500), terms), terms.weight, basis)
     assert largest < 5_000 and np.allclose(total[t], whole)
+
+
+def plain_leaks(docs, items):
+    """(document, item): lcs and answer over the words around every window, by the definition alone."""
+    out = {}
+    for d, x in enumerate(docs):
+        for i, w in enumerate(items):
+            for s in range(0, max(len(x) - dc.WINDOW + dc.STRIDE - 1, 0) // dc.STRIDE * dc.STRIDE + 1, dc.STRIDE):
+                near = x[max(0, s - len(w) // 2):min(len(x), min(s + dc.WINDOW, len(x)) + len(w) // 2)]
+                lcs, answer = plain_lcs(w, near), dc.holds(near, w[-dc.ANSWER:])
+                if lcs >= dc.STRONG * len(w) or lcs >= dc.WEAK * len(w) and answer:
+                    out[d, i] = max(out.get((d, i), (0, False)), (lcs, answer))
+    return out
+
+
+def test_leaks_without_the_rarest_words(spark):
+    """A leak may lack all terms of a long item; every item that the words around a window hold is found."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    items, docs = [], []
+    for i in range(8):
+        rare = [f"r{i}x{j}" for j in range(15)]
+        w = rng.sample(common, 45) + rare
+        rng.shuffle(w)
+        if i % 2:  # the answer is made of common words
+            w = [x for x in w if x not in rare[:10]] + rng.sample(common, 5)
+        items.append(w)
+    for k in range(40):
+        body = [f"d{k}x{j}" if rng.random() < .5 else rng.choice(common) for j in range(rng.randrange(20, 200))]
+        w = items[k % 8]
+        rare = [x for x in w if x[0] == "r"]
+        gone = set(rare if k % 3 else rng.sample(rare, 5)) | (set(rng.sample(common, 20)) if k % 5 == 0 else set())
+        at = rng.randrange(len(body))
+        body[at:at] = [x for x in w[:-dc.ANSWER] if x not in gone] + w[-dc.ANSWER:]
+        docs.append(body)
+    want = plain_leaks(docs, items)
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    d = cases.docs(spark, [" ".join(x) for x in docs])
+    found = {(r.doc_id, r.item_id): (r.lcs, r.answer) for r in dc.leaks(d, b).collect()}
+    assert len(want) > 30 and found == want
+
+
+def test_keys_are_never_missing():
+    """Places are given for every leak, also where words repeat, at the ends of documents, and in short items."""
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 25, n) for n in (5, 6, 9, 20, 47, 64, 90)]
+    items = dc.Items(list(range(len(words))), words, {b"%d" % i: i for i in range(25)})
+    keys = dc.item_keys(items, rng.integers(1, 9, 25))
+    ids = []
+    for k in range(60):
+        w = words[k % len(words)]
+        left = w[np.sort(rng.permutation(len(w))[:int(np.ceil(dc.STRONG * len(w)))])]
+        ids.append(np.concatenate([np.full(rng.integers(0, 120), -1), left, np.full(rng.integers(0, 120), -1)]).astype(np.int32))
+    offsets = np.cumsum([0, *map(len, ids)])
+    found = {(d, i, k) for d, i, _, lo, hi in dc.stretches(np.concatenate(ids), offsets, keys) for k in range(lo, hi + 1)}
+    held = 0
+    for d, x in enumerate(ids):
+        i = d % len(words)
+        w, half = words[i], len(words[i]) // 2
+        for k in range(max(len(x) - dc.WINDOW + dc.STRIDE - 1, 0) // dc.STRIDE + 1):
+            near = x[max(0, dc.STRIDE * k - half):min(len(x), min(dc.STRIDE * k + dc.WINDOW, len(x)) + half)].tolist()
+            if plain_lcs(w.tolist(), near) >= dc.STRONG * len(w):
+                held += 1
+                assert (d, i, k) in found
+    assert held > 60
