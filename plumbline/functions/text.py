@@ -107,7 +107,7 @@ def sentences_ws(c: Column) -> Column:
 
 def first_sentence_ws(c: Column) -> Column:
     first = F.regexp_extract(c, r"(?s)^.*?[.!?](?=[ \n]|\z)", 0)
-    return ws_trim(F.when(first != "", first).otherwise(c))
+    return let(first, lambda f: ws_trim(F.when(f != "", f).otherwise(c)))
 
 
 def paragraphs(c: Column) -> Column:
@@ -131,9 +131,9 @@ def keywords_list(c: Column, stop) -> Column:
 
 def bare_words(c: Column) -> Column:
     """Lower-case white-space tokens without outer punctuation; one regex pass
-    over the text instead of one per token."""
-    edge = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
-    return words(F.regexp_replace(plain_ws(F.lower(c)), edge, ""))
+    over the text instead of one per token, which leaves most characters after one test."""
+    edge = r"(?=[^a-z0-9\s\p{L}\p{N}])(?:(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S))"
+    return words(F.regexp_replace(plain_text(F.lower(c)), edge, ""))
 
 
 def content_keywords(c: Column, stop) -> Column:

@@ -144,11 +144,12 @@ def fallacies() -> Column:
 
 def hedging() -> Column:
     def section(s):
-        hedge = T.occurrences_total(s["low"], L.HEDGES) / s["words"] * 100.0
-        strong = T.occurrences_total(s["low"], L.STRONG_ASSERTIONS) / s["words"] * 100.0
-        sig = F.when(hedge > 8.0, _sig("hedging", "warning", -0.1, "over-hedged section", hedge, s["section_no"])).when(
-            (hedge < 1.0) & (strong > 3.0), _sig("hedging", "warning", -0.1, "under-hedged section", strong, s["section_no"])).when(
-            hedge.between(3.0, 8.0), _sig("hedging", "info", 0.05, "well-balanced hedging", hedge, s["section_no"]))
+        rates = F.struct(
+            (T.occurrences_total(s["low"], L.HEDGES) / s["words"] * 100.0).alias("hedge"),
+            (T.occurrences_total(s["low"], L.STRONG_ASSERTIONS) / s["words"] * 100.0).alias("strong"))
+        sig = T.let(rates, lambda r: F.when(r["hedge"] > 8.0, _sig("hedging", "warning", -0.1, "over-hedged section", r["hedge"], s["section_no"])).when(
+            (r["hedge"] < 1.0) & (r["strong"] > 3.0), _sig("hedging", "warning", -0.1, "under-hedged section", r["strong"], s["section_no"])).when(
+            r["hedge"].between(3.0, 8.0), _sig("hedging", "info", 0.05, "well-balanced hedging", r["hedge"], s["section_no"])))
         return F.when(s["words"] >= 30, _collect(sig)).otherwise(F.array().cast(f"array<{SIGNAL}>"))
 
     return _per_section(section)
@@ -189,7 +190,7 @@ def counter_arguments() -> Column:
 
 def transitions() -> Column:
     later = F.transform(F.slice("secs", 2, F.size("secs")), lambda s: F.struct(
-        s["section_no"].alias("no"), T.contains_any(F.lower(T.first_sentence_ws(s["text"])), L.TRANSITIONS).alias("smooth")))
+        s["section_no"].alias("no"), T.let(F.lower(T.first_sentence_ws(s["text"])), lambda x: T.contains_any(x, L.TRANSITIONS)).alias("smooth")))
 
     def judge(x):
         abrupt = F.filter(x, lambda v: ~v["smooth"])

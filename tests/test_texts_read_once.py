@@ -35,3 +35,17 @@ def test_sentences_are_cut_once_for_all_genres(spark):
     assert r.a == r.b and r.a
     cuts = lambda c: str(c._jc.toString()).count("(?<=[.?!]) ")
     assert cuts(every) < cuts(one)
+
+
+def test_rates_and_first_sentences_are_made_once(spark):
+    """Inside a lambda nothing is shared: each use of an expression evaluates it again, for each marker."""
+    from plumbline.operators import checks
+
+    uses = lambda c, part: str(c._jc.toString()).count(part)
+    assert uses(checks.transitions(), "(?s)^.*?[.!?]") == 1
+    assert uses(checks.hedging(), L.HEDGES[0]) == 1
+    texts = ["", " ", "'a' -b- c3! (d) e's f--g ... «h» ½ x y, Ä-ö! 漢字。 ..z", "A.b .c. d,"]
+    edge = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
+    plain = lambda c: T.words(F.regexp_replace(T.plain_ws(F.lower(c)), edge, ""))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.bare_words(F.col("t")).alias("a"), plain(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len(rows[2].a) > 8
